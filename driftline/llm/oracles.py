@@ -1,3 +1,5 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from . import urls
+
+ORACLES: dict[str, str] = {"op10_url_filter": urls.oracle()}

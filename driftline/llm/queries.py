@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, rules, tokens, toxicity
+from . import pii, quality, rules, simhash, tokens, toxicity, urls
 from .common import fold, table
 
 
@@ -13,6 +13,10 @@ def _held_out(modulus: int, rest: int):
     return F.coalesce(fold(F.col("doc_id"), modulus) == rest, F.lit(False))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, ~_held_out(4, 2))
@@ -20,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -40,9 +48,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, labels)).drop("score")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_toxicity": op4_toxicity,
+    "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_quality_rules": op9_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
