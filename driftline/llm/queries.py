@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, rules, simhash, substrings, tokens, toxicity, urls
+from . import decontaminate, mixing, pii, quality, rules, simhash, substrings, tokens, toxicity, urls
 from .common import fold, table
 
 
@@ -13,6 +13,10 @@ def _held_out(modulus: int, rest: int):
     return F.coalesce(fold(F.col("doc_id"), modulus) == rest, F.lit(False))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
