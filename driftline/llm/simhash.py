@@ -32,18 +32,18 @@ TILE, SMALL_GROUP = 1024, 48
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
         return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return xxhash.xxh64_intdigest(joined, seed)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.append(0, ends[:-1]).tolist()
     stops = (ends - 1).tolist()
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, stops[shingle - 1 :], strict=False)])
+    raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :], strict=False)])
     n = len(words) - shingle + 1
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 4096):  # bounded memory for very long texts
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", out: str = "fp") -> DataFrame:
-    """`docs` without its text and with a fingerprint (signed 64 bits)."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", out: str = "fp", seed: int = SEED) -> DataFrame:
+    """`docs` without its text and with a fingerprint (signed 64 bits); `docs` keeps its text if another one follows."""
     at = docs.columns.index(text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle, seed) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fp, pa.int64())], names=[*(f.name for f in rest), out])
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text"
 
 def _masks(radius: int) -> list[int]:
     """One mask per choice of blocks that two fingerprints within the radius must share."""
-    blocks = {0: 1, 1: 3, 2: 5, 3: 6}.get(radius, radius + 2)
+    blocks = {0: 1, 1: 3, 2: 5, 3: 6}.get(radius, radius + 2)  # of about 64 / blocks bits
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -87,8 +87,16 @@ def _merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = i[apart], j[apart]
 
 
-def linked(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
-    """Label of each fingerprint after comparing all pairs of its group. Rows are sorted by group, then bit count."""
+def linked(group: np.ndarray, fp: np.ndarray, radius: int, second: np.ndarray | None = None, total: int = 128) -> np.ndarray:
+    """Label of each fingerprint after comparing all pairs of its group. Rows are sorted by group, then bit count.
+    With second fingerprints, both distances together must stay within `total` as well."""
+
+    def confirmed(i, j):
+        if second is None:
+            return i, j
+        ok = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(second[i] ^ second[j]) <= total
+        return i[ok], j[ok]
+
     n = len(fp)
     lab = np.arange(n)
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, int)
@@ -101,7 +109,7 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         if not len(i):
             break
         near = np.bitwise_count(fp[i] ^ fp[i + step]) <= radius
-        _merge(lab, i[near], i[near] + step)
+        _merge(lab, *confirmed(i[near], i[near] + step))
         own = i
     bits = np.bitwise_count(fp).astype(np.int16)
     for at, m in zip(start[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
@@ -113,62 +121,61 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
                 be = min(b + TILE, at + m)
                 i, j = np.nonzero(np.bitwise_count(fp[a:ae, None] ^ fp[None, b:be]) <= radius)
                 ahead = i + a < j + b
-                _merge(lab, i[ahead] + a, j[ahead] + b)
+                _merge(lab, *confirmed(i[ahead] + a, j[ahead] + b))
     return lab
 
 
-def links_of(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) links that connect all distinct fingerprints (column fp) within the radius of each other."""
+def links_of(distinct: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+    """(a, b) links between nodes that connect all fingerprints within the radius of each other.
+    distinct: (node, fp), and a second fingerprint `fp2` if `total` is given."""
 
     def run(batches):
         held: list[np.ndarray] = []
 
-        def stars(t):
-            lab = linked(t[0], t[1], radius)
+        def stars():
+            t = np.concatenate(held, 1)
+            change = (t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])
+            second = t[4].view(np.uint64) if total is not None else None
+            lab = linked(np.append(0, np.cumsum(change)), t[3].view(np.uint64), radius, second, total or 128)
             i = np.flatnonzero(lab != np.arange(len(lab)))
-            signed = t[1].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[lab[i]])], names=["a", "b"])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(t[2, i]), pa.array(t[2, lab[i]])], names=["a", "b"])
 
         for batch in batches:
-            table, key, fp = (np.asarray(c) for c in batch.columns)
-            change = (table[1:] != table[:-1]) | (key[1:] != key[:-1])
-            group = np.append(0, np.cumsum(change))
-            now = np.stack([table.astype(np.int64), key, fp])
-            if held and len(fp) and (held[-1][0, -1] != table[0] or held[-1][1, -1] != key[0]):
-                yield stars(_grouped(np.concatenate(held, 1)))
-                held = []
-            cut = int(np.searchsorted(group, group[-1])) if len(fp) else 0
+            if not batch.num_rows:
+                continue
+            now = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+            if held and (held[-1][:2, -1] != now[:2, 0]).any():
+                yield stars()
+            last = np.flatnonzero((now[0] != now[0, -1]) | (now[1] != now[1, -1]))  # what precedes the last bucket
+            cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield stars(_grouped(np.concatenate([*held, now[:, :cut]], 1)))
-                held = []
+                held.append(now[:, :cut])
+                yield stars()
             held.append(now[:, cut:])
         if held:
-            yield stars(_grouped(np.concatenate(held, 1)))
-
-    masks = _masks(radius)
-    tagged = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks)))
-    dealt = distinct.select("fp", tagged.alias("t", "key"))
-    several = dealt.repartition("t", "key").sortWithinPartitions("t", "key", F.bit_count("fp"))
-    return several.select("t", "key", "fp").mapInArrow(run, "a long, b long")
+            yield stars()
 
+    tagged = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius))))
+    columns = ["t", "key", "node", "fp"] + ["fp2"] * (total is not None)
+    dealt = distinct.select(*columns[2:], tagged.alias("t", "key")).select(*columns)
+    return dealt.repartition("t", "key").sortWithinPartitions("t", "key", F.bit_count("fp")).mapInArrow(run, "a long, b long")
 
-def _grouped(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    change = (t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])
-    return np.append(0, np.cumsum(change)), t[2].view(np.uint64)
 
-
-def classes(printed: DataFrame, radius: int = RADIUS) -> Written:
-    """(doc_id, fp) rows -> table (fp, component_id) over the distinct fingerprints."""
-    least = Written(printed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    star = components(links_of(least.df.select("fp"), radius))
-    members = star.df.toDF("fp", "root")
+def classes(printed: DataFrame, radius: int = RADIUS, total: int | None = None) -> Written:
+    """(doc_id, node, fp[, fp2]) rows -> table (node, root, component_id) over the distinct nodes; root names the component."""
+    prints = ["fp"] + ["fp2"] * (total is not None)
+    least = Written(printed.groupBy("node", *prints).agg(F.min("doc_id").alias("rep")), "fingerprints")
+    star = components(links_of(least.df.drop("rep"), radius, total))
+    members = star.df.toDF("node", "root")
     members = members.union(members.select("root", "root").distinct())
-    reps = Written(members.join(least.df, "fp"), "members")
+    reps = Written(members.join(least.df.select("node", "rep"), "node"), "members")
     star.drop()
     small = Written(reps.df.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
-    named = Written(reps.df.join(sized(small.df, 24), "root").select("fp", "component_id"), "members")
-    out = least.df.join(sized(named.df.withColumn("known", F.lit(True)), 24), "fp", "left")
-    table = Written(out.select("fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")), "classes")
+    named = Written(reps.df.join(sized(small.df, 24), "root").select("node", "root", "component_id"), "members")
+    out = least.df.select("node", "rep").join(sized(named.df, 32), "node", "left")
+    alone = F.col("root").isNull()
+    table = Written(out.select("node", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id")), "classes")
     for t in (least, reps, small, named):
         t.drop()
     return table
@@ -176,8 +183,31 @@ def classes(printed: DataFrame, radius: int = RADIUS) -> Written:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) per row."""
-    printed = Written(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle), "printed")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    printed = Written(fingerprints(slim, shingle).withColumn("node", F.col("fp")), "printed")
     found = classes(printed.df, radius)
-    out = printed.df.join(sized(found.df, 24), "fp")
+    out = printed.df.join(sized(found.df, 32), "node")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, total: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one row of each group of near duplicates: the one of least id (null last).
+
+    The wide radius suits a similarity of 0.8 and more of 5-word shingle sets; a second fingerprint of
+    another seed must confirm each link (both distances together at most `total` of 128 bits).
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    slim = docs.select(key.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    printed = Written(fingerprints(slim.withColumn("again", F.col("text")), shingle).transform(lambda d: fingerprints(d, shingle, "again", "fp2", SEED + 1)).withColumn("node", F.xxhash64("fp", "fp2")), "printed")
+    found = classes(printed.df, radius, total)
+    named = Written(printed.df.select("k", "doc_id", "node").join(sized(found.df.select("node", "root"), 24), "node").select("k", "doc_id", "root"), "named")
+    first = Written(named.df.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).getField("k").alias("winner"), F.count("*").alias("n")).where("n > 1"), "winners")
+    dropped = Written(named.df.join(sized(first.df, 24), "root").where("k <> winner").select("k").distinct(), "dropped")
+    again = Written(named.df.join(sized(first.df, 24), "root").where("k = winner").groupBy("k").count().where("count > 1").select("k"), "repeated")
+    for t in (printed, found, named, first):
+        t.drop()
+    kept = docs.withColumn("__sim_k", key).join(sized(dropped.df.toDF("__sim_k"), 16), "__sim_k", "left_anti")
+    if again.df.count():  # rows equal in id and text: one of them stays
+        few = sized(again.df.toDF("__sim_k"), 16)
+        kept = kept.join(few, "__sim_k", "left_anti").unionByName(kept.join(few, "__sim_k", "left_semi").dropDuplicates(["__sim_k"]))
+    return kept.select(*docs.columns)
