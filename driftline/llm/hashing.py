@@ -29,6 +29,12 @@ def word_features(word: str, grams: tuple[int, ...] = (4, 5)) -> list[int]:
     return out
 
 
+def stem_features(word: str) -> list[int]:
+    """Buckets of the word, its first five and its last four characters."""
+    raw = word.encode("utf-8", "replace")[:256]
+    return [zlib.crc32(raw, 1) & MASK, zlib.crc32(b"^" + raw[:5], 2) & MASK, zlib.crc32(raw[-4:] + b"$", 3) & MASK]
+
+
 class Words(dict):
     """word -> row of growing per-word arrays; `row(word)` computes a new word's values."""
 
@@ -50,7 +56,7 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def sparse(words: list[str], pairs: bool = False, cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sparse(words: list[str], pairs: bool = False, cache: dict | None = None, features=word_features) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, values) of a document: each word's features weigh count / words, pairs likewise."""
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -58,7 +64,7 @@ def sparse(words: list[str], pairs: bool = False, cache: dict | None = None) ->
     for w, c in Counter(words).items():
         f = cache.get(w) if cache is not None else None
         if f is None:
-            f = word_features(w)
+            f = features(w)
             if cache is not None and len(cache) < KEPT_WORDS:
                 cache[w] = f
         buckets += f
@@ -92,6 +98,17 @@ class Rows:
         self.n = len(rows)
         self.row = np.repeat(np.arange(self.n), np.diff(self.start))
 
+    @classmethod
+    def of(cls, buckets, values) -> Rows:
+        """From Arrow lists, without a copy per row."""
+        out = cls([])
+        out.start = np.asarray(buckets.offsets).astype(np.int64)
+        out.start = out.start - out.start[0]
+        out.buckets, out.values = np.asarray(buckets.flatten()), np.asarray(values.flatten())
+        out.n = len(buckets)
+        out.row = np.repeat(np.arange(out.n, dtype=np.int32), np.diff(out.start))
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.buckets], self.n)
 

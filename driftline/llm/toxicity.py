@@ -1,4 +1,4 @@
-"""Toxicity by non-negative positive-unlabelled learning over hashed words and character n-grams.
+"""Toxicity by non-negative positive-unlabelled learning over hashed words, their beginnings and ends.
 
 The classifier sees confirmed toxic documents and unlabelled text; the risk of the negatives is the
 unlabelled risk less the class prior's share of the positives', never below zero. The prior is the
@@ -34,7 +34,7 @@ def gathered(rows: DataFrame) -> tuple[H.Rows, np.ndarray]:
     def run(batches):
         cache: dict = {}
         for batch in batches:
-            got = [H.sparse(split_words(t), cache=cache) for t in batch.column(0).to_pylist()]
+            got = [H.sparse(split_words(t), cache=cache, features=H.stem_features) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32())), batch.column(2)],
                 names=["label", "b", "v", "k"],
@@ -42,9 +42,7 @@ def gathered(rows: DataFrame) -> tuple[H.Rows, np.ndarray]:
 
     got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, "label int, b array<int>, v array<float>, k long").toArrow()
     got = got.sort_by([("k", "ascending"), ("label", "ascending")])
-    b, v = got["b"].combine_chunks(), got["v"].combine_chunks()
-    pairs = [(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(b, v, strict=True)]
-    return H.Rows(pairs), np.array(got["label"].to_pylist(), np.int64)
+    return H.Rows.of(got["b"].combine_chunks(), got["v"].combine_chunks()), np.array(got["label"].to_pylist(), np.int64)
 
 
 def relevance(pos: H.Rows, unl: H.Rows, least: float = 2.0) -> np.ndarray:
@@ -103,7 +101,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     def run(batches):
         m = shared.value
         w = m["w"].astype(np.float64)
-        words = H.Words(lambda word: float(w[H.word_features(word)].sum()))
+        words = H.Words(lambda word: float(w[H.stem_features(word)].sum()))
         for batch in batches:
             words.trim()
             out = []
