@@ -9,7 +9,7 @@ Bounds (documented parameters): at most `positives` confirmed documents, `unlabe
 
 Defined cases: a null or empty text has no words and scores what the model's bias says; null ids are never
 held out and never train; repeated rows score alike; an empty table gives an empty result, and without
-any confirmed toxic row all scores equal the smoothed prior; other columns pass through unread.
+any confirmed toxic row nothing is called toxic and all scores are 0; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, positives: int = 3000,
     cal, y = gathered(labelled_sample(docs, labels, "toxic", usable, labelled))
     prior = float((y.sum() + 1) / (len(y) + 2))
     if not pos.n or not unl.n:
-        return {"w": np.zeros(H.DIMS, np.float32), "b": 0.0, "a": 0.0, "c": float(np.log(prior / (1 - prior))), "prior": prior}
+        return {"w": np.zeros(H.DIMS, np.float32), "b": 0.0, "a": 0.0, "c": -35.0, "prior": prior}
     w, b = train_nnpu(pos, unl, prior)
     a, c = H.platt(cal.dot(w) + b, y)
     return {"w": w.astype(np.float32), "b": b, "a": a, "c": c, "prior": prior}
