@@ -158,3 +158,10 @@ def test_snapshot_and_changes_equal_the_final_state(spark):
     for x in range(1, 10):
         base = replica.latest_rows(events.where(f"lsn < {x}"), ["pk"], ["lsn"]).withColumn("lsn", F.lit(x).cast("long")).drop("operation")
         assert {(r.pk, r.v) for r in replica.combined(base, events.where(f"lsn >= {x}"), ["pk"]).collect()} == final
+
+
+def test_packed():
+    from driftline.operators.catalog import packed
+
+    cases = {b"\xc0": None, b"\xc3": True, b"\x05": 5, b"\xff": -1, b"\xd3" + struct.pack(">q", 1000): 1000, b"\xcb" + struct.pack(">d", 1.5): 1.5, b"\xa1a": "a", b"\x81\xa1k\x92\x01\xc0": {"k": [1, None]}, b"\xc6\0\0\0\x01z": b"z"}
+    assert all(packed(v) == raw for raw, v in cases.items())
