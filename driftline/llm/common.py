@@ -6,7 +6,8 @@ import atexit
 import contextlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted rows times its row width stay below this.
@@ -75,3 +76,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limi
     )
     text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+
+
+#: Bits of a key sieve, and so its fixed size on the driver and in a plan: half a megabyte.
+SIEVE_BITS = 22
+
+
+class Sieve:
+    """Which 64-bit keys may be in a set: a bitmap of fixed size over the keys' top bits.
+
+    It only spares rows a shuffle; the join behind it decides. With more keys it lets more rows through."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        at = F.shiftrightunsigned(F.col(key), 64 - SIEVE_BITS)
+        marks = keys.groupBy(F.shiftrightunsigned(at, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned({key}, {64 - SIEVE_BITS}) & 7 as int))")).alias("mask")).toArrow()
+        bitmap = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+        bitmap[marks["byte"].to_numpy()] = marks["mask"].to_numpy()
+        self.bitmap = bytearray(bitmap.tobytes())
+
+    def passes(self, key: Column) -> Column:
+        at = F.shiftrightunsigned(key, 64 - SIEVE_BITS)
+        byte = F.substring(F.lit(self.bitmap), (F.shiftrightunsigned(at, 3) + 1).cast("int"), F.lit(1))
+        bit = at.bitwiseAND(F.lit(7)).cast("int")
+        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), bit) == 1

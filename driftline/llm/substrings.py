@@ -7,6 +7,10 @@ map-side combining, so copies, however many, never meet in one task. Of the othe
 one per distinct content is fetched; the suffixes that start at the anchor and the reversed prefixes that end
 there are sorted deep-shallow, and their common prefixes tell, byte for byte, which windows repeat.
 
+An anchor with more than CROWD contents is dealt out finer: its windows are taken PIECE offsets at a time, and
+contents meet only where they agree in all bytes that such windows share; equal pieces are again counted with
+map-side combining and meet once. What holds for the pieces is put together per content.
+
 Defined cases: null and short texts have nothing removed; repeated rows remove each other's bytes where long
 enough; null ids each give their own row; an empty table gives an empty result; other columns are ignored.
 """
@@ -22,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, Written, sized
+from .common import Sieve, Written
 from .suffixes import deep_shallow
 
 LENGTH, ANCHOR = 400, 200
 SEGMENT = 1 << 20
+CROWD, PIECE = 256, 25
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 
@@ -151,53 +156,73 @@ def repeated_parts(texts: list[tuple[bytes, int]], length: int = LENGTH) -> list
     return [(at - int(x), at - int(y) + length) if x >= 0 else None for (_, at), x, y in zip(texts, most, least, strict=True)]
 
 
-def _fetch(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (k, k2, runs: array of (h, c, a, b, p)) -> (h, c, at, content)."""
+def pieces_of(data: bytes, a: int, b: int, p: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(shared bytes' hash, first byte, end, first window offset) of the pieces of a run: windows by the number of
+    bytes before the anchor, PIECE at a time."""
+    out = []
+    for j in range((length - (b - p)) // PIECE, (p - a) // PIECE + 1):
+        low, high = max(j * PIECE, length - (b - p)), min(j * PIECE + PIECE - 1, p - a)
+        shared = data[p - j * PIECE : p - (j * PIECE + PIECE - 1) + length]
+        out.append((xxhash.xxh3_64_intdigest(shared, j) - (1 << 63), p - high, p - low + length, high))
+    return out
+
+
+_PIECES = "h long, c long, g long, q long, shift int, at int, content binary"
+
+
+def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """wanted: (k, k2, runs: array of (h, c, a, b, p, crowd)) -> pieces to compare. g tells the pieces that can agree;
+    q is the piece's own hash, shift its place in the content, at the anchor's place in the piece."""
+    names = [f.split()[0] for f in _PIECES.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches):
         for batch in batches:
-            h, c, at, content = [], [], [], []
+            rows = []
             for text, runs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 data = text.encode("utf-8", "replace")
                 for r in runs:
-                    h.append(r["h"])
-                    c.append(r["c"])
-                    at.append(r["p"] - r["a"])
-                    content.append(data[r["a"] : r["b"]])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(at, pa.int32()), pa.array(content, pa.binary())], names=["h", "c", "at", "content"])
+                    a, b, p = r["a"], r["b"], r["p"]
+                    if not r["crowd"]:
+                        rows.append((r["h"], r["c"], 0, r["c"], 0, p - a, data[a:b]))
+                        continue
+                    for g, first, end, before in pieces_of(data, a, b, p, length):
+                        piece = data[first:end]
+                        rows.append((r["h"], r["c"], g, xxhash.xxh3_64_intdigest(piece) - (1 << 63), first - a, before, piece))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=names)
 
-    return keyed.select("text", "k", "k2").join(wanted, ["k", "k2"]).select("text", "runs").mapInArrow(run, "h long, c long, at int, content binary")
+    return keyed.select("text", "k", "k2").join(wanted, ["k", "k2"]).select("text", "runs").mapInArrow(run, _PIECES)
 
 
 def _compare(contents: DataFrame, length: int) -> DataFrame:
-    """(h, c, at, content) -> (h, c, lo, hi): the part of each content that repeats in another of the same anchor."""
+    """(h, g, q, at, content), all different -> (h, g, q, lo, hi): the part of each that repeats in another of its group."""
 
     def run(batches):
         held: list = []
 
         def judged(rows):
             if len(rows) > 1:
-                for (h, c, _, _), part in zip(rows, repeated_parts([(t, at) for _, _, at, t in rows], length), strict=True):
+                for (h, g, q, _, _), part in zip(rows, repeated_parts([(t, at) for *_, at, t in rows], length), strict=True):
                     if part:
-                        yield h, c, *part
+                        yield h, g, q, *part
 
         for batch in batches:
             out = []
             for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
+                if held and held[-1][:2] != row[:2]:
                     out += judged(held)
                     held = []
-                if not held or held[-1][1] != row[1]:
-                    held.append(row)
+                held.append(row)
             yield _parts(out)
         yield _parts(list(judged(held)))
 
-    return contents.repartition("h").sortWithinPartitions("h", "c").select("h", "c", "at", "content").mapInArrow(run, "h long, c long, lo int, hi int")
+    return contents.repartition("h", "g").sortWithinPartitions("h", "g").select("h", "g", "q", "at", "content").mapInArrow(run, "h long, g long, q long, lo int, hi int")
 
 
 def _parts(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "c", "lo", "hi"])
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["h", "g", "q", "lo", "hi"])
 
 
 def covered(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Written:
@@ -205,35 +230,34 @@ def covered(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Wri
     anchors = Written(_anchors(keyed, length, anchor), "anchors")
     twice = anchors.df.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
     twice = Written(twice.select("h", (F.col("c0") == F.col("c1")).alias("same")), "anchors-twice")
-    members = Written(anchors.df.join(sized(twice.df, 16), "h"), "anchors-members")
+    members = Written(anchors.df.join(twice.df, "h"), "anchors-members")
     anchors.drop()
     twice.drop()
     mixed = members.df.where("not same")
     kinds = Written(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("k", "k2", "a", "b", "p"))), "contents")
-    wanted = Written(kinds.df.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "c", "a", "b", "p")).alias("runs")), "wanted")
-    narrow = keyed
-    if wanted.df.count():
-        few = sized(wanted.df.select("k").distinct(), 16)
-        narrow = keyed.join(few, "k", "left_semi")
-    parts = Written(_compare(_fetch(narrow, _sized_lists(wanted.df)), length), "parts")
+    crowds = kinds.df.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd"))
+    runs = kinds.df.join(crowds, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    wanted = Written(runs.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "c", "a", "b", "p", "crowd")).alias("runs")), "wanted")
+    near = keyed.where(Sieve(wanted.df, "k").passes(F.col("k")))
+    pieces = Written(_fetch(near, wanted.df, length), "pieces")
+    crowded = pieces.df.where("g <> 0")
+    once = Written(crowded.groupBy("h", "g", "q").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("content").alias("content")), "pieces-once")
+    parts = Written(_compare(pieces.df.where("g = 0").select("h", "g", "q", "at", "content").union(once.df.drop("n")), length), "parts")
+    twins = once.df.where("n > 1").select("h", "g", "q", F.lit(0).alias("lo"), F.octet_length("content").alias("hi"))
+    known = twins.union(parts.df.where("g <> 0").join(once.df.where("n = 1").select("h", "g", "q"), ["h", "g", "q"]))
+    joint = crowded.select("h", "c", "g", "q", "shift").join(known, ["h", "g", "q"]).groupBy("h", "c").agg(F.min(F.col("shift") + F.col("lo")).alias("lo"), F.max(F.col("shift") + F.col("hi")).alias("hi"))
     whole = kinds.df.where("n > 1").select("h", "c", F.lit(0).alias("lo"), (F.col("b") - F.col("a")).alias("hi"))
-    rest = parts.df.join(kinds.df.where("n = 1").select("h", "c"), ["h", "c"])
+    rest = parts.df.where("g = 0").select("h", F.col("q").alias("c"), "lo", "hi").union(joint).join(kinds.df.where("n = 1").select("h", "c"), ["h", "c"])
     ruled = Written(whole.union(rest), "ruled")
     spans = members.df.where("same").select("k", "k2", "a", "b").union(
-        mixed.join(sized(ruled.df, 24), ["h", "c"]).select("k", "k2", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
+        mixed.join(ruled.df, ["h", "c"]).select("k", "k2", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
     )
     out = Written(spans.groupBy("k", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
-    for t in (members, kinds, wanted, parts, ruled):
+    for t in (members, kinds, wanted, pieces, once, parts, ruled):
         t.drop()
     return out
 
 
-def _sized_lists(lists: DataFrame) -> DataFrame:
-    """Broadcast per-document lists if all their elements are few enough."""
-    n = lists.agg(F.count("*"), F.sum(F.size("runs"))).first()
-    return F.broadcast(lists) if 24 * n[0] + 40 * (n[1] or 0) <= BROADCAST_BYTES else lists
-
-
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -264,8 +288,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = found.df.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    spans = F.broadcast(found.df) if 24 * rows[0] + 8 * (rows[1] or 0) <= BROADCAST_BYTES else found.df
-    joined = keyed.join(spans, ["k", "k2"], "left").select("id", "text", "spans")
+    # Texts without repeated bytes stay where they are; the others meet their spans.
+    cut = Sieve(found.df, "k").passes(F.col("k"))
+    whole = keyed.where(~cut).select("id", "text", F.lit(None).cast(found.df.schema["spans"].dataType).alias("spans"))
+    joined = keyed.where(cut).join(found.df, ["k", "k2"], "left").select("id", "text", "spans").union(whole)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
     return joined.mapInArrow(run, T.StructType(fields))
