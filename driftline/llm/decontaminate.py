@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored by `report` and kept by `
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -141,53 +142,61 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
 FOUND = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, keep_text: bool) -> DataFrame:
-    """`docs` with n_words, spans of hit words and items, for one block of the benchmark."""
+def _joined(lists: list[list[int]]) -> list[int]:
+    """Union of span lists."""
+    words = [np.arange(a, b) for s in lists for a, b in zip(s[::2], s[1::2], strict=True)]
+    return spans_of(np.unique(np.concatenate(words))) if words else []
+
+
+def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, keep_text: bool, edit: bool) -> DataFrame:
+    """`docs` with n_words, spans of hit words and items, for one block of the benchmark; those of the blocks before
+    are added. edit: contaminated rows go, other rows lose their hit words, and no column is added."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES and one item
-    at = docs.columns.index(text_col)
-    rest = [f for f in docs.schema.fields if keep_text or f.name != text_col]
-    names = [f"__found_{f.name}" for f in FOUND]
+    own = [f for f in docs.schema.fields if not f.name.startswith("__found_")]
+    at = [docs.columns.index(f.name) for f in own if keep_text or f.name != text_col]
+    kept = [docs.schema.fields[i] for i in at]
+    where, before = docs.columns.index(text_col), [docs.columns.index(f"__found_{n}") for n in ("spans", "items")] if len(own) < len(docs.columns) else None
+    found = [T.StructField(f"__found_{f.name}", f.dataType) for f in FOUND]
 
     def run(batches):
         windows = Windows(shared.value)
         for batch in batches:
-            counts, found, shard = [], {}, Shard(windows)
-            for d, text in enumerate(batch.column(at).to_pylist()):
+            counts, hits, shard = [], {}, Shard(windows)
+            texts = batch.column(where).to_pylist()
+            for d, text in enumerate(texts):
                 words = words_of(text)
                 counts.append(len(words))
                 shard.add(d, words)
                 if shard.size > SHARD_SYMBOLS:
-                    found |= shard.hits()
+                    hits |= shard.hits()
                     shard = Shard(windows)
-            found |= shard.hits()
-            none = (np.zeros(0, np.int64), set())
-            each = [found.get(d, none) for d in range(len(counts))]
-            columns = [c for i, c in enumerate(batch.columns) if keep_text or i != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array([spans_of(w) for w, _ in each], pa.list_(pa.int32())), pa.array([sorted(i) for _, i in each], pa.list_(pa.string()))], names=[*(f.name for f in rest), *names])
-
-    return docs.mapInArrow(run, T.StructType([*rest, *(T.StructField(n, f.dataType) for n, f in zip(names, FOUND, strict=True))]))
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _merged(lists):
-    """Union of span lists."""
-
-    def one(spans):
-        words = [np.arange(a, b) for s in spans for a, b in zip(s[::2], s[1::2], strict=True)]
-        return spans_of(np.unique(np.concatenate(words))) if words else []
-
-    return lists.map(one)
-
-
-def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", keep_text: bool = False) -> DataFrame:
-    """`docs` with __found_n_words, __found_spans, __found_items."""
+            hits |= shard.hits()
+            spans = [spans_of(hits[d][0]) if d in hits else [] for d in range(len(counts))]
+            names = [sorted(hits[d][1]) if d in hits else [] for d in range(len(counts))]
+            if before:
+                spans = [_joined([x, y]) for x, y in zip(spans, batch.column(before[0]).to_pylist(), strict=True)]
+                names = [sorted({*x, *y}) for x, y in zip(names, batch.column(before[1]).to_pylist(), strict=True)]
+            columns = [batch.column(i) for i in at]
+            if not edit:
+                more = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=[f.name for f in (*kept, *found)])
+                continue
+            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            stay = [20 * h < n or not h for h, n in zip(hit, counts, strict=True)]
+            k = [f.name for f in kept].index(text_col)
+            if any(h and ok for h, ok in zip(hit, stay, strict=True)):
+                columns[k] = pa.array([cut_words(t, s) if s and ok else t for t, s, ok in zip(texts, spans, stay, strict=True)], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept]).filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(kept if edit else [*kept, *found]))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", edit: bool = False) -> DataFrame:
+    """`docs` without texts and with __found_n_words, __found_spans, __found_items; or, with edit, cleaned."""
     blocks = list(_blocks(benchmark, item_col, "text"))
-    out = _pass(docs, blocks[0], text_col, keep_text or len(blocks) > 1)
-    for items in blocks[1:]:  # a further block adds its spans and items to those of the row
-        had = {f"__found_{f.name}": f"__had_{f.name}" for f in FOUND}
-        out = _pass(out.withColumnsRenamed(had), items, text_col, True)
-        out = out.withColumn("__found_spans", _merged(F.array("__had_spans", "__found_spans"))).withColumn("__found_items", F.array_union("__had_items", "__found_items")).drop(*had.values())
-    return out if keep_text or len(blocks) == 1 else out.drop(text_col)
+    for items in blocks[:-1]:
+        docs = _pass(docs, items, text_col, True, False)
+    return _pass(docs, blocks[-1], text_col, edit, edit)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,9 +212,12 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     )
 
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def cut_words(text: str, spans: list[int]) -> str:
     """The text without its hit words (and what stands between them)."""
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
     out, done = [], 0
     for a, b in zip(spans[::2], spans[1::2], strict=True):
         out.append(text[done : at[a][0]])
@@ -213,15 +225,6 @@ def cut_words(text: str, spans: list[int]) -> str:
     return "".join([*out, text[done:]])
 
 
-@F.pandas_udf(T.StringType())
-def _cut(text, spans):
-    return text.combine(spans, lambda t, s: cut_words(t, list(s)) if t is not None and s is not None and len(s) else t)
-
-
 def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` without contaminated rows; other rows lose their hit words, rows without hits stay as they are."""
-    rows = found(docs, benchmark, text_col, keep_text=True)
-    hit = F.aggregate(F.transform("__found_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("__found_hit", hit).where((F.col("__found_hit") == 0) | (20 * F.col("__found_hit") < F.col("__found_n_words")))
-    return rows.withColumn(text_col, F.when(F.col("__found_hit") > 0, _cut(text_col, "__found_spans")).otherwise(F.col(text_col))).drop("__found_hit", *(f"__found_{f.name}" for f in FOUND))
-
+    return found(docs, benchmark, text_col, edit=True)

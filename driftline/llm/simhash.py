@@ -32,38 +32,39 @@ TILE, SMALL_GROUP = 1024, 48
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """One fingerprint per seed."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return [xxhash.xxh64_intdigest(joined, s) for s in seeds]
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.append(0, ends[:-1]).tolist()
-    stops = (ends - 1).tolist()
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts, stops[shingle - 1 :], strict=False)])
-    n = len(words) - shingle + 1
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):  # bounded memory for very long texts
-        part = np.frombuffer(raw, np.uint8, 8 * min(4096, n - at), 8 * at)
-        ones += np.unpackbits(part).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", out: str = "fp", seed: int = SEED) -> DataFrame:
-    """`docs` without its text and with a fingerprint (signed 64 bits); `docs` keeps its text if another one follows."""
+    parts = list(zip(np.append(0, ends[:-1]).tolist(), (ends - 1).tolist()[shingle - 1 :], strict=False))
+    digest, n, out = xxhash.xxh64_digest, len(parts), []
+    for seed in seeds:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 4096):  # bounded memory for very long texts
+            raw = b"".join([digest(joined[a:b], seed) for a, b in parts[at : at + 4096]])
+            ones += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
+    return out
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", outs: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """`docs` without its text and with a fingerprint (signed 64 bits) per name in `outs`, of consecutive seeds."""
     at = docs.columns.index(text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
+    seeds = tuple(range(SEED, SEED + len(outs)))
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle, seeds) for t in batch.column(at).to_pylist()], np.uint64).reshape(-1, len(seeds)).view(np.int64)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(fp, pa.int64())], names=[*(f.name for f in rest), out])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(fp[:, i], pa.int64()) for i in range(len(seeds)))], names=[*(f.name for f in rest), *outs])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*rest, *(T.StructField(n, T.LongType()) for n in outs)]))
 
 
 def _masks(radius: int) -> list[int]:
@@ -198,7 +199,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, total: int = 20
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = docs.select(key.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    printed = Written(fingerprints(slim.withColumn("again", F.col("text")), shingle).transform(lambda d: fingerprints(d, shingle, "again", "fp2", SEED + 1)).withColumn("node", F.xxhash64("fp", "fp2")), "printed")
+    printed = Written(fingerprints(slim, shingle, outs=("fp", "fp2")).withColumn("node", F.xxhash64("fp", "fp2")), "printed")
     found = classes(printed.df, radius, total)
     named = Written(printed.df.select("k", "doc_id", "node").join(sized(found.df.select("node", "root"), 24), "node").select("k", "doc_id", "root"), "named")
     first = Written(named.df.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).getField("k").alias("winner"), F.count("*").alias("n")).where("n > 1"), "winners")

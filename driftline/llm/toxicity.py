@@ -79,7 +79,7 @@ def train_nnpu(pos: H.Rows, unl: H.Rows, prior: float, epochs: int = 150, rate:
     return full, float(b[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable=None, positives: int = 3000, unlabelled: int = 5000, labelled: int = 6000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, usable=None, positives: int = 2000, unlabelled: int = 3000, labelled: int = 3000) -> dict:
     usable = F.lit(True) if usable is None else usable
     pos, _ = gathered(labelled_sample(docs, labels.where("toxic = 1"), "toxic", usable, positives))
     everyone = docs.select("doc_id").where(F.col("doc_id").isNotNull() & usable).distinct().withColumn("unseen", F.lit(0))

@@ -138,7 +138,10 @@ def test_deep_shallow():
 
 
 @pytest.mark.parametrize("big", [False, True])
-def test_repeats(spark, big):
+@pytest.mark.parametrize("crowd", [256, 2])
+def test_repeats(spark, big, crowd, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "PIECE", 4)
     r = random.Random(5 + big)
     base = ["".join(r.choice("abcdé ") for _ in range(300)) for _ in range(2 if big else 4)]
     rows = []
@@ -255,6 +258,19 @@ def test_decontaminate_odd(spark, odd, block, monkeypatch):
     assert decontaminate.report(odd.limit(0), bench).count() == 0
 
 
+def test_cut_words(spark):
+    r = random.Random(8)
+    leak = " ".join(f"w{i}" for i in range(13))
+    filler = lambda n: " ".join(r.choice(["The", "ÉTÉ", "x-y", "Q.", "z9"]) for _ in range(n))
+    rows = [(i, f"{(a := filler(400))} {leak.upper()}, {(b := filler(30))}", f"{a} , {b}") for i in range(5)] + [(9, leak, None)]
+    for block in (decontaminate.BLOCK_BYTES, 1):
+        before, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, block
+        bench = spark.createDataFrame([(1, leak), (2, "other words"), (3, leak)], "item_id long, text string")
+        got = decontaminate.cleaned(spark.createDataFrame(rows, "doc_id long, text string, want string"), bench).collect()
+        decontaminate.BLOCK_BYTES = before
+        assert len(got) == 5 and all(x.text == x.want for x in got)
+
+
 # --- op6 ---
 
 
