@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from driftline.operators import catalog as K
+from driftline.operators import guards as G
 from driftline.operators import snapshot as P
 from driftline.plans.base import CHANGES, changes
 from driftline.plans.registry import query
@@ -68,7 +69,7 @@ def widest_rows(spark, d):
     return K.widest_rows({t: T.scan(spark, d, t) for t in ("customer", "pages")}, 130)
 
 
-@query("""SELECT 'part' AS "table", p_name AS "column", octet_length(encode(p_type)) AS bytes FROM part WHERE octet_length(encode(p_type)) >= 6""")
+@query("""SELECT 'part' AS "table", p_name AS "column", octet_length(encode(p_type))::INTEGER AS bytes FROM part WHERE octet_length(encode(p_type)) >= 6""")
 def oversized_defaults(spark, d):
     return K.oversized_defaults(T.scan(spark, d, "part").select(F.lit("part").alias("table"), F.col("p_name").alias("column"), F.col("p_type").alias("default_text")), 6)
 
@@ -110,6 +111,13 @@ def log_counters(spark, d):
     return K.counters(changes(spark, d).select("lsn", kind.alias("kind")))
 
 
+@query("""SELECT n_regionkey AS "table", '[' || string_agg('{"name":"' || n_name || '","type":"int"}', ',' ORDER BY n_nationkey) || ']' AS columns, coalesce(string_agg(CASE WHEN n_nationkey % 2 = 0 THEN n_name END, ',' ORDER BY n_nationkey DESC), '') AS pk_columns FROM nation GROUP BY 1""")
+def columns_json(spark, d):
+    k = F.col("n_nationkey")
+    layout = T.scan(spark, d, "nation").select(F.col("n_regionkey").alias("table"), k.alias("ordinal"), F.col("n_name").alias("name"), F.lit("int").alias("type"), F.when(k % 2 == 0, -k).alias("pk_ordinal"))
+    return G.columns_json(layout)
+
+
 @query(W + "SELECT DISTINCT tenant FROM changes WHERE operation = 'DELETE'")
 def tombstone_tenants(spark, d):
     return changes(spark, d).where("operation = 'DELETE'").select("tenant").distinct()

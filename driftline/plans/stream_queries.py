@@ -120,7 +120,7 @@ def event_wire_size(spark, d):
 
 
 @query(W + """, s AS (SELECT tenant AS stream, min(seq) + (CASE tenant WHEN 't1' THEN 500 ELSE 0 END) AS first_seq FROM changes GROUP BY tenant)
- SELECT stream, first_seq, seq, seq = 0 OR (first_seq > 0 AND seq < first_seq - 1) AS gap FROM (SELECT stream, first_seq, CASE stream WHEN 't0' THEN 0 WHEN 't1' THEN 100 ELSE 50 END AS seq FROM s)""")
+ SELECT stream, first_seq, seq, seq = 0 OR (first_seq > 0 AND seq < first_seq - 1) AS gap FROM (SELECT stream, first_seq, (CASE stream WHEN 't0' THEN 0 WHEN 't1' THEN 100 ELSE 50 END)::BIGINT AS seq FROM s)""")
 def gap_check(spark, d):
     s = changes(spark, d).groupBy(F.col("tenant").alias("stream")).agg(F.min("seq").alias("lo")).select("stream", (F.col("lo") + F.when(F.col("stream") == "t1", 500).otherwise(0)).alias("first_seq"))
     seen = s.where("stream <> 't0'").select("stream", F.when(F.col("stream") == "t1", 100).otherwise(50).cast("long").alias("seq"))
@@ -178,7 +178,7 @@ def kv_view(spark, d):
     return T.kv_view(log).select("key", "seq", "value")
 
 
-@query(W + """SELECT seq, sum(CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY "table" ORDER BY seq) AS run FROM changes""")
+@query(W + """SELECT seq, sum(CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY "table" ORDER BY seq)::BIGINT AS run FROM changes""")
 def schema_runs(spark, d):
     return C.schema_runs(changes(spark, d).withColumn("is_schema", F.col("seq") % 97 == 0)).select("seq", "run")
 
