@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import uuid
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in small parts, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def tidy(run):
+    """`run` for mapInArrow, whose worker gives its memory back when a task is done: workers stay for later tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 class Written:
     """A DataFrame written as Parquet in the shared folder: lineage ends here and survives lost executors."""
 
@@ -78,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limi
     return text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
 
 
-#: Bits of a key sieve, and so its fixed size on the driver and in a plan: half a megabyte.
+#: Bits of a key sieve, in words of 64: at most 65,536 rows, so it is always broadcast.
 SIEVE_BITS = 22
 
 
@@ -88,14 +110,17 @@ class Sieve:
     It only spares rows a shuffle; the join behind it decides. With more keys it lets more rows through."""
 
     def __init__(self, keys: DataFrame, key: str):
-        at = F.shiftrightunsigned(F.col(key), 64 - SIEVE_BITS)
-        marks = keys.groupBy(F.shiftrightunsigned(at, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned({key}, {64 - SIEVE_BITS}) & 7 as int))")).alias("mask")).toArrow()
-        bitmap = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
-        bitmap[marks["byte"].to_numpy()] = marks["mask"].to_numpy()
-        self.bitmap = bytearray(bitmap.tobytes())
-
-    def passes(self, key: Column) -> Column:
-        at = F.shiftrightunsigned(key, 64 - SIEVE_BITS)
-        byte = F.substring(F.lit(self.bitmap), (F.shiftrightunsigned(at, 3) + 1).cast("int"), F.lit(1))
-        bit = at.bitwiseAND(F.lit(7)).cast("int")
-        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), bit) == 1
+        word, bit = self._place(F.col(key))
+        one = keys.select(word.alias("word"), bit.alias("bit")).distinct()
+        self.words = Written(one.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")), "sieve")
+
+    @staticmethod
+    def _place(key: Column) -> tuple[Column, Column]:
+        return F.shiftrightunsigned(key, 70 - SIEVE_BITS), F.shiftrightunsigned(key, 64 - SIEVE_BITS).bitwiseAND(F.lit(63)).cast("int")
+
+    def marked(self, df: DataFrame, key: str, out: str) -> DataFrame:
+        """`df` with a boolean: false only for keys outside the set."""
+        word, bit = self._place(F.col(key))
+        words = F.broadcast(self.words.df.toDF("__word", "__mask"))
+        hit = F.coalesce(F.getbit("__mask", bit) == 1, F.lit(False))
+        return df.withColumn("__word", word).join(words, "__word", "left").withColumn(out, hit).drop("__word", "__mask")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Sieve, Written
+from .common import Sieve, Written, sized, slices, tidy
 from .suffixes import deep_shallow
 
 LENGTH, ANCHOR = 400, 200
@@ -102,7 +102,7 @@ def _anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def run(batches):
         powers = Powers()
-        for batch in batches:
+        for batch in slices(batches):
             own: list[list] = [[] for _ in names]
             for text, k, k2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode("utf-8", "replace")
@@ -115,7 +115,7 @@ def _anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     long = F.octet_length("text") >= length
-    return keyed.where(long).select("text", "k", "k2").mapInArrow(run, "k long, k2 int, a int, b int, p int, h long, c long")
+    return keyed.where(long).select("text", "k", "k2").mapInArrow(tidy(run), "k long, k2 int, a int, b int, p int, h long, c long")
 
 
 def repeated_parts(texts: list[tuple[bytes, int]], length: int = LENGTH) -> list[tuple[int, int] | None]:
@@ -177,7 +177,7 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, runs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 data = text.encode("utf-8", "replace")
@@ -192,7 +192,7 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=names)
 
-    return keyed.select("text", "k", "k2").join(wanted, ["k", "k2"]).select("text", "runs").mapInArrow(run, _PIECES)
+    return keyed.select("text", "k", "k2").join(wanted, ["k", "k2"]).select("text", "runs").mapInArrow(tidy(run), _PIECES)
 
 
 def _compare(contents: DataFrame, length: int) -> DataFrame:
@@ -217,7 +217,7 @@ def _compare(contents: DataFrame, length: int) -> DataFrame:
             yield _parts(out)
         yield _parts(list(judged(held)))
 
-    return contents.repartition("h", "g").sortWithinPartitions("h", "g").select("h", "g", "q", "at", "content").mapInArrow(run, "h long, g long, q long, lo int, hi int")
+    return contents.repartition("h", "g").sortWithinPartitions("h", "g").select("h", "g", "q", "at", "content").mapInArrow(tidy(run), "h long, g long, q long, lo int, hi int")
 
 
 def _parts(rows: list) -> pa.RecordBatch:
@@ -235,10 +235,10 @@ def covered(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Wri
     twice.drop()
     mixed = members.df.where("not same")
     kinds = Written(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("k", "k2", "a", "b", "p"))), "contents")
-    crowds = kinds.df.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd"))
-    runs = kinds.df.join(crowds, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    crowds = Written(kinds.df.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd")), "crowds")
+    runs = kinds.df.join(sized(crowds.df, 16), "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     wanted = Written(runs.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "c", "a", "b", "p", "crowd")).alias("runs")), "wanted")
-    near = keyed.where(Sieve(wanted.df, "k").passes(F.col("k")))
+    near = Sieve(wanted.df, "k").marked(keyed, "k", "near").where("near").drop("near")
     pieces = Written(_fetch(near, wanted.df, length), "pieces")
     crowded = pieces.df.where("g <> 0")
     once = Written(crowded.groupBy("h", "g", "q").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("content").alias("content")), "pieces-once")
@@ -253,7 +253,7 @@ def covered(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Wri
         mixed.join(ruled.df, ["h", "c"]).select("k", "k2", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
     )
     out = Written(spans.groupBy("k", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
-    for t in (members, kinds, wanted, pieces, once, parts, ruled):
+    for t in (members, kinds, crowds, wanted, pieces, once, parts, ruled):
         t.drop()
     return out
 
@@ -274,7 +274,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     found = covered(keyed, length, anchor)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
@@ -289,8 +289,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     # Texts without repeated bytes stay where they are; the others meet their spans.
-    cut = Sieve(found.df, "k").passes(F.col("k"))
-    whole = keyed.where(~cut).select("id", "text", F.lit(None).cast(found.df.schema["spans"].dataType).alias("spans"))
-    joined = keyed.where(cut).join(found.df, ["k", "k2"], "left").select("id", "text", "spans").union(whole)
+    marked = Sieve(found.df, "k").marked(keyed, "k", "cut")
+    whole = marked.where("not cut").select("id", "text", F.lit(None).cast(found.df.schema["spans"].dataType).alias("spans"))
+    joined = marked.where("cut").join(found.df, ["k", "k2"], "left").select("id", "text", "spans").union(whole)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(tidy(run), T.StructType(fields))
