@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
 from .fmindex import FMIndex
 
 WINDOW, BLOCK_BYTES, SHARD_SYMBOLS = 13, 8 << 20, 2_000_000
@@ -188,7 +189,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, keep_tex
                 columns[k] = pa.array([cut_words(t, s) if s and ok else t for t, s, ok in zip(texts, spans, stay, strict=True)], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept]).filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, T.StructType(kept if edit else [*kept, *found]))
+    return docs.mapInArrow(tidy(run), T.StructType(kept if edit else [*kept, *found]))
 
 
 def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", edit: bool = False) -> DataFrame:

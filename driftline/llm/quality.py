@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import labelled_sample
+from .common import labelled_sample, slices, tidy
 
 PASSAGE, MAX_BAG, HASHED, HIDDEN, GATE = 64, 64, 12, 16, 8
 #: Characters whose shares describe a word.
@@ -120,7 +120,7 @@ def train(x: np.ndarray, start: np.ndarray, y: np.ndarray, epochs: int = 250, ra
 def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     def run(batches):
         encoder = Encoder()
-        for batch in batches:
+        for batch in slices(batches):
             encoder.words.trim()
             out = []
             for text in batch.column(0).to_pylist():
@@ -128,7 +128,7 @@ def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
                 out.append(x[np.linspace(0, len(x) - 1, min(len(x), MAX_BAG)).astype(int)].ravel())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.float32())), batch.column(2)], names=["label", "x", "k"])
 
-    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, "label int, x array<float>, k long").toArrow()
+    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(tidy(run), "label int, x array<float>, k long").toArrow()
     got = got.sort_by([("k", "ascending"), ("label", "ascending")])
     bags = [np.asarray(v.values).reshape(-1, WIDTH + 3) for v in got["x"].combine_chunks()]
     start = np.cumsum([0] + [len(b) for b in bags])[:-1]
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
 
     def run(batches):
         m, encoder = shared.value, Encoder()
-        for batch in batches:
+        for batch in slices(batches):
             encoder.words.trim()
             texts = batch.column(at).to_pylist()
             if m["p"] is None or not texts:
@@ -164,4 +164,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
                 out = H.sigmoid(m["a"] * _forward(m["p"], (np.concatenate(bags) - m["mean"]) / m["std"], start)[0] + m["c"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema=batch.schema.append(pa.field(score_col, pa.float64())))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

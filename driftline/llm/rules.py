@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import labelled_sample
+from .common import labelled_sample, slices, tidy
 
 #: Fixed limits.
 MIN_WORDS, MAX_REPEATED_PERCENT, KEEP_AT = 50, 50, 0.5
@@ -74,11 +74,11 @@ def train(rows: H.Rows, y: np.ndarray, epochs: int = 150, rate: float = 0.3, dec
 def gathered(rows: DataFrame) -> tuple[H.Rows, np.ndarray, np.ndarray]:
     def run(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             got = [H.sparse(words_of(t), pairs=True, cache=cache) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32())), batch.column(2)], names=["label", "b", "v", "k"])
 
-    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, "label int, b array<int>, v array<float>, k long").toArrow()
+    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(tidy(run), "label int, b array<int>, v array<float>, k long").toArrow()
     got = got.sort_by([("k", "ascending"), ("label", "ascending")])
     pairs = [(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(got["b"].combine_chunks(), got["v"].combine_chunks(), strict=True)]
     return H.Rows(pairs), np.array(got["label"].to_pylist(), np.int64), np.array(got["k"].to_pylist(), np.int64)
@@ -107,7 +107,7 @@ def judge(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         m = shared.value
         w = m["w"].astype(np.float64)
         words = H.Words(lambda word: (float(w[H.word_features(word)].sum()), zlib.crc32(word.encode("utf-8", "replace")[:256], 1)))
-        for batch in batches:
+        for batch in slices(batches):
             words.trim()
             out = []
             for text in batch.column(1).to_pylist():
@@ -133,4 +133,4 @@ def judge(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")

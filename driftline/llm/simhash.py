@@ -24,47 +24,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, sized
+from .common import Written, sized, slices, tidy
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 TILE, SMALL_GROUP = 1024, 48
+WIDE = ("fp2", "fp3")
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """One fingerprint per seed."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, wide: bool = False) -> list[int]:
+    """The fingerprint of the XXH64 hashes; with `wide` two more, of the 128-bit XXH3 hashes."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return [0] * len(seeds)
+        return [0] * (3 if wide else 1)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return [xxhash.xxh64_intdigest(joined, s) for s in seeds]
-    ends = np.cumsum([len(w) + 1 for w in words])
-    parts = list(zip(np.append(0, ends[:-1]).tolist(), (ends - 1).tolist()[shingle - 1 :], strict=False))
-    digest, n, out = xxhash.xxh64_digest, len(parts), []
-    for seed in seeds:
-        ones = np.zeros(64, np.int64)
+        parts = [(0, len(joined))]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words])
+        parts = list(zip(np.append(0, ends[:-1]).tolist(), (ends - 1).tolist()[shingle - 1 :], strict=False))
+    n, out = len(parts), b""
+    for digest, width in ((xxhash.xxh64_digest, 64), (xxhash.xxh3_128_digest, 128))[: 1 + wide]:
+        ones = np.zeros(width, np.int64)
         for at in range(0, n, 4096):  # bounded memory for very long texts
-            raw = b"".join([digest(joined[a:b], seed) for a, b in parts[at : at + 4096]])
-            ones += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
-    return out
+            raw = b"".join([digest(joined[a:b], SEED) for a, b in parts[at : at + 4096]])
+            ones += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, width).sum(0, dtype=np.int64)
+        out += np.packbits(2 * ones > n).tobytes()
+    return np.frombuffer(out, ">u8").tolist()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", outs: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """`docs` without its text and with a fingerprint (signed 64 bits) per name in `outs`, of consecutive seeds."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", wide: bool = False) -> DataFrame:
+    """`docs` without its text and with the fingerprint `fp` (signed 64 bits); with `wide` also fp2 and fp3."""
     at = docs.columns.index(text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    seeds = tuple(range(SEED, SEED + len(outs)))
+    outs = ("fp", *WIDE) if wide else ("fp",)
 
     def run(batches):
-        for batch in batches:
-            fp = np.array([fingerprint(t, shingle, seeds) for t in batch.column(at).to_pylist()], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+        for batch in slices(batches):
+            fp = np.array([fingerprint(t, shingle, wide) for t in batch.column(at).to_pylist()], np.uint64).reshape(-1, len(outs)).view(np.int64)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(fp[:, i], pa.int64()) for i in range(len(seeds)))], names=[*(f.name for f in rest), *outs])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(fp[:, i], pa.int64()) for i in range(len(outs)))], names=[*(f.name for f in rest), *outs])
 
-    return docs.mapInArrow(run, T.StructType([*rest, *(T.StructField(n, T.LongType()) for n in outs)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*rest, *(T.StructField(n, T.LongType()) for n in outs)]))
 
 
 def _masks(radius: int) -> list[int]:
@@ -88,14 +90,15 @@ def _merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = i[apart], j[apart]
 
 
-def linked(group: np.ndarray, fp: np.ndarray, radius: int, second: np.ndarray | None = None, total: int = 128) -> np.ndarray:
+def linked(group: np.ndarray, fp: np.ndarray, radius: int, more: np.ndarray | None = None, total: int = 192) -> np.ndarray:
     """Label of each fingerprint after comparing all pairs of its group. Rows are sorted by group, then bit count.
-    With second fingerprints, both distances together must stay within `total` as well."""
+    With more fingerprints (one a row of `more`), all distances together must stay within `total` as well."""
 
     def confirmed(i, j):
-        if second is None:
+        if more is None:
             return i, j
-        ok = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(second[i] ^ second[j]) <= total
+        apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int16) + sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int16) for m in more)
+        ok = apart <= total
         return i[ok], j[ok]
 
     n = len(fp)
@@ -128,7 +131,10 @@ def linked(group: np.ndarray, fp: np.ndarray, radius: int, second: np.ndarray |
 
 def links_of(distinct: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
     """(a, b) links between nodes that connect all fingerprints within the radius of each other.
-    distinct: (node, fp), and a second fingerprint `fp2` if `total` is given."""
+
+    With `total`, distinct has fp2 and fp3 too, and links are pairs with all 192 bits within `total`; the radius
+    then only says how fingerprints are dealt to buckets (pairs within it always meet, most others near it too)."""
+    reach = radius if total is None else 2 * radius
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -136,8 +142,8 @@ def links_of(distinct: DataFrame, radius: int = RADIUS, total: int | None = None
         def stars():
             t = np.concatenate(held, 1)
             change = (t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])
-            second = t[4].view(np.uint64) if total is not None else None
-            lab = linked(np.append(0, np.cumsum(change)), t[3].view(np.uint64), radius, second, total or 128)
+            more = t[4:].view(np.uint64) if total is not None else None
+            lab = linked(np.append(0, np.cumsum(change)), t[3].view(np.uint64), reach, more, total or 192)
             i = np.flatnonzero(lab != np.arange(len(lab)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(t[2, i]), pa.array(t[2, lab[i]])], names=["a", "b"])
@@ -158,14 +164,14 @@ def links_of(distinct: DataFrame, radius: int = RADIUS, total: int | None = None
             yield stars()
 
     tagged = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius))))
-    columns = ["t", "key", "node", "fp"] + ["fp2"] * (total is not None)
+    columns = ["t", "key", "node", "fp"] + list(WIDE) * (total is not None)
     dealt = distinct.select(*columns[2:], tagged.alias("t", "key")).select(*columns)
-    return dealt.repartition("t", "key").sortWithinPartitions("t", "key", F.bit_count("fp")).mapInArrow(run, "a long, b long")
+    return dealt.repartition("t", "key").sortWithinPartitions("t", "key", F.bit_count("fp")).mapInArrow(tidy(run), "a long, b long")
 
 
 def classes(printed: DataFrame, radius: int = RADIUS, total: int | None = None) -> Written:
-    """(doc_id, node, fp[, fp2]) rows -> table (node, root, component_id) over the distinct nodes; root names the component."""
-    prints = ["fp"] + ["fp2"] * (total is not None)
+    """(doc_id, node, fp[, fp2, fp3]) rows -> table (node, root, component_id) over the distinct nodes; root names the component."""
+    prints = ["fp"] + list(WIDE) * (total is not None)
     least = Written(printed.groupBy("node", *prints).agg(F.min("doc_id").alias("rep")), "fingerprints")
     star = components(links_of(least.df.drop("rep"), radius, total))
     members = star.df.toDF("node", "root")
@@ -191,15 +197,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, total: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, total: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one of least id (null last).
 
-    The wide radius suits a similarity of 0.8 and more of 5-word shingle sets; a second fingerprint of
-    another seed must confirm each link (both distances together at most `total` of 128 bits).
+    For a similarity of 0.8 and more of 5-word shingle sets: about 15 % of the bits differ at 0.8, so links
+    are pairs that differ in at most `total` of 192 bits.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = docs.select(key.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    printed = Written(fingerprints(slim, shingle, outs=("fp", "fp2")).withColumn("node", F.xxhash64("fp", "fp2")), "printed")
+    printed = Written(fingerprints(slim, shingle, wide=True).withColumn("node", F.xxhash64("fp", *WIDE)), "printed")
     found = classes(printed.df, radius, total)
     named = Written(printed.df.select("k", "doc_id", "node").join(sized(found.df.select("node", "root"), 24), "node").select("k", "doc_id", "root"), "named")
     first = Written(named.df.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).getField("k").alias("winner"), F.count("*").alias("n")).where("n > 1"), "winners")

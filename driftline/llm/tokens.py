@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices, tidy
+
 #: Fixed value: the pre-token pattern of byte-level BPE. White space is spelled as the Unicode property.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -96,7 +98,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
     def run(batches):
         counter = BytePairCounter(json.loads(shared.value))
-        for batch in batches:
+        for batch in slices(batches):
             if len(counter) >= CACHE_WORDS:
                 counter.clear()
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -107,4 +109,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

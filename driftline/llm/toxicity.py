@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import labelled_sample
+from .common import labelled_sample, slices, tidy
 
 
 def split_words(text: str | None) -> list[str]:
@@ -33,14 +33,14 @@ def gathered(rows: DataFrame) -> tuple[H.Rows, np.ndarray]:
 
     def run(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in slices(batches):
             got = [H.sparse(split_words(t), cache=cache, features=H.stem_features) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32())), batch.column(2)],
                 names=["label", "b", "v", "k"],
             )
 
-    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(run, "label int, b array<int>, v array<float>, k long").toArrow()
+    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(tidy(run), "label int, b array<int>, v array<float>, k long").toArrow()
     got = got.sort_by([("k", "ascending"), ("label", "ascending")])
     return H.Rows.of(got["b"].combine_chunks(), got["v"].combine_chunks()), np.array(got["label"].to_pylist(), np.int64)
 
@@ -102,7 +102,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
         m = shared.value
         w = m["w"].astype(np.float64)
         words = H.Words(lambda word: float(w[H.stem_features(word)].sum()))
-        for batch in batches:
+        for batch in slices(batches):
             words.trim()
             out = []
             for text in batch.column(at).to_pylist():
@@ -112,4 +112,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
                 out.append(m["a"] * raw + m["c"])
             yield batch.append_column(score_col, pa.array(H.sigmoid(np.array(out, float)), pa.float64())) if out else pa.RecordBatch.from_pylist([], schema=batch.schema.append(pa.field(score_col, pa.float64())))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
