@@ -14,19 +14,36 @@ from driftline.llm import decontaminate, mixing, pii, simhash, toxicity
 from driftline.llm.common import Written, table
 
 TOXIC_AT = 0.3
+#: Rows of an Arrow batch: texts are long, and executors keep a batch per worker in and out.
+BATCH_ROWS = 2000
 
 
+def _in_small_batches(stage):
+    """The stage, run in batches of BATCH_ROWS; the setting holds for what the session does after it, too, as
+    the stage's plan is made when its result is written."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    run_stage.__doc__, run_stage.__name__ = stage.__doc__, stage.__name__
+    return run_stage
+
+
+@_in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC_AT or more go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score_col="__toxicity").where(F.col("__toxicity") < TOXIC_AT).select(*docs.columns)
 
 
+@_in_small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (5-word shingles)."""
     return simhash.keep_one(docs)
 
 
+@_in_small_batches
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; benchmark passages are cut from the others."""
     return _counted(decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")), docs)
