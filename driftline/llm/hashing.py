@@ -19,7 +19,7 @@ KEPT_WORDS = 300_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_features(word: str, grams: tuple[int, ...] = (4, 5)) -> list[int]:
+def word_features(word: str, grams: tuple[int, ...] = (4,)) -> list[int]:
     """Buckets of the word and of its character n-grams; ^ and $ mark its ends."""
     raw = word.encode("utf-8", "replace")[:256]
     marked = b"^" + raw + b"$"
