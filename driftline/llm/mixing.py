@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Written, sized
+from .common import BROADCAST_BYTES, WORD, Written, sized
 
 WEIGHTS, SHARE, CAP, ROUNDS = (3.0, 1.0, 2.0), 1.5, 2.0, 3
 BIN_ROWS = 4096
@@ -61,7 +61,8 @@ def solve_dual(cells: DataFrame, target: dict[str, float], cap: float = CAP, ste
     spark = cells.sparkSession
     lam, edge = dict.fromkeys(target, 0.0), math.log(cap)
     for _ in range(steps):
-        now = sized(spark.createDataFrame(list(lam.items()), "s string, lam double"), 64)
+        now = spark.createDataFrame(list(lam.items()), "s string, lam double")
+        now = F.broadcast(now) if len(lam) * 64 <= BROADCAST_BYTES else now
         rate = F.least(F.lit(cap), F.exp("lam"))
         sums = cells.join(now, "s").groupBy("s").agg(F.sum(F.col("tokens") * rate).alias("got")).collect()
         moved = 0.0
@@ -98,12 +99,12 @@ class Mix:
         self.n_sources = len(rows)
         n = self.units.df.count()
         self.bins = 1 << max(4, (max(1, n // BIN_ROWS)).bit_length())
-        self.rounds: list[tuple[Written, Written]] = []
+        self.rounds: list[tuple[DataFrame, DataFrame]] = []  # per source the edge and the largest size; the picks at the edge
         for k in range(ROUNDS):
             self._round(k)
 
     def _small(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.n_sources * 128 <= 16 << 20 else df
+        return F.broadcast(df) if self.n_sources * 128 <= BROADCAST_BYTES else df
 
     def _hash(self, k: int) -> Column:
         return F.xxhash64(F.lit(k), "i", "size")
@@ -119,9 +120,9 @@ class Mix:
         """`df` (i, s, size, ...) with `more`: 1 if one of the first k rounds gives another copy."""
         df = df.withColumn("more", F.lit(0))
         for j, (edges, picks) in enumerate(self.rounds[:k]):
-            df = df.join(self._small(edges.df.select("s", "edge", "limit")), "s", "left")
+            df = df.join(edges, "s", "left")
             df = df.withColumns({"u": self._hash(j), "at": self._bin(j)})
-            df = df.join(sized(picks.df, 48), ["s", "u"], "left")
+            df = df.join(picks, ["s", "u"], "left")
             takes = (F.col("size") > 0) & (F.col("size") <= F.col("limit")) & ((F.col("at") < F.col("edge")) | F.col("picked").isNotNull())
             df = df.withColumn("more", F.when((F.col("more") == 1) | F.coalesce(takes, F.lit(False)), 1).otherwise(0)).drop("edge", "limit", "u", "at", "picked")
         return df
@@ -141,7 +142,7 @@ class Mix:
         picks = Written(run.where("upto <= rest").select("s", "u", F.lit(True).alias("picked")), "mix-picks")
         fits.drop()
         left.drop()
-        self.rounds.append((edges, picks))
+        self.rounds.append((self._small(edges.df.select("s", "edge", "limit")), sized(picks.df, 48)))
 
     def left(self) -> DataFrame:
         """Words still wanted per source; a document fits if it has no more."""
