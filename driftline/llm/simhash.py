@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import nearcopies
 from .common import Written, sized, slices, tidy
 from .graph import components
 
@@ -197,17 +198,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, total: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one of least id (null last).
 
-    For a similarity of 0.8 and more of 5-word shingle sets: about 15 % of the bits differ at 0.8, so links
-    are pairs that differ in at most `total` of 192 bits.
+    Links are pairs whose shingle sets have this Jaccard similarity at least, compared exactly (`nearcopies`);
+    equal sets, empty ones too, are one.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     slim = docs.select(key.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    printed = Written(fingerprints(slim, shingle, wide=True).withColumn("node", F.xxhash64("fp", *WIDE)), "printed")
-    found = classes(printed.df, radius, total)
-    named = Written(printed.df.select("k", "doc_id", "node").join(sized(found.df.select("node", "root"), 24), "node").select("k", "doc_id", "root"), "named")
+    printed = Written(nearcopies.signed(slim, shingle), "printed")
+    found = components(nearcopies.links(printed.df, slim, shingle, similarity))
+    roots = sized(found.df.toDF("node", "root"), 24)
+    named = Written(printed.df.select("k", "doc_id", "node").join(roots, "node", "left").select("k", "doc_id", F.coalesce("root", "node").alias("root")), "named")
     first = Written(named.df.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).getField("k").alias("winner"), F.count("*").alias("n")).where("n > 1"), "winners")
     dropped = Written(named.df.join(sized(first.df, 24), "root").where("k <> winner").select("k").distinct(), "dropped")
     again = Written(named.df.join(sized(first.df, 24), "root").where("k = winner").groupBy("k").count().where("count > 1").select("k"), "repeated")

@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, fmindex, graph, mixing, oracles, pii, quality, queries, rules, simhash, substrings, suffixes, tokens, toxicity, urls
+from driftline.llm import decontaminate, fmindex, graph, mixing, nearcopies, oracles, pii, quality, queries, rules, simhash, substrings, suffixes, tokens, toxicity, urls
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -125,6 +126,34 @@ def test_keep_one_finds_near_copies(spark):
     assert kept >= set(range(40)) and len(kept) <= 42
 
 
+@pytest.mark.parametrize(("similarity", "linked"), [(0.75, False), (0.8, True), (0.85, True)])
+def test_keep_one_at_the_threshold(spark, similarity, linked):
+    """Pairs planted at a similarity: `same` common 5-word shingles, `own` more on each side."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    same, own = {0.75: (60, 10), 0.8: (80, 10), 0.85: (85, 15)}[similarity]
+    sides = (own, own) if similarity < 0.85 else (own, 0)
+    rows = []
+    for i in range(300):
+        base = [word() for _ in range(same + 4)]
+        rows += [(2 * i + side, " ".join(base + [word() for _ in range(more)])) for side, more in enumerate(sides)]
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows[:2])]
+    assert len(grams[0] & grams[1]) / len(grams[0] | grams[1]) == similarity
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(range(0, 600, 2 if linked else 1))
+
+
+def test_near_copies_against_brute_force():
+    r = random.Random(8)
+    base = [r.random() for _ in range(40)]
+    sets = [np.unique(np.array([hash(x) for x in base if r.random() < 0.93] + [r.getrandbits(60) for _ in range(r.randrange(4))], np.uint64)) for _ in range(60)]
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    near = [(i, j) for i in range(60) for j in range(i) if alike(sets[i], sets[j])]
+    lab = nearcopies.linked(sets, 0.8)
+    assert 1 < len(set(lab.tolist())) < 60
+    assert brute.classes(range(60), [(i, int(x)) for i, x in enumerate(lab)]) == brute.classes(range(60), near)
+
+
 # --- op3 ---
 
 
