@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +78,24 @@ def transitions_of_pairs(rows: DataFrame, watched: list[str]) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame, window_s: int = 120) -> DataFrame:
-    """A message id counts once in a window after its last appearance that counted as first of a run."""
-    w = Window.partitionBy("msg_id").orderBy("arrived", "seq")
-    gap = F.col("arrived").cast("timestamp").cast("double") - F.lag("arrived").over(w).cast("timestamp").cast("double")
-    return rows.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") > window_s)).drop("__gap")
+    """A message id counts once in a window after its last appearance that counted: copies in between don't renew it.
+
+    Rows stream through in the order of the ids, with one time held."""
+    slim = rows.withColumn("__at", F.unix_micros(F.col("arrived").cast("timestamp")))
+
+    def run(batches):
+        last, counted = None, None
+        for batch in batches:
+            keep = []
+            for name, at in zip(batch.column("msg_id").to_pylist(), batch.column("__at").to_pylist(), strict=True):
+                new = counted is None or name != last
+                keep.append(new or at is None or counted[0] is None or at - counted[0] > window_s * 1_000_000)
+                if keep[-1]:
+                    last, counted = name, (at,)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = slim.repartition("msg_id").sortWithinPartitions("msg_id", "__at", "seq")
+    return ordered.mapInArrow(run, slim.schema).drop("__at")
 
 
 def batches(rows: DataFrame, size: int = BATCH_EVENTS) -> DataFrame:
