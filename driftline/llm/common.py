@@ -69,9 +69,14 @@ class Written:
         _remove(self.spark, self.path)
 
 
+#: What a row takes in a broadcast table besides its values: header, key and pointers of the hash map (measured: 48 to 56).
+ROW_OVERHEAD = 56
+
+
 def sized(small: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark a written table for broadcast if its counted size allows; else leave the join to shuffle (AQE splits skew)."""
-    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
+    """Mark a written table of fixed-width rows (`row_bytes` of values) for broadcast if its counted size allows; else
+    leave the join to shuffle (AQE splits skew)."""
+    return F.broadcast(small) if small.count() * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES else small
 
 
 def fold(doc_id, modulus: int):
@@ -87,7 +92,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limi
     """At most about `limit` labelled rows of `docs` as (text, label): a bounded training sample.
 
     `usable` is a predicate on doc_id; null ids and null labels are left out; a document labelled
-    twice takes its highest label. Rows are taken in the order of a hash of the id, so reruns agree.
+    twice takes its highest label, an id met twice its least text. Rows are taken in the order of a hash of the id,
+    so reruns agree.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
@@ -96,8 +102,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, limi
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    text = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    return text.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 #: Bits of a key sieve, in words of 64: at most 65,536 rows, so it is always broadcast.

@@ -3,19 +3,18 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded (means of fixed word
 descriptors plus the share of distinct words); gated attention weights, learnt from document labels
 alone, average the passages' hidden vectors, and a logistic unit scores the average. Training
-gathers the passage vectors of at most `labelled` labelled documents, none of them with more than
-MAX_BAG vectors (longer ones give evenly spaced passages for training only), to the driver. Scoring
-reads every passage of every text.
+gathers the passage vectors, all of each document's, of at most `labelled` labelled documents with at most
+`passages` passages together (documented bounds; documents are taken in the order of a hash) to the driver; two
+thirds train, one third calibrates. Scoring reads every passage of every text.
 
 Defined cases: a null or empty text is one passage without words; null ids are never held out and never
 train; repeated rows score alike; without labels of both classes all scores equal the smoothed label rate;
-an empty table gives an empty result; other columns pass through unread.
+words of any length are read whole; an empty table gives an empty result; other columns pass through unread, and
+one named like the score is replaced.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,65 +22,71 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import labelled_sample, slices, tidy
+from .common import Written, labelled_sample, slices, tidy
 
-PASSAGE, MAX_BAG, HASHED, HIDDEN, GATE = 64, 64, 12, 16, 8
+PASSAGE, HASHED, HIDDEN, GATE = 64, 12, 16, 8
 #: Characters whose shares describe a word.
 MARKS = "#*$%&|<>!?.,;:-_/\\@+=~^\"'()[]{}"
 WIDTH = 10 + HASHED
 
 
-def describe(word: str) -> np.ndarray:
-    """A word's fixed vector: length, shares of kinds of characters, signed hashes of its 3-grams."""
-    n = len(word)
-    marks = sum(word.count(c) for c in "#*$%&<>")
-    out = np.zeros(WIDTH, np.float32)
-    out[0] = min(n, 40) / 10
-    out[1] = sum(map(str.isupper, word)) / n
-    out[2] = sum(map(str.isdigit, word)) / n
-    out[3] = sum(c in MARKS for c in word) / n
-    out[4] = marks / n
-    out[5] = word in ("|", "-", "*", "•")
-    out[6] = "!" in word
-    out[7] = word[-1] in ".,;:?"
-    out[8] = n > 20
-    out[9] = n > 1 and word.isupper()
-    raw = b"^" + word.encode("utf-8", "replace")[:128] + b"$"
-    for i in range(len(raw) - 2):
-        h = zlib.crc32(raw[i : i + 3], 77)
-        out[10 + h % HASHED] += (1 if h & 0x10000 else -1) / len(raw)
-    return out
+def kinds_of(chars: np.ndarray) -> np.ndarray:
+    """0 and 1 for each character: capital, small letter, digit, mark, strong mark, !, ending."""
+    own, at = np.unique(chars, return_inverse=True)
+    rows = [(c.isupper(), c.islower(), c.isdigit(), c in MARKS, c in "#*$%&<>", c == "!", c in ".,;:?") for c in map(chr, own.tolist())]
+    return np.array(rows, np.float64).reshape(-1, 7)[at]
+
+
+def describe(words: list[str]) -> list[np.ndarray]:
+    """Fixed vectors of words, all characters read: length, shares of kinds of characters, signed hashes of 3-grams."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    first = np.cumsum(n) - n
+    kinds = kinds_of(chars)
+    sums = np.add.reduceat(kinds, first, axis=0)
+    out = np.zeros((len(words), WIDTH), np.float32)
+    out[:, 0] = np.minimum(n, 40) / 10
+    for k, kind in ((1, 0), (2, 2), (3, 3), (4, 4)):
+        out[:, k] = sums[:, kind] / n
+    out[:, 5] = [w in ("|", "-", "*", "•") for w in words]
+    out[:, 6] = sums[:, 5] > 0
+    out[:, 7] = kinds[first + n - 1, 6]
+    out[:, 8] = n > 20
+    out[:, 9] = (n > 1) & (sums[:, 0] > 0) & (sums[:, 1] == 0)
+    spelled = H.Spelled(words)
+    h, owner = spelled.grams(3)
+    slot = ((h >> np.uint64(40)) % np.uint64(HASHED)).astype(np.int64)
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    out[:, 10:] = np.bincount(owner * HASHED + slot, sign, len(words) * HASHED).reshape(-1, HASHED) / spelled.size[:, None]
+    return [out]
 
 
 class Encoder:
     def __init__(self):
-        self.words = H.Words(self._row)
-        self.table = np.zeros((1024, WIDTH), np.float32)
-
-    def _row(self, word: str) -> None:
-        at = len(self.words.rows)
-        if at >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = describe(word)
-
-    def passages(self, text: str | None) -> np.ndarray:
-        """One row a passage: mean word vector, share of distinct words, share of words equal to the one before, fill."""
-        ws = (text or "").split()
-        if not ws:
-            return np.zeros((1, WIDTH + 3), np.float32)
-        ids = self.words.ids(ws)
-        n = len(ids)
-        start = np.arange(0, n, PASSAGE)
-        size = np.diff(np.append(start, n)).astype(np.float32)
-        out = np.empty((len(start), WIDTH + 3), np.float32)
-        out[:, :WIDTH] = np.add.reduceat(self.table[ids], start, axis=0) / size[:, None]
-        part = np.arange(n) // PASSAGE
-        key = np.sort(part * (np.int64(ids.max()) + 1) + ids)
-        first = np.append(True, key[1:] != key[:-1])
-        out[:, WIDTH] = np.bincount(key // (np.int64(ids.max()) + 1), first, len(start)) / size
-        out[:, WIDTH + 1] = np.bincount(part[1:], ids[1:] == ids[:-1], len(start)) / size
-        out[:, WIDTH + 2] = size / PASSAGE
-        return out
+        self.words = H.Words(describe)
+
+    def bags(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(one row a passage, first row of each text): mean word vector, share of distinct words, share of words
+        equal to the one before, fill."""
+        self.words.trim()
+        t = H.Tokens([(x or "").split() for x in texts], self.words)
+        many = np.maximum(1, -(-t.count // PASSAGE))
+        first = np.cumsum(many) - many
+        out = np.zeros((int(many.sum()), WIDTH + 3), np.float32)
+        if not len(t.ids):
+            return out, first
+        place = np.arange(len(t.ids)) - t.first[t.doc]
+        part = first[t.doc] + place // PASSAGE
+        start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        full = part[start]
+        size = np.diff(np.append(start, len(part))).astype(np.float32)
+        out[full, :WIDTH] = np.add.reduceat(self.words.values[0][t.ids], start, axis=0) / size[:, None]
+        distinct = np.unique(part * np.int64(len(self.words)) + t.ids) // len(self.words)
+        out[full, WIDTH] = np.bincount(distinct, minlength=len(out))[full] / size
+        again = (t.ids[1:] == t.ids[:-1]) & (t.doc[1:] == t.doc[:-1])
+        out[full, WIDTH + 1] = np.bincount(part[1:][again], minlength=len(out))[full] / size
+        out[full, WIDTH + 2] = size / PASSAGE
+        return out, first
 
 
 def _forward(p: dict, x: np.ndarray, start: np.ndarray):
@@ -117,51 +122,65 @@ def train(x: np.ndarray, start: np.ndarray, y: np.ndarray, epochs: int = 250, ra
     return p
 
 
-def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passages, first of each document, labels) of (text, label, k) rows in the order of k."""
+
     def run(batches):
         encoder = Encoder()
         for batch in slices(batches):
-            encoder.words.trim()
-            out = []
-            for text in batch.column(0).to_pylist():
-                x = encoder.passages(text)
-                out.append(x[np.linspace(0, len(x) - 1, min(len(x), MAX_BAG)).astype(int)].ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.float32())), batch.column(2)], names=["label", "x", "k"])
-
-    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(tidy(run), "label int, x array<float>, k long").toArrow()
-    got = got.sort_by([("k", "ascending"), ("label", "ascending")])
-    bags = [np.asarray(v.values).reshape(-1, WIDTH + 3) for v in got["x"].combine_chunks()]
-    start = np.cumsum([0] + [len(b) for b in bags])[:-1]
-    return (np.concatenate(bags) if bags else np.zeros((0, WIDTH + 3), np.float32)), start, np.array(got["label"].to_pylist(), np.int64), np.array(got["k"].to_pylist(), np.int64)
+            x, first = encoder.bags(batch.column(0).to_pylist())
+            edge = np.append(first, len(x)).astype(np.int32) * (WIDTH + 3)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(edge), pa.array(x.ravel())), batch.column(2)], names=["label", "x", "k"])
 
-
-def fit(docs: DataFrame, labels: DataFrame, usable=None, labelled: int = 5000) -> dict:
-    x, start, y, _ = gathered(labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, labelled))
-    rate = float((y.sum() + 1) / (len(y) + 2))
-    if len(set(y.tolist())) < 2:
+    got = rows.select("text", "label", "k").mapInArrow(tidy(run), "label int, x array<float>, k long").toArrow()
+    got = got.sort_by([("k", "ascending"), ("label", "ascending")])
+    x = got["x"].combine_chunks()
+    edge = np.asarray(x.offsets).astype(np.int64)
+    return np.asarray(x.flatten()).reshape(-1, WIDTH + 3), (edge[:-1] - edge[0]) // (WIDTH + 3), got["label"].to_numpy().astype(np.int64)
+
+
+def _held():
+    """Sampled rows that calibrate."""
+    return F.pmod(F.shiftright("k", 7), F.lit(3)) == 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable=None, labelled: int = 5000, passages: int = 200_000) -> dict:
+    some = labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, labelled)
+    size = F.ceil((F.regexp_count("text", F.lit(r"\s+")) + 1) / PASSAGE)
+    sample = Written(some.select("text", "label", F.xxhash64("doc_id", "text").alias("k"), size.alias("size")), "quality-sample")
+    sizes = sample.df.select("k", "label", "size", _held().alias("held")).orderBy("k", "label").toArrow().to_pydict()  # at most `labelled` rows
+    last = int(np.searchsorted(np.cumsum(sizes["size"]), passages, "right"))
+    y = sizes["label"][:last]
+    rate = float((sum(y) + 1) / (len(y) + 2))
+    if len(set(y)) < 2:
+        sample.drop()
         return {"p": None, "rate": rate}
+    taken = sample.df.where(F.col("k") <= sizes["k"][last - 1])
+    split = len(set(zip(y, sizes["held"], strict=False))) == 4
+    x, start, y = gathered(taken.where(~_held()) if split else taken)
     mean, std = x.mean(0), x.std(0) + 1e-3
     p = train(((x - mean) / std).astype(np.float64), start, y)
+    if split:
+        x, start, y = gathered(taken.where(_held()))
+    sample.drop()
     a, c = H.platt(_forward(p, (x - mean) / std, start)[0], y)
     return {"p": p, "mean": mean, "std": std, "a": a, "c": c, "rate": rate}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score in [0, 1] appended."""
+    """`docs` with a score in [0, 1] appended; a column of that name is replaced."""
+    docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some KB, fixed
     at = docs.columns.index(text_col)
 
     def run(batches):
         m, encoder = shared.value, Encoder()
         for batch in slices(batches):
-            encoder.words.trim()
-            texts = batch.column(at).to_pylist()
-            if m["p"] is None or not texts:
-                out = np.full(len(texts), m["rate"])
+            if m["p"] is None or not batch.num_rows:
+                out = np.full(batch.num_rows, m["rate"])
             else:
-                bags = [encoder.passages(t) for t in texts]
-                start = np.cumsum([0] + [len(b) for b in bags])[:-1]
-                out = H.sigmoid(m["a"] * _forward(m["p"], (np.concatenate(bags) - m["mean"]) / m["std"], start)[0] + m["c"])
+                x, start = encoder.bags(batch.column(at).to_pylist())
+                out = H.sigmoid(m["a"] * _forward(m["p"], (x - m["mean"]) / m["std"], start)[0] + m["c"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema=batch.schema.append(pa.field(score_col, pa.float64())))
 
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

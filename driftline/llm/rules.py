@@ -7,13 +7,13 @@ KEEP_AT. Training gathers at most `labelled` rows, as sparse features, to the dr
 
 Defined cases: null and empty texts have no words, fail the fixed limits and are not kept; null ids give
 rows with a null id and never train; without labels of both classes the classifier keeps all;
-repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
+repeated rows are judged alike; words of any length count whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import labelled_sample, slices, tidy
+from .common import Written, labelled_sample, slices, tidy
 
 #: Fixed limits.
 MIN_WORDS, MAX_REPEATED_PERCENT, KEEP_AT = 50, 50, 0.5
@@ -61,44 +61,58 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def train(rows: H.Rows, y: np.ndarray, epochs: int = 150, rate: float = 0.3, decay: float = 1e-7) -> tuple[np.ndarray, float]:
+def train(rows: H.Rows, y: np.ndarray, epochs: int = 12, rate: float = 0.2, decay: float = 1e-7, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logistic regression by steps over shuffled parts of the rows."""
     w, b = np.zeros(H.DIMS), np.zeros(1)
-    adam = H.Adam([H.DIMS, 1], rate)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    for _ in range(epochs):
-        g = (H.sigmoid(rows.dot(w) + b[0]) - y) * weight
-        adam.step([w, b], [rows.back(g) + decay * w, np.array([g.sum()])])
+    adam, order = H.Adam([H.DIMS, 1], rate), np.random.default_rng(seed)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    for epoch in range(epochs):
+        adam.rate = rate * (1 - epoch / epochs)
+        for at in np.array_split(order.permutation(len(y)), max(1, len(y) // 128)):
+            part = rows.take(at)
+            g = (H.sigmoid(part.dot(w) + b[0]) - y[at]) * weight[at] / len(at)
+            adam.step([w, b], [part.back(g) + decay * w, np.array([g.sum()])])
     return w, float(b[0])
 
 
 def gathered(rows: DataFrame) -> tuple[H.Rows, np.ndarray, np.ndarray]:
+    """Features of (text, label, k) rows, computed on the executors, in the order of k."""
+
     def run(batches):
-        cache: dict = {}
         for batch in slices(batches):
-            got = [H.sparse(words_of(t), pairs=True, cache=cache) for t in batch.column(0).to_pylist()]
+            got = H.sparse([words_of(t) for t in batch.column(0).to_pylist()], pairs=True)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32())), batch.column(2)], names=["label", "b", "v", "k"])
 
-    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(tidy(run), "label int, b array<int>, v array<float>, k long").toArrow()
+    got = rows.select("text", "label", "k").mapInArrow(tidy(run), "label int, b array<int>, v array<float>, k long").toArrow()
     got = got.sort_by([("k", "ascending"), ("label", "ascending")])
-    pairs = [(np.asarray(x.values), np.asarray(y.values)) for x, y in zip(got["b"].combine_chunks(), got["v"].combine_chunks(), strict=True)]
-    return H.Rows(pairs), np.array(got["label"].to_pylist(), np.int64), np.array(got["k"].to_pylist(), np.int64)
+    b, v = got["b"].combine_chunks(), got["v"].combine_chunks()
+    return H.Rows.of(b, v), got["label"].to_numpy().astype(np.int64), got["k"].to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None, labelled: int = 4000) -> dict:
-    """Two thirds of the gathered rows train, one third calibrates."""
-    rows, y, k = gathered(labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, labelled))
-    if len(set(y.tolist())) < 2:
-        return {"w": np.zeros(H.DIMS, np.float32), "b": 0.0, "a": 0.0, "c": 20.0}
-    part = (k.view(np.uint64) >> np.uint64(7)) % np.uint64(3) == 0
-    take = lambda keep: H.Rows([(rows.buckets[a:b], rows.values[a:b]) for a, b, ok in zip(rows.start[:-1], rows.start[1:], keep, strict=True) if ok])
-    if len(set(y[part].tolist())) < 2 or len(set(y[~part].tolist())) < 2:
-        part = np.zeros(len(y), bool)
-    fitting, held = take(~part), take(part) if part.any() else take(~part)
-    w, b = train(fitting, y[~part])
-    a, c = H.platt(held.dot(w) + b, y[part] if part.any() else y)
+    """Two thirds of the sampled rows train, one third calibrates."""
+    some = labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, labelled).withColumn("k", F.xxhash64("doc_id", "text"))
+    sample = Written(some, "rules-sample")
+    count = {(r.held, r.label): r.n for r in sample.df.groupBy(_held().alias("held"), "label").agg(F.count("*").alias("n")).collect()}
+    empty = {"w": np.zeros(H.DIMS, np.float32), "b": 0.0, "a": 0.0, "c": 20.0}
+    if len({y for _, y in count}) < 2:
+        sample.drop()
+        return empty
+    split = all(count.get((h, y)) for h in (True, False) for y in (0, 1))
+    rows, y, _ = gathered(sample.df.where(~_held()) if split else sample.df)
+    w, b = train(rows, y)
+    if split:
+        rows, y, _ = gathered(sample.df.where(_held()))
+    a, c = H.platt(rows.dot(w) + b, y)
+    sample.drop()
     return {"w": w.astype(np.float32), "b": b, "a": a, "c": c}
 
 
+def _held():
+    """Sampled rows that calibrate."""
+    return F.pmod(F.shiftright("k", 7), F.lit(3)) == 0
+
+
 def judge(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, fixed
@@ -106,29 +120,24 @@ def judge(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches):
         m = shared.value
         w = m["w"].astype(np.float64)
-        words = H.Words(lambda word: (float(w[H.word_features(word)].sum()), zlib.crc32(word.encode("utf-8", "replace")[:256], 1)))
+
+        def describe(new: list[str]) -> list[np.ndarray]:
+            b, owner, whole = H.word_features(new)
+            return [np.bincount(owner, w[b], len(new)), whole, np.fromiter(map(len, new), np.int64, len(new))]
+
+        words = H.Words(describe)
         for batch in slices(batches):
             words.trim()
-            out = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ws = words_of(text)
-                n = len(ws)
-                symbols = len(text) - len(text.translate(_DROP_SYMBOLS))
-                if not n:
-                    out.append((0, 0, symbols, 0, 0, True, 0.0, False))
-                    continue
-                ids = words.ids(ws)
-                distinct, at = np.unique(ids, return_inverse=True)
-                own = [words.rows[i] for i in distinct.tolist()]
-                raw = np.array([x[0] for x in own])[at].sum()
-                if n > 1:
-                    raw += w[H.pair_buckets(np.array([x[1] for x in own], np.uint64)[at])].sum()
-                score = float(H.sigmoid(m["a"] * (raw / n + m["b"]) + m["c"]))
-                repeated = repeated_words(at)
-                failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
-                out.append((n, sum(map(len, ws)), symbols, duplicate_lines(text), repeated, failed, score, not failed and score >= KEEP_AT))
-            columns = list(zip(*out, strict=True)) or [()] * 8
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            t = H.Tokens([words_of(x) for x in texts], words)
+            value, whole, length = words.values or [np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+            doc, pair = t.pairs(whole)
+            raw = (t.sums(value[t.ids]) + np.bincount(doc, w[pair], t.n)) / np.maximum(1, t.count)
+            score = np.where(t.count > 0, H.sigmoid(m["a"] * (raw + m["b"]) + m["c"]), 0.0)
+            repeated = np.fromiter((repeated_words(t.ids[a : a + n]) for a, n in zip(t.first, t.count, strict=True)), np.int64, t.n)
+            failed = (t.count < MIN_WORDS) | (100 * repeated > MAX_REPEATED_PERCENT * t.count)
+            symbols = [len(x) - len(x.translate(_DROP_SYMBOLS)) for x in texts]
+            columns = (t.count, t.sums(length[t.ids]).astype(np.int64), symbols, list(map(duplicate_lines, texts)), repeated, failed, score, ~failed & (score >= KEEP_AT))
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 

@@ -1,15 +1,22 @@
-"""Toxicity by non-negative positive-unlabelled learning over hashed words, their beginnings and ends.
+"""Toxicity by non-negative positive-unlabelled learning over hashed words and their byte n-grams.
 
-The classifier sees confirmed toxic documents and unlabelled text; the risk of the negatives is the
-unlabelled risk less the class prior's share of the positives', never below zero. The prior is the
-toxic rate of the labelled training rows, which also calibrate the score.
+The classifier sees confirmed toxic documents and, as unlabelled text, every document that may be learnt from. Its
+risk is that of the positives plus that of the unlabelled as negatives, less the class prior's share of the
+positives' among them; this difference is kept non-negative. With the squared loss all three risks depend on the
+rows only through their second moments over SELECTED features, so one pass over the corpus gathers one sum per
+pair of features, whatever its size, and the driver holds a table of fixed size. A feature's value is its number
+of words, MOST at most, over the root of the document's, in whole steps of 1 / UNIT, so that sums are exact.
 
-Bounds (documented parameters): at most `positives` confirmed documents, `unlabelled` documents and
-`labelled` rows for prior and calibration are gathered, as sparse features, to the driver.
+Features are selected by how their document rates differ between confirmed toxic and other labelled rows.
+Scores are calibrated on labelled rows by models that have not seen the row's third of the positives.
+
+Bounds (documented parameters): at most `positives` confirmed documents, and `labelled` rows for prior, selection
+and calibration, are gathered. Unlabelled documents are not sampled.
 
 Defined cases: a null or empty text has no words and scores what the model's bias says; null ids are never
 held out and never train; repeated rows score alike; an empty table gives an empty result, and without
-any confirmed toxic row nothing is called toxic and all scores are 0; other columns pass through unread.
+any confirmed toxic row nothing is called toxic and all scores are 0; words of any length count whole; other
+columns pass through unread, and one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -21,95 +28,192 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import labelled_sample, slices, tidy
+from .common import Written, labelled_sample, slices, tidy
+
+SELECTED, FOLDS, LEAST_Z = 512, 3, 3.0
+MOST, UNIT, GAIN = 4, 64, 10.0
 
 
 def split_words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def gathered(rows: DataFrame) -> tuple[H.Rows, np.ndarray]:
-    """Features of (text, label) rows, computed on the executors."""
+def rates(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Rows (text, label) -> documents with each feature among the positives and the others, and their numbers."""
+
+    def run(batches):
+        seen, n = np.zeros((2, H.DIMS), np.int64), np.zeros(2, np.int64)
+        for batch in slices(batches):
+            label = np.array(batch.column(1).to_pylist(), np.int64)
+            for y, (b, _) in zip(label.tolist(), H.sparse([split_words(t) for t in batch.column(0).to_pylist()]), strict=True):
+                seen[y][b] += 1
+            n += np.bincount(label, minlength=2)
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[1][at], n[1])), pa.array(np.append(seen[0][at], n[0]))], names=["b", "pos", "neg"])
+
+    got = rows.select("text", "label").mapInArrow(tidy(run), "b long, pos long, neg long").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    b, pos, neg = (got[c].to_numpy() for c in ("b", "pos", "neg"))
+    total = b < 0
+    out = np.zeros((2, H.DIMS), np.int64)
+    out[1][b[~total]], out[0][b[~total]] = pos[~total], neg[~total]
+    return out[1], out[0], int(pos[total].sum()), int(neg[total].sum())
+
+
+def chosen(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, scale) of the SELECTED features whose rates differ most beyond chance; the scale is the log ratio."""
+    rate_pos, rate_neg, both = pos / n_pos, neg / max(1, n_neg), (pos + neg) / (n_pos + n_neg)
+    z = (rate_pos - rate_neg) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_pos + 1 / max(1, n_neg)))
+    ratio = np.log((rate_pos + 0.5 / n_pos) / (rate_neg + 0.5 / n_pos))
+    weight = np.abs(ratio) * np.clip((np.abs(z) - LEAST_Z) / LEAST_Z, 0, 1)
+    best = np.lexsort((np.arange(H.DIMS), -weight))[:SELECTED]
+    best = np.sort(best[weight[best] > 0])
+    return best, weight[best] * GAIN / UNIT
+
+
+class Selected:
+    """The selected features of documents."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.place = np.full(H.DIMS, -1)
+        self.place[buckets] = np.arange(len(buckets))
+        self.k = max(1, len(buckets))
+        self.words = H.Words(self._describe)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.features, self.taken = np.zeros(0, np.int64), 0
+
+    def _describe(self, words: list[str]) -> list[np.ndarray]:
+        b, owner, _ = H.word_features(words)
+        p = self.place[b]
+        keep = p >= 0
+        key = np.unique(owner[keep] * self.k + p[keep])
+        many = np.bincount(key // self.k, minlength=len(words))
+        start = self.taken + np.cumsum(many) - many
+        self.features, self.taken = np.append(self.features, key % self.k), self.taken + len(key)
+        return [start, many]
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(document * k + feature, sorted and distinct; value)."""
+        if len(self.words) > H.KEPT_WORDS or self.words.chars > H.KEPT_CHARS:
+            self._clear()
+        self.words.trim()
+        t = H.Tokens([split_words(x) for x in texts], self.words)
+        if not len(t.ids):
+            return np.zeros(0, np.int64), np.zeros(0)
+        start, many = self.words.values
+        some = many[t.ids] > 0
+        ids, doc = t.ids[some], t.doc[some]
+        m = many[ids]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[ids], m)
+        key, count = np.unique(np.repeat(doc, m) * self.k + self.features[at], return_counts=True)
+        return key, np.rint(np.minimum(count, MOST) * UNIT / np.sqrt(t.count[key // self.k]))
+
+
+def moments(docs: DataFrame, buckets: np.ndarray) -> np.ndarray:
+    """Over all rows of `docs` (text): sums of products of features i and j; the last one is 1 for every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(buckets)  # SELECTED numbers
+
+    def run(batches):
+        selected = Selected(shared.value)
+        k = selected.k
+        total = np.zeros((k + 1, k + 1))
+        for batch in slices(batches):
+            x = np.zeros((batch.num_rows, k + 1))
+            x[:, k] = 1
+            key, value = selected.of(batch.column(0).to_pylist())
+            x[key // k, key % k] = value
+            total += x.T @ x
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j].astype(np.int64))], names=["i", "j", "n"])
+
+    got = docs.select("text").mapInArrow(tidy(run), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((max(1, len(buckets)) + 1,) * 2)
+    i, j, n = (got[c].to_numpy() for c in ("i", "j", "n"))
+    out[i, j] = n
+    out[j, i] = n
+    return out
+
+
+def gathered(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows x features, 1 last; labels; folds) of a bounded sample (text, label, k)."""
+    shared = rows.sparkSession.sparkContext.broadcast(buckets)
 
     def run(batches):
-        cache: dict = {}
+        selected = Selected(shared.value)
         for batch in slices(batches):
-            got = [H.sparse(split_words(t), cache=cache, features=H.stem_features) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([b for b, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32())), batch.column(2)],
-                names=["label", "b", "v", "k"],
-            )
-
-    got = rows.select("text", "label", F.xxhash64("doc_id", "text").alias("k")).mapInArrow(tidy(run), "label int, b array<int>, v array<float>, k long").toArrow()
-    got = got.sort_by([("k", "ascending"), ("label", "ascending")])
-    return H.Rows.of(got["b"].combine_chunks(), got["v"].combine_chunks()), np.array(got["label"].to_pylist(), np.int64)
-
-
-def relevance(pos: H.Rows, unl: H.Rows, least: float = 2.0) -> np.ndarray:
-    """A scale per feature: the log ratio of its document rates, faded out below `least` standard
-    deviations of chance and zero there, so that words met once or twice carry no weight."""
-    in_pos, in_unl = (np.bincount(r.buckets, minlength=H.DIMS) for r in (pos, unl))
-    rate_pos, rate_unl, both = in_pos / pos.n, in_unl / unl.n, (in_pos + in_unl) / (pos.n + unl.n)
-    z = (rate_pos - rate_unl) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / pos.n + 1 / unl.n))
-    return np.log((rate_pos + 1 / pos.n) / (rate_unl + 1 / pos.n)) * np.clip((np.abs(z) - least) / least, 0, 1)
-
-
-def train_nnpu(pos: H.Rows, unl: H.Rows, prior: float, epochs: int = 150, rate: float = 0.05, decay: float = 1e-3, gain: float = 30.0) -> tuple[np.ndarray, float]:
-    """Full-batch descent on the non-negative PU risk with the logistic loss, over the relevant features."""
-    scale = relevance(pos, unl) * gain
-    kept = np.flatnonzero(scale)
-    place = np.full(H.DIMS, -1)
-    place[kept] = np.arange(len(kept))
-    pos, unl = pos.only(place, scale), unl.only(place, scale)
-    w, b = np.zeros(max(1, len(kept))), np.zeros(1)
-    adam = H.Adam([w.shape, 1], rate)
-    for _ in range(epochs):
-        sp, su = pos.dot(w) + b[0], unl.dot(w) + b[0]
-        p_as_neg = np.logaddexp(0, sp).mean()  # loss of the positives if taken for negatives
-        negative_risk = np.logaddexp(0, su).mean() - prior * p_as_neg
-        g_neg_u, g_neg_p = H.sigmoid(su) / unl.n, H.sigmoid(sp) / pos.n
-        g_pos = -H.sigmoid(-sp) / pos.n
-        if negative_risk >= 0:
-            gp, gu = prior * (g_pos - g_neg_p), g_neg_u
-        else:  # over-fitted: walk the negative part back
-            gp, gu = prior * g_neg_p, -g_neg_u
-        adam.step([w, b], [pos.back(gp, len(w)) + unl.back(gu, len(w)) + decay / len(w) * w, np.array([gp.sum() + gu.sum()])])
-    full = np.zeros(H.DIMS)
-    full[kept] = w[: len(kept)] * scale[kept]
-    return full, float(b[0])
-
-
-def fit(docs: DataFrame, labels: DataFrame, usable=None, positives: int = 2000, unlabelled: int = 3000, labelled: int = 3000) -> dict:
+            key, value = selected.of(batch.column(0).to_pylist())
+            edge = pa.array(np.searchsorted(key, np.arange(batch.num_rows + 1) * selected.k).astype(np.int32))
+            at, value = (pa.ListArray.from_arrays(edge, pa.array(v.astype(np.int32))) for v in (key % selected.k, value))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), at, value], names=["label", "k", "at", "value"])
+
+    got = rows.select("text", "label", "k").mapInArrow(tidy(run), "label int, k long, at array<int>, value array<int>").toArrow().sort_by([("k", "ascending"), ("label", "ascending")])
+    x = np.zeros((got.num_rows, max(1, len(buckets)) + 1), np.float32)
+    x[:, -1] = 1
+    for i, (at, value) in enumerate(zip(got["at"].to_pylist(), got["value"].to_pylist(), strict=True)):
+        x[i, at] = value
+    return x, got["label"].to_numpy().astype(np.int64), (got["k"].to_numpy().view(np.uint64) >> np.uint64(9)) % np.uint64(FOLDS)
+
+
+def train_nnpu(pos: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray, steps: int = 600, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
+    """Weights (bias last) that minimise the non-negative PU risk with the squared loss. pos: rows of positives;
+    unlabelled: their `moments`. Where the negatives' risk falls below zero, steps walk it back."""
+    s = np.append(scale, 1.0)
+    mu = unlabelled / max(1.0, unlabelled[-1, -1]) * np.outer(s, s)
+    xp = pos * s
+    mp = xp.T @ xp / len(xp)
+    w = np.zeros(len(s))
+    adam = H.Adam([w.shape], rate)
+    ridge = np.append(np.full(len(scale), decay), 0.0)
+    for _ in range(steps):
+        gu, gp = mu @ w, mp @ w  # E[x s]; the last entry of a moment's row is E[x]
+        negative = 0.25 * (1 + 2 * (mu[-1] @ w) + w @ gu) - prior * 0.25 * (1 + 2 * (mp[-1] @ w) + w @ gp)
+        g_neg = 0.5 * (mu[-1] + gu) - prior * 0.5 * (mp[-1] + gp)
+        g_pos = prior * 0.5 * (gp - mp[-1])
+        adam.step([w], [(g_pos + g_neg if negative >= 0 else -g_neg) + ridge * w])
+    return w * s
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable=None, positives: int = 6000, labelled: int = 6000) -> dict:
     usable = F.lit(True) if usable is None else usable
-    pos, _ = gathered(labelled_sample(docs, labels.where("toxic = 1"), "toxic", usable, positives))
-    everyone = docs.select("doc_id").where(F.col("doc_id").isNotNull() & usable).distinct().withColumn("unseen", F.lit(0))
-    unl, _ = gathered(labelled_sample(docs, everyone, "unseen", F.lit(True), unlabelled))
-    cal, y = gathered(labelled_sample(docs, labels, "toxic", usable, labelled))
+    some = labelled_sample(docs, labels.where("toxic = 1"), "toxic", usable, positives).withColumn("own", F.lit(False))
+    some = some.unionByName(labelled_sample(docs, labels, "toxic", usable, labelled).withColumn("own", F.lit(True)))
+    sample = Written(some.withColumn("k", F.xxhash64("doc_id", "text")), "toxicity-sample")
+    general = sample.df.where("own")
+    pos, neg, n_pos, n_neg = rates(general.unionByName(sample.df.where("not own")).dropDuplicates(["k", "label"]))
+    nothing = {"buckets": np.zeros(0, np.int64), "w": np.zeros(0), "b": 0.0, "a": 0.0, "c": -35.0, "prior": 0.0}
+    if not n_pos:
+        sample.drop()
+        return nothing
+    buckets, scale = chosen(pos, neg, n_pos, n_neg)
+    xp, _, fold_p = gathered(sample.df.where("not own"), buckets)
+    xl, y, fold_l = gathered(general, buckets)
+    sample.drop()
     prior = float((y.sum() + 1) / (len(y) + 2))
-    if not pos.n or not unl.n:
-        return {"w": np.zeros(H.DIMS, np.float32), "b": 0.0, "a": 0.0, "c": -35.0, "prior": prior}
-    w, b = train_nnpu(pos, unl, prior)
-    a, c = H.platt(cal.dot(w) + b, y)
-    return {"w": w.astype(np.float32), "b": b, "a": a, "c": c, "prior": prior}
+    unlabelled = moments(docs.where(F.col("doc_id").isNotNull() & usable), buckets)
+    scale = scale if len(scale) else np.zeros(1)
+    raw = np.zeros(len(y))
+    for f in range(FOLDS):
+        learn = xp[fold_p != f] if (fold_p != f).any() else xp
+        raw[fold_l == f] = xl[fold_l == f] @ train_nnpu(learn, unlabelled, prior, scale)
+    w = train_nnpu(xp, unlabelled, prior, scale)
+    a, c = H.platt(raw, y)
+    return {"buckets": buckets, "w": w[:-1], "b": float(w[-1]), "a": a, "c": c, "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a score in [0, 1] appended; whole texts, in Arrow batches."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, fixed
+    """`docs` with a score in [0, 1] appended (a column of that name is replaced); whole texts, in Arrow batches."""
+    docs = docs.drop(score_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some KB, fixed
     at = docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
-        w = m["w"].astype(np.float64)
-        words = H.Words(lambda word: float(w[H.stem_features(word)].sum()))
+        selected, w = Selected(m["buckets"]), np.append(m["w"], 0.0)
         for batch in slices(batches):
-            words.trim()
-            out = []
-            for text in batch.column(at).to_pylist():
-                ws = split_words(text)
-                ids = list(map(words.__getitem__, ws))
-                raw = m["b"] + (sum(map(words.rows.__getitem__, ids)) / len(ids) if ids else 0.0)
-                out.append(m["a"] * raw + m["c"])
-            yield batch.append_column(score_col, pa.array(H.sigmoid(np.array(out, float)), pa.float64())) if out else pa.RecordBatch.from_pylist([], schema=batch.schema.append(pa.field(score_col, pa.float64())))
+            key, value = selected.of(batch.column(at).to_pylist())
+            raw = m["b"] + np.bincount(key // selected.k, w[key % selected.k] * value, batch.num_rows)
+            out = H.sigmoid(m["a"] * raw + m["c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema=batch.schema.append(pa.field(score_col, pa.float64())))
 
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
