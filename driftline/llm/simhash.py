@@ -1,10 +1,12 @@
 """SimHash near-duplicates: fingerprints, tiled exact comparison, components.
 
-Fingerprints of equal documents collapse first. Two distinct fingerprints within the radius agree on
-some BLOCKS - radius of BLOCKS blocks of bits, so each fingerprint is dealt to one bucket per choice of such
-blocks; within a bucket, tiles sorted by bit count are compared by numpy exclusive-or and bit counts,
-skipping tile pairs whose bit counts differ by more than the radius. A bucket gives a star per
-group it connects, never all its pairs. No candidate is capped or dropped.
+Fingerprints of equal documents collapse first. Distinct fingerprints are dealt to buckets by some of their bits:
+of radius + s blocks of bits two fingerprints within the radius agree on s at least, so there is one key per choice of
+s blocks. A key has as many bits of its blocks as leave about TILE fingerprints to a bucket, and s is the least
+number of blocks that has so many. Within a bucket, tiles sorted by bit count are compared by numpy exclusive-or
+and bit counts, skipping tile pairs whose bit counts differ by more than the radius. A bucket gives a star
+per group it connects, never all its pairs. No candidate is capped or dropped: a bucket of more than PART
+fingerprints is split, and each two of its parts meet in a task of their own.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts shorter than
 a shingle are one shingle; null ids keep their row, and a component without any id has a null
@@ -29,54 +31,48 @@ from .common import Written, sized, slices, tidy
 from .graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-TILE, SMALL_GROUP = 1024, 48
-WIDE = ("fp2", "fp3")
+TILE, PART = 1024, 32 * 1024
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, wide: bool = False) -> list[int]:
-    """The fingerprint of the XXH64 hashes; with `wide` two more, of the 128-bit XXH3 hashes."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return [0] * (3 if wide else 1)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        parts = [(0, len(joined))]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        parts = list(zip(np.append(0, ends[:-1]).tolist(), (ends - 1).tolist()[shingle - 1 :], strict=False))
-    n, out = len(parts), b""
-    for digest, width in ((xxhash.xxh64_digest, 64), (xxhash.xxh3_128_digest, 128))[: 1 + wide]:
-        ones = np.zeros(width, np.int64)
-        for at in range(0, n, 4096):  # bounded memory for very long texts
-            raw = b"".join([digest(joined[a:b], SEED) for a, b in parts[at : at + 4096]])
-            ones += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, width).sum(0, dtype=np.int64)
-        out += np.packbits(2 * ones > n).tobytes()
-    return np.frombuffer(out, ">u8").tolist()
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text", wide: bool = False) -> DataFrame:
-    """`docs` without its text and with the fingerprint `fp` (signed 64 bits); with `wide` also fp2 and fp3."""
+        return 0
+    joined, end = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
+    first, last = np.append(0, end[:-1] + 1), end[min(shingle, len(words)) - 1 :]
+    n, ones, digest = len(last), np.zeros(64, np.int64), xxhash.xxh64_digest
+    for at in range(0, n, 4096):  # bounded memory for very long texts
+        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(first[at : at + 4096].tolist(), last[at : at + 4096].tolist(), strict=False)])
+        ones += np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
+    """`docs` without its text and with the fingerprint `fp` (signed 64 bits)."""
     at = docs.columns.index(text_col)
     rest = [f for f in docs.schema.fields if f.name != text_col]
-    outs = ("fp", *WIDE) if wide else ("fp",)
 
     def run(batches):
         for batch in slices(batches):
-            fp = np.array([fingerprint(t, shingle, wide) for t in batch.column(at).to_pylist()], np.uint64).reshape(-1, len(outs)).view(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(fp[:, i], pa.int64()) for i in range(len(outs)))], names=[*(f.name for f in rest), *outs])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fp)], names=[*(f.name for f in rest), "fp"])
 
-    return docs.mapInArrow(tidy(run), T.StructType([*rest, *(T.StructField(n, T.LongType()) for n in outs)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*rest, T.StructField("fp", T.LongType())]))
 
 
-def _masks(radius: int) -> list[int]:
-    """One mask per choice of blocks that two fingerprints within the radius must share."""
-    blocks = {0: 1, 1: 3, 2: 5, 3: 6}.get(radius, radius + 2)  # of about 64 / blocks bits
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(parts, blocks - radius)]
+def masks(radius: int, n: int, tile: int = TILE) -> list[int]:
+    """One mask per choice of blocks, for n fingerprints; two within the radius agree under some of them."""
+    wanted = max(0, -(-n // tile) - 1).bit_length()
+    for shared in range(1, 7):
+        blocks = radius + shared
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        if shared * (64 // blocks) >= wanted or shared == 6:
+            break
+    own = [min(e - a, -(-wanted // shared)) for a, e in zip(edges, edges[1:], strict=False)]
+    parts = [((1 << bits) - 1) << a for a, bits in zip(edges, own, strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in map(sum, combinations(parts, shared))]
 
 
 def _merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -91,71 +87,45 @@ def _merge(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         i, j = i[apart], j[apart]
 
 
-def linked(group: np.ndarray, fp: np.ndarray, radius: int, more: np.ndarray | None = None, total: int = 192) -> np.ndarray:
-    """Label of each fingerprint after comparing all pairs of its group. Rows are sorted by group, then bit count.
-    With more fingerprints (one a row of `more`), all distances together must stay within `total` as well."""
-
-    def confirmed(i, j):
-        if more is None:
-            return i, j
-        apart = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int16) + sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int16) for m in more)
-        ok = apart <= total
-        return i[ok], j[ok]
-
+def linked(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """Label of each fingerprint after comparing all pairs of its group. Rows are sorted by group, then bit count."""
     n = len(fp)
     lab = np.arange(n)
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, int)
-    size = np.diff(np.append(start, n))
-    small = np.repeat(size <= SMALL_GROUP, size)
-    own = np.flatnonzero(small)
-    for step in range(1, int(size[size <= SMALL_GROUP].max(initial=1))):
-        i = own[own + step < n]
-        i = i[group[i] == group[i + step]]
-        if not len(i):
-            break
-        near = np.bitwise_count(fp[i] ^ fp[i + step]) <= radius
-        _merge(lab, *confirmed(i[near], i[near] + step))
-        own = i
     bits = np.bitwise_count(fp).astype(np.int16)
-    for at, m in zip(start[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
-        for a in range(at, at + m, TILE):
-            ae = min(a + TILE, at + m)
-            for b in range(a, at + m, TILE):
+    for at, end in zip(start.tolist(), [*start[1:].tolist(), n], strict=False):
+        for a in range(at, end, TILE):
+            ae = min(a + TILE, end)
+            for b in range(a, end, TILE):
                 if bits[b] - bits[ae - 1] > radius:
                     break  # later tiles have more bits still
-                be = min(b + TILE, at + m)
+                be = min(b + TILE, end)
                 i, j = np.nonzero(np.bitwise_count(fp[a:ae, None] ^ fp[None, b:be]) <= radius)
                 ahead = i + a < j + b
-                _merge(lab, *confirmed(i[ahead] + a, j[ahead] + b))
+                _merge(lab, i[ahead] + a, j[ahead] + b)
     return lab
 
 
-def links_of(distinct: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
-    """(a, b) links between nodes that connect all fingerprints within the radius of each other.
-
-    With `total`, distinct has fp2 and fp3 too, and links are pairs with all 192 bits within `total`; the radius
-    then only says how fingerprints are dealt to buckets (pairs within it always meet, most others near it too)."""
-    reach = radius if total is None else 2 * radius
+def links_of(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, fp), all different -> (a, b) links between nodes that connect all within the radius of each other."""
 
     def run(batches):
         held: list[np.ndarray] = []
 
         def stars():
             t = np.concatenate(held, 1)
-            change = (t[0, 1:] != t[0, :-1]) | (t[1, 1:] != t[1, :-1])
-            more = t[4:].view(np.uint64) if total is not None else None
-            lab = linked(np.append(0, np.cumsum(change)), t[3].view(np.uint64), reach, more, total or 192)
+            lab = linked(t[0], t[2].view(np.uint64), radius)
             i = np.flatnonzero(lab != np.arange(len(lab)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(t[2, i]), pa.array(t[2, lab[i]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(t[1, i]), pa.array(t[1, lab[i]])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
-            if held and (held[-1][:2, -1] != now[:2, 0]).any():
+            if held and held[-1][0, -1] != now[0, 0]:
                 yield stars()
-            last = np.flatnonzero((now[0] != now[0, -1]) | (now[1] != now[1, -1]))  # what precedes the last bucket
+            last = np.flatnonzero(now[0] != now[0, -1])  # what precedes the last bucket
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 held.append(now[:, :cut])
@@ -164,24 +134,27 @@ def links_of(distinct: DataFrame, radius: int = RADIUS, total: int | None = None
         if held:
             yield stars()
 
-    tagged = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius))))
-    columns = ["t", "key", "node", "fp"] + list(WIDE) * (total is not None)
-    dealt = distinct.select(*columns[2:], tagged.alias("t", "key")).select(*columns)
-    return dealt.repartition("t", "key").sortWithinPartitions("t", "key", F.bit_count("fp")).mapInArrow(tidy(run), "a long, b long")
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks(radius, distinct.count(), TILE))))
+    dealt = distinct.select(F.explode(keys).alias("g"), "node", "fp")
+    large = Written(dealt.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("g", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large")
+    if large.df.take(1):
+        own, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("other")
+        split = dealt.join(sized(large.df, 16), "g", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        dealt = split.select(F.when(F.col("parts").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.least(own, other), F.greatest(own, other))).alias("g"), "node", "fp")
+    return dealt.repartition("g").sortWithinPartitions("g", F.bit_count("fp")).mapInArrow(tidy(run), "a long, b long")
 
 
-def classes(printed: DataFrame, radius: int = RADIUS, total: int | None = None) -> Written:
-    """(doc_id, node, fp[, fp2, fp3]) rows -> table (node, root, component_id) over the distinct nodes; root names the component."""
-    prints = ["fp"] + list(WIDE) * (total is not None)
-    least = Written(printed.groupBy("node", *prints).agg(F.min("doc_id").alias("rep")), "fingerprints")
-    star = components(links_of(least.df.drop("rep"), radius, total))
+def classes(printed: DataFrame, radius: int = RADIUS) -> Written:
+    """(doc_id, node, fp) rows -> table (node, root, component_id) over the distinct nodes; root names the component."""
+    least = Written(printed.groupBy("node", "fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    star = components(links_of(least.df.drop("rep"), radius))
     members = star.df.toDF("node", "root")
     members = members.union(members.select("root", "root").distinct())
     reps = Written(members.join(least.df.select("node", "rep"), "node"), "members")
     star.drop()
     small = Written(reps.df.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
-    named = Written(reps.df.join(sized(small.df, 24), "root").select("node", "root", "component_id"), "members")
-    out = least.df.select("node", "rep").join(sized(named.df, 32), "node", "left")
+    named = Written(reps.df.join(sized(small.df, 16), "root").select("node", "root", "component_id"), "members")
+    out = least.df.select("node", "rep").join(sized(named.df, 24), "node", "left")
     alone = F.col("root").isNull()
     table = Written(out.select("node", F.when(alone, F.col("node")).otherwise(F.col("root")).alias("root"), F.when(alone, F.col("rep")).otherwise(F.col("component_id")).alias("component_id")), "classes")
     for t in (least, reps, small, named):
@@ -194,7 +167,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     printed = Written(fingerprints(slim, shingle).withColumn("node", F.col("fp")), "printed")
     found = classes(printed.df, radius)
-    out = printed.df.join(sized(found.df, 32), "node")
+    out = printed.df.join(sized(found.df, 24), "node")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -208,15 +181,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     slim = docs.select(key.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     printed = Written(nearcopies.signed(slim, shingle), "printed")
     found = components(nearcopies.links(printed.df, slim, shingle, similarity))
-    roots = sized(found.df.toDF("node", "root"), 24)
+    roots = sized(found.df.toDF("node", "root"), 16)
     named = Written(printed.df.select("k", "doc_id", "node").join(roots, "node", "left").select("k", "doc_id", F.coalesce("root", "node").alias("root")), "named")
     first = Written(named.df.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).getField("k").alias("winner"), F.count("*").alias("n")).where("n > 1"), "winners")
     dropped = Written(named.df.join(sized(first.df, 24), "root").where("k <> winner").select("k").distinct(), "dropped")
     again = Written(named.df.join(sized(first.df, 24), "root").where("k = winner").groupBy("k").count().where("count > 1").select("k"), "repeated")
     for t in (printed, found, named, first):
         t.drop()
-    kept = docs.withColumn("__sim_k", key).join(sized(dropped.df.toDF("__sim_k"), 16), "__sim_k", "left_anti")
+    kept = docs.withColumn("__sim_k", key).join(sized(dropped.df.toDF("__sim_k"), 8), "__sim_k", "left_anti")
     if again.df.count():  # rows equal in id and text: one of them stays
-        few = sized(again.df.toDF("__sim_k"), 16)
+        few = sized(again.df.toDF("__sim_k"), 8)
         kept = kept.join(few, "__sim_k", "left_anti").unionByName(kept.join(few, "__sim_k", "left_semi").dropDuplicates(["__sim_k"]))
     return kept.select(*docs.columns)
