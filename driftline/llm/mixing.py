@@ -1,18 +1,20 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document's rate is the exponential tilt min(cap, exp(lambda . x)) of rate one, x being its token
-constraints (here: its source). The multipliers solve the convex dual, whose gradient and curvature are
-sums over documents, gathered by Spark for each Newton step; the driver holds one multiplier a source.
-The distance minimised is counted per token, so that within a source long and short documents keep their
-shares. Rates become copies: the whole part for all, one more for documents in the order of a hash until the
-source's words are spent; further rounds fill what is left with documents that still fit.
+Document rates are those nearest to one in relative entropy that no cap breaks and that bring each source's tokens
+to its target: min(cap, exp(lambda . x)), x being a document's token constraint (its tokens, in units of its source's
+mean, for its own source). So rates differ within a source: the multiplier times a document's length. The
+multipliers solve the convex dual by safeguarded Newton steps, whose gradient and curvature are sums over documents,
+taken by Spark; as they depend on source and length only, documents are counted by both once.
 
-Decisions are a threshold per source and round plus the few documents at the threshold, so applying them to the
-texts needs no shuffle of texts.
+Rates become copies: the whole part for all, one more for documents in the order of hash / fraction (sequential
+Poisson sampling) until the source's words are spent; further rounds fill what is left, less than one document,
+with documents that still fit, in the order of a hash. Decisions are a threshold per source and round plus the few documents at the threshold, so applying them to
+the texts needs no shuffle of texts. Sources are rows of tables throughout; the driver sees sums over them only.
 
 Defined cases: null text has size 0 and is never taken; a null source is a source of its own, last in order;
-rows equal in id, source and size are taken together or not at all; sources without words have target 0; an empty
-table gives an empty result; ties in the hash are broken by id and size; other columns are kept by `mixed`.
+rows equal in id, text and source are taken together or not at all; sources without words have target 0; an empty
+table gives an empty result; ties in the order are broken by a hash of id and text; other columns are kept by `mixed`,
+but for those named like the ones that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,28 +24,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WORD, Written, sized
-
-WEIGHTS, SHARE, CAP, ROUNDS = (3.0, 1.0, 2.0), 1.5, 2.0, 3
-BIN_ROWS = 4096
-
-
-def targets(sources: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
-    """Each source's target: shares by weight, stopped at cap times its size, the excess reshared."""
-    ordered = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(ordered)}
-    limit = {s: cap * size for s, size in ordered}
-    left, free, out = share * sum(size for _, size in ordered), [s for s, _ in ordered], {}
-    while free:
-        each = left / sum(weight[s] for s in free)
-        above = [s for s in free if each * weight[s] > limit[s]]
-        if not above:
-            return out | {s: each * weight[s] for s in free}
-        for s in above:
-            out[s] = limit[s]
-            left -= limit[s]
-        free = [s for s in free if s not in out]
-    return out
+from .common import WORD, Written, sized
+
+WEIGHTS, SHARE, CAP, ROUNDS, STEPS = (3.0, 1.0, 2.0), 1.5, 2.0, 4, 60
+ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
 def size_of(text: Column) -> Column:
@@ -55,116 +39,171 @@ def key_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def solve_dual(cells: DataFrame, target: dict[str, float], cap: float = CAP, steps: int = 40) -> dict[str, float]:
-    """Multiplier per constraint. cells: (s, tokens), any number of rows a constraint. Newton on
-    sum tokens * (capped exponential) - lambda . target; each step's sums come from Spark."""
-    spark = cells.sparkSession
-    lam, edge = dict.fromkeys(target, 0.0), math.log(cap)
-    for _ in range(steps):
-        now = spark.createDataFrame(list(lam.items()), "s string, lam double")
-        now = F.broadcast(now) if len(lam) * 64 <= BROADCAST_BYTES else now
-        rate = F.least(F.lit(cap), F.exp("lam"))
-        sums = cells.join(now, "s").groupBy("s").agg(F.sum(F.col("tokens") * rate).alias("got")).collect()
-        moved = 0.0
-        for s, got in sums:
-            # Below the cap the curvature is the sum itself. From the cap's edge, steps go down monotonically.
-            step = min(edge - lam[s], max(-2.0, (target[s] - got) / got))
-            if abs(target[s] - got) > 1e-9 * max(1.0, target[s]):
-                lam[s] += step
-                moved = max(moved, abs(step))
-        if moved < 1e-9:
+def ranked(sources: DataFrame) -> Written:
+    """(source, ...), one row a source -> with `rank` from 0 by code point, null last: range partitions, each
+    numbered by itself, and the numbers of rows before them."""
+    ranged = sources.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id())
+    ranged = Written(ranged, "mix-ranged")
+    before, total = [], 0
+    for part, n in sorted(tuple(r) for r in ranged.df.groupBy("part").count().collect()):  # a row a partition
+        before.append((part, total))
+        total += n
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
+    offsets = sources.sparkSession.createDataFrame(before, "part int, before long")
+    out = Written(ranged.df.withColumn("rank", own).join(F.broadcast(offsets), "part").withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before"), "mix-ranked")
+    ranged.drop()
+    return out
+
+
+def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(rank, source_size, ...) with target: shares by weight, stopped at cap times the size, the excess reshared. What a
+    unit of weight gets grows from pass to pass until no further source is stopped."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = sources.withColumns({"weight": weight, "most": F.col("source_size") * F.lit(cap)})
+    each, seen = 0.0, None
+    while True:
+        free = F.lit(each) * F.col("weight") <= F.col("most")
+        total, stopped, wanted, n = rows.agg(F.sum("source_size"), F.sum(F.when(free, 0.0).otherwise(F.col("most"))), F.sum(F.when(free, F.col("weight"))), F.count_if(free)).first()
+        if n == seen or not n:
+            break
+        each, seen = (share * (total or 0) - stopped) / wanted, n
+    target = F.when(F.lit(each) * F.col("weight") <= F.col("most"), F.lit(each) * F.col("weight")).otherwise(F.col("most"))
+    return rows.withColumn("target", target).drop("weight", "most")
+
+
+def rate_of(size: Column, lam: Column, mean: Column, cap: float) -> Column:
+    """A document's rate; a null multiplier stands for an infinite one: the cap."""
+    return F.when(lam.isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(lam * size / mean)))
+
+
+def solve_dual(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> Written:
+    """cells: (s, size, n), sizes above 0; sources: (s, source_size, target, mean, ...) -> with the multiplier `lam`.
+
+    Newton on sum mean * (capped exponential's integral) - lambda . target, one multiplier a source, all at once;
+    a step that leaves the bracket of the root halves it instead. Where the target takes every document at the
+    cap there is no finite root, and `lam` is null."""
+    top = F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))
+    start = F.when(~top, F.log(F.col("target") / F.col("source_size")))
+    names = sources.columns
+    state = Written(sources.withColumns({"lam": start, "low": F.lit(-math.inf), "high": F.lit(math.inf), "off": F.when(~top, F.lit(1.0)).otherwise(0.0)}), "mix-dual")
+    for _ in range(STEPS):
+        open_ = sized(state.df.where(F.col("off") > 1e-10).select("s", "lam", "mean"), 40)
+        rate, size = rate_of(F.col("size"), F.col("lam"), F.col("mean"), cap), F.col("size")
+        tokens = F.col("n") * size * rate
+        sums = cells.join(open_, "s").groupBy("s").agg(F.sum(tokens).alias("got"), F.sum(F.when(rate < cap, tokens * size / F.col("mean")).otherwise(0.0)).alias("curve"))
+        now = state.df.join(sums, "s", "left")
+        gap = F.col("target") - F.col("got")
+        low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("low")), F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
+        newton = F.col("lam") + F.when(F.col("curve") > 0, gap / F.col("curve")).otherwise(F.lit(math.inf))
+        bound = F.when(high == math.inf, F.col("lam") + 1 + F.abs("lam")).when(low == -math.inf, F.col("lam") - 1 - F.abs("lam")).otherwise((low + high) / 2)
+        step = F.when((newton > low) & (newton < high) & (F.abs(newton - F.col("lam")) <= 1 + F.abs("lam")), newton).otherwise(bound)
+        off = F.when(F.col("got").isNull(), 0.0).otherwise(F.abs(gap) / F.greatest(F.lit(1.0), F.col("target")))
+        moved = F.when(off > 1e-10, step).otherwise(F.col("lam"))
+        nxt = Written(now.select(*names, moved.alias("lam"), F.when(F.col("got").isNull(), F.col("low")).otherwise(low).alias("low"), F.when(F.col("got").isNull(), F.col("high")).otherwise(high).alias("high"), off.alias("off")), "mix-dual")
+        state.drop()
+        state = nxt
+        if not state.df.where(F.col("off") > 1e-10).take(1):
             break
-    return lam
+    return state
 
 
 class Mix:
     """Decisions for a table of documents."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, cap: float = CAP):
-        self.cols = id_col, text_col, source_col
-        self.spark = docs.sparkSession
-        units = docs.select(F.xxhash64(F.col(id_col)).alias("i"), F.col(source_col).cast("string").alias("source"), key_of(F.col(source_col)).alias("s"), size_of(F.col(text_col)).alias("size"))
-        self.units = Written(units, "mix-units")
-        cells = Written(self.units.df.groupBy("source", "s", F.pmod("i", F.lit(64)).alias("part")).agg(F.sum("size").alias("tokens")), "mix-cells")
-        sources = cells.df.groupBy("source", "s").agg(F.sum("tokens").alias("size")).collect()  # one row a source
-        goal = targets([(r.source, r["size"]) for r in sources], weights, share, cap)
-        lam = solve_dual(cells.df.where("tokens > 0"), {r.s: goal[r.source] for r in sources if r["size"] > 0}, cap)
-        rows = []
-        for r in sources:
-            rate = min(cap, math.exp(lam.get(r.s, 0.0)))
-            base = math.floor(rate + 1e-9) if r["size"] else 0
-            rows.append((r.s, int(r["size"]), float(goal[r.source]), rate, int(base), float(max(0.0, goal[r.source] - base * r["size"]))))
-        cells.drop()
-        self.sources = self.spark.createDataFrame(rows, "s string, source_size long, target double, rate double, base long, need double")
-        self.n_sources = len(rows)
-        n = self.units.df.count()
-        self.bins = 1 << max(4, (max(1, n // BIN_ROWS)).bit_length())
+        self.cap = cap
+        self.units = Written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), *unit(id_col, text_col, source_col)), "mix-units")
+        cells = Written(self.units.df.groupBy("s", "source", "size").agg(F.count("*").alias("n")), "mix-cells")
+        sizes = cells.df.groupBy("s", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
+        order = ranked(sizes)
+        aimed = Written(with_targets(order.df, weights, share, cap).withColumn("mean", F.col("source_size") / F.greatest(F.lit(1), F.col("docs"))).select("s", "source_size", "target", "mean"), "mix-targets")
+        worded = cells.df.where("size > 0").select("s", "size", "n")
+        dual = solve_dual(worded, aimed.df.where("source_size > 0"), cap)
+        rate = rate_of(F.col("size"), F.col("lam"), F.col("mean"), cap)
+        base = worded.join(sized(dual.df.select("s", "lam", "mean"), 40), "s").groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.floor(rate + 1e-9)).alias("whole"))
+        known = aimed.df.join(dual.df.select("s", "lam"), "s", "left").join(base, "s", "left")
+        self.table = Written(known.select("s", "source_size", "target", "mean", "lam", F.greatest(F.lit(0.0), F.col("target") - F.coalesce("whole", F.lit(0))).alias("need")), "mix-sources")
+        self.sources = sized(self.table.df, 64)
+        for t in (cells, order, aimed, dual):
+            t.drop()
+        self.bins = 1 << max(4, -(-self.units.df.count().bit_length() // 2))  # about as many bins as documents in one
         self.rounds: list[tuple[DataFrame, DataFrame]] = []  # per source the edge and the largest size; the picks at the edge
         for k in range(ROUNDS):
             self._round(k)
 
-    def _small(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.n_sources * 128 <= BROADCAST_BYTES else df
-
-    def _hash(self, k: int) -> Column:
-        return F.xxhash64(F.lit(k), "i", "size")
-
-    def _bin(self, k: int) -> Column:
-        return F.shiftrightunsigned(self._hash(k), 64 - int(math.log2(self.bins)))
-
-    def _candidates(self, k: int) -> DataFrame:
-        """Documents that no earlier round has chosen and that fit what is left."""
-        return self.chosen(self.units.df, k).where("size > 0 and more = 0")
-
-    def chosen(self, df: DataFrame, k: int) -> DataFrame:
-        """`df` (i, s, size, ...) with `more`: 1 if one of the first k rounds gives another copy."""
+    def _rated(self, df: DataFrame) -> DataFrame:
+        """`df` (i, s, size, ...) with source_size, target, base and fraction of its rate, and what its source still needs."""
+        rate = F.when(F.col("size") > 0, rate_of(F.col("size"), F.col("lam"), F.col("mean"), self.cap)).otherwise(0.0)
+        df = df.join(self.sources, "s").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long"))
+        return df.withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).drop("lam", "mean")
+
+    @staticmethod
+    def _place(k: int) -> Column:
+        """Where a document stands in its source's order, in 52 bits: in the first round hash / fraction, which is
+        drawn into them so that 2**51 is where the hash equals the fraction; later the hash."""
+        draw = (F.shiftrightunsigned(F.xxhash64(F.lit(k), "i", "size"), 12).cast("double") + 0.5) / float(1 << 52)
+        return F.floor((draw if k else draw / (draw + F.col("part"))) * float((1 << 52) - 1)).cast("long")
+
+    def _may(self, k: int) -> Column:
+        """May round k give the document another copy?"""
+        return (F.col("size") > 0) & (F.col("base") + F.col("more") + 1 <= self.cap) if k else F.col("part") > 1e-9
+
+    def _chosen(self, df: DataFrame, k: int) -> DataFrame:
+        """Rated rows with `more`: the copies that the first k rounds give besides."""
         df = df.withColumn("more", F.lit(0))
         for j, (edges, picks) in enumerate(self.rounds[:k]):
-            df = df.join(edges, "s", "left")
-            df = df.withColumns({"u": self._hash(j), "at": self._bin(j)})
-            df = df.join(picks, ["s", "u"], "left")
-            takes = (F.col("size") > 0) & (F.col("size") <= F.col("limit")) & ((F.col("at") < F.col("edge")) | F.col("picked").isNotNull())
-            df = df.withColumn("more", F.when((F.col("more") == 1) | F.coalesce(takes, F.lit(False)), 1).otherwise(0)).drop("edge", "limit", "u", "at", "picked")
+            df = df.withColumn("z", self._place(j)).join(edges, "s", "left").join(picks, ["s", "z", "i"], "left")
+            takes = self._may(j) & (F.col("size") <= F.col("limit")) & ((self._bin(F.col("z")) < F.col("edge")) | F.col("picked").isNotNull())
+            df = df.withColumn("more", F.col("more") + F.coalesce(takes, F.lit(False)).cast("int")).drop("edge", "limit", "z", "picked")
         return df
 
+    def _bin(self, z: Column) -> Column:
+        return F.shiftright(z, 52 - int(math.log2(self.bins)))
+
     def _round(self, k: int) -> None:
         """Find each source's edge: bins below it are chosen whole, documents in it as long as they fit."""
-        left = self.left() if k else self.sources.select("s", F.col("need").alias("need"), F.lit(float(1 << 62)).alias("limit"))
+        units = self._chosen(self._rated(self.units.df), k)
+        if k:
+            got = units.groupBy("s").agg(F.sum(F.col("size") * F.col("more")).alias("got"))
+            left = self.table.df.join(got, "s").select("s", (F.col("need") - F.col("got")).alias("rest"), (F.col("need") - F.col("got")).alias("limit"))
+        else:
+            left = self.table.df.select("s", F.col("need").alias("rest"), F.lit(float(1 << 62)).alias("limit"))
         left = Written(left, "mix-left")
-        fits = self._candidates(k).join(self._small(left.df), "s").where("size <= limit").select("i", "s", "size", "need", self._hash(k).alias("u"), self._bin(k).alias("at"))
+        fits = units.where(self._may(k)).withColumn("z", self._place(k)).join(sized(left.df, 40), "s").where("size <= limit").select("i", "s", "size", "rest", "z", self._bin(F.col("z")).alias("at"))
         fits = Written(fits, "mix-fits")
-        bins = fits.df.groupBy("s", "at").agg(F.sum("size").alias("tokens"), F.max("need").alias("need"))
+        bins = fits.df.groupBy("s", "at").agg(F.sum("size").alias("tokens"), F.max("rest").alias("rest"))
         upto = bins.withColumn("upto", F.sum("tokens").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-        over = upto.where("upto > need").groupBy("s").agg(F.min(F.struct("at", (F.col("upto") - F.col("tokens")).alias("below"))).alias("e"))
-        edges = Written(left.df.join(over, "s", "left").select("s", F.coalesce("e.at", F.lit(self.bins).cast("long")).alias("edge"), (F.col("need") - F.coalesce("e.below", F.lit(0))).alias("rest"), "limit"), "mix-edges")
-        inside = fits.df.join(self._small(edges.df), "s").where("at = edge").groupBy("s", "u", "rest").agg(F.sum("size").alias("tokens"))
-        run = inside.withColumn("upto", F.sum("tokens").over(Window.partitionBy("s").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)))
-        picks = Written(run.where("upto <= rest").select("s", "u", F.lit(True).alias("picked")), "mix-picks")
+        over = upto.where("upto > rest").groupBy("s").agg(F.min(F.struct("at", (F.col("upto") - F.col("tokens")).alias("below"))).alias("e"))
+        edges = left.df.join(over, "s", "left").select("s", F.coalesce("e.at", F.lit(self.bins).cast("long")).alias("edge"), (F.col("rest") - F.coalesce("e.below", F.lit(0))).alias("rest"), "limit")
+        edges = Written(edges, "mix-edges")
+        inside = fits.df.drop("rest").join(sized(edges.df, 48), "s").where("at = edge").groupBy("s", "z", "i", "rest").agg(F.sum("size").alias("tokens"))
+        run = inside.withColumn("upto", F.sum("tokens").over(Window.partitionBy("s").orderBy("z", "i").rowsBetween(Window.unboundedPreceding, 0)))
+        picks = Written(run.where("upto <= rest").select("s", "z", "i", F.lit(True).alias("picked")), "mix-picks")
         fits.drop()
         left.drop()
-        self.rounds.append((self._small(edges.df.select("s", "edge", "limit")), sized(picks.df, 48)))
-
-    def left(self) -> DataFrame:
-        """Words still wanted per source; a document fits if it has no more."""
-        got = self.chosen(self.units.df, len(self.rounds)).groupBy("s").agg(F.sum(F.col("size") * F.col("more")).alias("got"))
-        return self.sources.join(got, "s").select("s", (F.col("need") - F.col("got")).alias("need"), (F.col("need") - F.col("got")).alias("limit"))
+        self.rounds.append((sized(edges.df.select("s", "edge", "limit"), 40), sized(picks.df, 48)))
 
     def apply(self, df: DataFrame) -> DataFrame:
         """`df` (i, s, size, ...) with source_size, target, copies and taken."""
-        out = self.chosen(df, len(self.rounds)).join(self._small(self.sources), "s")
+        out = self._chosen(self._rated(df), len(self.rounds))
         copies = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)).cast("long")
         return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def unit(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What decisions go by: i, s, size."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("i"), key_of(F.col(source_col)).alias("s"), size_of(F.col(text_col)).alias("size")]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """(id, size, source_size, target, taken, copies) per row."""
     plan = Mix(docs, id_col, text_col, source_col, **how)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("i"), key_of(F.col(source_col)).alias("s"), size_of(F.col(text_col)).alias("size"))
-    return plan.apply(rows).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies")
+    return plan.apply(plan.units.df.select("id", "i", "s", "size")).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target, taken and copies after their own columns."""
     plan = Mix(docs, id_col, text_col, source_col, **how)
-    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_col)).alias("i"), key_of(F.col(source_col)).alias("s"), size_of(F.col(text_col)).alias("size"))
-    return plan.apply(whole).where("copies > 0").select("row.*", *(f"{c}" for c in ("size", "source_size", "target", "taken", "copies")))
+    own = [c for c in docs.columns if c not in ADDED]
+    whole = docs.select(F.struct(*(F.col(c) for c in own)).alias("row"), *unit(id_col, text_col, source_col))
+    return plan.apply(whole).where("copies > 0").select("row.*", *ADDED)
