@@ -62,21 +62,72 @@ def test_mix(spark, docs):
     assert all(abs(got[s] - most[s]) < 0.05 * most[s] for s in most)
 
 
-def test_targets_and_dual(spark):
-    assert mixing.targets([(None, 7), ("x", 2), ("y", 0)]) == {"x": 4.0, "y": 0.0, None: 9.5}
-    assert mixing.targets([]) == {}
-    cells = spark.createDataFrame([("a", 60), ("a", 40), ("b", 10), ("c", 100)], "s string, tokens long")
-    lam = mixing.solve_dual(cells, {"a": 150.0, "b": 20.0, "c": 3.0})
+def _water(sizes, weights=(3.0, 1.0, 2.0), share=1.5, cap=2.0):
+    """Targets in plain Python. sizes: {source: size}."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: weights[i % 3] for i, x in enumerate(order)}
+    left, free, out = share * sum(sizes.values()), list(order), {}
+    while free:
+        each = left / sum(weight[x] for x in free)
+        above = [x for x in free if each * weight[x] > cap * sizes[x]]
+        if not above:
+            return out | {x: each * weight[x] for x in free}
+        out |= {x: cap * sizes[x] for x in above}
+        left -= sum(out[x] for x in above)
+        free = [x for x in free if x not in out]
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 40])
+def test_targets(spark, n):
+    r = random.Random(n)
+    sizes = dict([(None, 7), ("y", 0), ("é", 12)][:n]) | {f"x{i}": r.choice([0, 1, 5, 1000, 10**6]) for i in range(n - 3)}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+    got = {x.source: x.target for x in mixing.with_targets(mixing.ranked(rows).df).collect()}
+    want = _water(sizes)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 1e-6 * max(1, want[k]) for k in want)
+
+
+def test_dual(spark):
+    """Multipliers against bisection; rates differ within a source; a target at the cap has none."""
     import math
 
-    assert [round(min(2.0, math.exp(lam[s])), 6) for s in "abc"] == [1.5, 2.0, 0.03]
-
-
-def test_mix_odd(odd):
+    cells = [("a", 10, 5), ("a", 100, 2), ("a", 1000, 1), ("b", 10, 1), ("b", 3000, 2), ("c", 50, 100), ("d", 7, 1), ("e", 1, 9), ("e", 20000, 1)]
+    aim = {"a": 2000.0, "b": 40.0, "c": 9000.0, "d": 14.0, "e": 20050.0}
+    size = {s: sum(t * n for x, t, n in cells if x == s) for s in aim}
+    mean = {s: size[s] / sum(n for x, _, n in cells if x == s) for s in aim}
+    rows = [(s, size[s], aim[s], mean[s]) for s in aim]
+    got = {r.s: r.lam for r in mixing.solve_dual(spark.createDataFrame(cells, "s string, size long, n long"), spark.createDataFrame(rows, "s string, source_size long, target double, mean double")).df.collect()}
+    assert got["d"] is None
+    for s in "abce":
+        tokens = lambda lam, s=s: sum(n * t * min(2.0, math.exp(min(50.0, lam * t / mean[s]))) for x, t, n in cells if x == s)
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if tokens(mid) < aim[s] else (low, mid)
+        assert abs(tokens(got[s]) - aim[s]) < 1e-6 * aim[s] and abs(got[s] - low) < 1e-5 * max(1, abs(low))
+
+
+def test_mix_rates_follow_length(spark):
+    """A source that is thinned out loses long documents first: exp(lambda * tokens) with lambda below zero."""
+    r = random.Random(2)
+    rows = [(i, "w " * (20 if i % 2 else 200), "a") for i in range(3000)] + [(5000 + i, "w " * 3, "b") for i in range(40000 // 3)]
+    r.shuffle(rows)
+    res = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).collect()
+    of = lambda n: [x.copies for x in res if x.size == n]
+    short, long = sum(of(20)) / 1500, sum(of(200)) / 1500
+    target = next(x.target for x in res if x.size == 20)
+    assert short > 1.2 * long and abs(sum(x.taken for x in res if x.size in (20, 200)) - target) <= 200
+
+
+def test_mix_odd(odd, tmp_path):
     res = mixing.mix(odd).collect()
     assert len(res) == odd.count() and all(r.taken <= 2 * r["size"] for r in res)
-    assert mixing.mixed(odd).count() == sum(r.copies > 0 for r in res)
-    assert mixing.mix(odd.limit(0)).count() == 0
+    mixing.mixed(odd).write.parquet(f"{tmp_path}/mixed")
+    back = odd.sparkSession.read.parquet(f"{tmp_path}/mixed")
+    assert back.columns == ["doc_id", "text", "source", "score", "size", "source_size", "target", "taken", "copies"]
+    assert back.count() == sum(r.copies > 0 for r in res)
+    assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
 
 
 # --- op2 ---
@@ -90,10 +141,11 @@ def test_simhash(spark, texts):
     assert pairs(queries.op2_simhash(spark, DATA)) == sorted(((i, f"{prints[i]:016x}", roots[i]) for i in ids), key=str)
 
 
-@pytest.mark.parametrize(("radius", "limit"), [(2, 48), (2, 1), (3, 1), (8, 48)])
-def test_links(spark, radius, limit, monkeypatch):
-    monkeypatch.setattr(simhash, "SMALL_GROUP", limit)
-    monkeypatch.setattr(simhash, "TILE", 16)
+@pytest.mark.parametrize(("radius", "tile", "part"), [(2, 1024, 32768), (2, 16, 32768), (2, 2, 32768), (2, 16, 20), (3, 4, 40), (8, 16, 32768)])
+def test_links(spark, radius, tile, part, monkeypatch):
+    """Keys of all lengths, split buckets, tiles that are skipped: always the links of brute force."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "PART", part)
     r = random.Random(radius)
     bases = [r.getrandbits(64) for _ in range(12)]
     fps = sorted({b ^ sum(1 << r.randrange(64) for _ in range(r.randrange(5))) & (1 << 64) - 1 for b in bases for _ in range(25)})
@@ -106,6 +158,28 @@ def test_links(spark, radius, limit, monkeypatch):
     assert {n: star.get(n, n) for n in signed} == want
 
 
+def test_masks_grow_with_the_table():
+    r = random.Random(11)
+    for n in (0, 1, 1 << 10, 1 << 18, 1 << 30, 1 << 34, 1 << 40):
+        ms = simhash.masks(2, n)
+        assert len({bin(m & (1 << 64) - 1).count("1") for m in ms}) == 1
+        assert n >> bin(ms[0] & (1 << 64) - 1).count("1") <= 2048
+        for _ in range(300):  # two flipped bits leave one key alone at least
+            flip = (1 << r.randrange(64)) | (1 << r.randrange(64))
+            assert any(not flip & m & (1 << 64) - 1 for m in ms)
+
+
+def test_tiles_are_compared_and_skipped(monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 8)
+    seen = []
+    real = np.nonzero
+    monkeypatch.setattr(simhash.np, "nonzero", lambda x: seen.append(x.shape) or real(x))
+    fp = np.array(sorted((random.Random(5).getrandbits(64) >> (i % 40) for i in range(64)), key=int.bit_count), np.uint64)
+    simhash.linked(np.zeros(64, int), fp, 2)
+    tiles = [x for x in seen if len(x) == 2]
+    assert 8 <= len(tiles) < 36 and set(tiles) == {(8, 8)}
+
+
 def test_simhash_odd(spark, odd):
     res = simhash.near_duplicates(odd).collect()
     assert len(res) == odd.count()
@@ -143,15 +217,42 @@ def test_keep_one_at_the_threshold(spark, similarity, linked):
     assert kept == set(range(0, 600, 2 if linked else 1))
 
 
-def test_near_copies_against_brute_force():
+def test_near_copies_against_brute_force(monkeypatch):
+    monkeypatch.setattr(nearcopies, "TILE", 16)
     r = random.Random(8)
     base = [r.random() for _ in range(40)]
     sets = [np.unique(np.array([hash(x) for x in base if r.random() < 0.93] + [r.getrandbits(60) for _ in range(r.randrange(4))], np.uint64)) for _ in range(60)]
     alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
     near = [(i, j) for i in range(60) for j in range(i) if alike(sets[i], sets[j])]
+    want = brute.classes(range(60), near)
     lab = nearcopies.linked(sets, 0.8)
     assert 1 < len(set(lab.tolist())) < 60
-    assert brute.classes(range(60), [(i, int(x)) for i, x in enumerate(lab)]) == brute.classes(range(60), near)
+    assert brute.classes(range(60), [(i, int(x)) for i, x in enumerate(lab)]) == want
+    lab = nearcopies.linked(sets, 0.8, [want[i] if i % 3 else None for i in range(60)])
+    assert brute.classes(range(60), [(i, int(x)) for i, x in enumerate(lab)]) == want
+
+
+@pytest.mark.parametrize("chunk", [1024, 5])
+def test_near_copies_in_chunks(spark, chunk, monkeypatch):
+    """Groups larger than a chunk: a large one, chains whose ends are unlike, and strangers that share a key."""
+    monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(120)]
+        for _ in range(30):
+            t = list(base)
+            for _ in range(r.randrange(9)):
+                t[r.randrange(120)] = word()
+            rows.append(" ".join(t))
+    rows += ["", "", "one two", "one two"]
+    sets = [nearcopies.shingle_set(t, 5) for t in rows]
+    n = len(rows)
+    near = [(i, j) for i in range(n) for j in range(i) if nearcopies.same(sets[i], sets[j], 0.8)]
+    want = brute.classes(range(n), near)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    assert kept == set(want.values())
 
 
 # --- op3 ---
