@@ -155,22 +155,27 @@ def gathered(rows: DataFrame, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, got["label"].to_numpy().astype(np.int64), (got["k"].to_numpy().view(np.uint64) >> np.uint64(9)) % np.uint64(FOLDS)
 
 
-def train_nnpu(pos: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray, steps: int = 600, rate: float = 0.02, decay: float = 1e-3) -> np.ndarray:
+def train_nnpu(pos: np.ndarray, unlabelled: np.ndarray, prior: float, scale: np.ndarray, steps: int = 100, rate: float = 0.5, decay: float = 0.1) -> np.ndarray:
     """Weights (bias last) that minimise the non-negative PU risk with the squared loss. pos: rows of positives;
-    unlabelled: their `moments`. Where the negatives' risk falls below zero, steps walk it back."""
+    unlabelled: their `moments`. Steps are damped Newton steps of the plain risk; where the negatives' risk
+    falls below zero, they walk it back, as far as zero by its slope."""
     s = np.append(scale, 1.0)
     mu = unlabelled / max(1.0, unlabelled[-1, -1]) * np.outer(s, s)
     xp = pos * s
     mp = xp.T @ xp / len(xp)
+    ridge = np.append(np.full(len(scale), decay), 1e-9)
+    solve = np.linalg.inv(0.5 * mu + np.diag(ridge))
     w = np.zeros(len(s))
-    adam = H.Adam([w.shape], rate)
-    ridge = np.append(np.full(len(scale), decay), 0.0)
     for _ in range(steps):
-        gu, gp = mu @ w, mp @ w  # E[x s]; the last entry of a moment's row is E[x]
+        gu, gp = mu @ w, mp @ w  # E[x s]; the last row of a moment is E[x]
         negative = 0.25 * (1 + 2 * (mu[-1] @ w) + w @ gu) - prior * 0.25 * (1 + 2 * (mp[-1] @ w) + w @ gp)
         g_neg = 0.5 * (mu[-1] + gu) - prior * 0.5 * (mp[-1] + gp)
         g_pos = prior * 0.5 * (gp - mp[-1])
-        adam.step([w], [(g_pos + g_neg if negative >= 0 else -g_neg) + ridge * w])
+        if negative >= 0:
+            w -= rate * (solve @ (g_pos + g_neg + ridge * w))
+        else:
+            back = solve @ g_neg
+            w += min(rate, -negative / max(1e-12, float(back @ g_neg))) * back
     return w * s
 
 
