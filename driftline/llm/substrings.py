@@ -2,14 +2,16 @@
 
 Every LENGTH-byte window of a text has one anchor: its ANCHOR-byte gram with the least hash. Equal windows have
 equal anchors at equal offsets, so only texts around an anchor that occurs twice can repeat. Neighbouring
-windows with the same anchor form a run. Runs equal in all bytes repeat entirely, and are counted with
-map-side combining, so copies, however many, never meet in one task. Of the other runs of an anchor
+windows with the same anchor form a run. Runs equal in all bytes (by a hash of 128 bits) repeat entirely, and are
+counted with map-side combining, so copies, however many, never meet in one task. Of the other runs of an anchor
 one per distinct content is fetched; the suffixes that start at the anchor and the reversed prefixes that end
 there are sorted deep-shallow, and their common prefixes tell, byte for byte, which windows repeat.
 
 An anchor with more than CROWD contents is dealt out finer: its windows are taken PIECE offsets at a time, and
 contents meet only where they agree in all bytes that such windows share; equal pieces are again counted with
-map-side combining and meet once. What holds for the pieces is put together per content.
+map-side combining and meet once. Where more than CROWD pieces still agree, they are dealt out window by window, and
+equal windows (128 bits) are counted. What holds for pieces and windows is put together per content. So a task sorts
+CROWD contents of an anchor at most.
 
 Defined cases: null and short texts have nothing removed; repeated rows remove each other's bytes where long
 enough; null ids each give their own row; an empty table gives an empty result; other columns are ignored.
@@ -73,8 +75,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(data: bytes, powers: Powers, length: int = LENGTH, anchor: int = ANCHOR) -> list[tuple[int, int, int, int, int]]:
-    """(first byte, end, anchor's place, anchor's hash, content's hash) of each run of windows."""
+def runs_of(data: bytes, powers: Powers, length: int = LENGTH, anchor: int = ANCHOR) -> list[tuple[int, int, int, int, int, int]]:
+    """(first byte, end, anchor's place, anchor's hash, content's hash in halves) of each run of windows."""
     out = []
     s = np.frombuffer(data, np.uint8)
     low = np.uint64((1 << 24) - 1)
@@ -87,10 +89,16 @@ def runs_of(data: bytes, powers: Powers, length: int = LENGTH, anchor: int = ANC
         place = (least[first] & low).astype(np.int64)
         hashes = h[place].view(np.int64)
         for a, b, p, g in zip((first + base).tolist(), (last + base + length).tolist(), (place + base).tolist(), hashes.tolist(), strict=True):
-            out.append((a, b, p, g, xxhash.xxh3_64_intdigest(data[a:b]) - (1 << 63)))
+            out.append((a, b, p, g, *halves(data[a:b])))
     return out
 
 
+def halves(data: bytes, seed: int = 0) -> tuple[int, int]:
+    """128-bit hash as two signed numbers."""
+    x = xxhash.xxh3_128_intdigest(data, seed)
+    return (x >> 64) - (1 << 63), (x & _M64) - (1 << 63)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with a content key: rows equal in id and text share it, and share their result."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -98,7 +106,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
-    names = ["k", "k2", "a", "b", "p", "h", "c"]
+    names = ["k", "k2", "a", "b", "p", "h", "c", "d"]
 
     def run(batches):
         powers = Powers()
@@ -112,10 +120,10 @@ def _anchors(keyed: DataFrame, length: int, anchor: int) -> DataFrame:
                         column += values
                     own[0] += [k] * len(rows)
                     own[1] += [k2] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, (pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3), strict=True)], names=names)
 
     long = F.octet_length("text") >= length
-    return keyed.where(long).select("text", "k", "k2").mapInArrow(tidy(run), "k long, k2 int, a int, b int, p int, h long, c long")
+    return keyed.where(long).select("text", "k", "k2").mapInArrow(tidy(run), "k long, k2 int, a int, b int, p int, h long, c long, d long")
 
 
 def repeated_parts(texts: list[tuple[bytes, int]], length: int = LENGTH) -> list[tuple[int, int] | None]:
@@ -167,14 +175,14 @@ def pieces_of(data: bytes, a: int, b: int, p: int, length: int) -> list[tuple[in
     return out
 
 
-_PIECES = "h long, c long, g long, q long, shift int, at int, content binary"
+_PIECES = "h long, c long, d long, g long, q long, r long, shift int, at int, content binary"
 
 
 def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted: (k, k2, runs: array of (h, c, a, b, p, crowd)) -> pieces to compare. g tells the pieces that can agree;
-    q is the piece's own hash, shift its place in the content, at the anchor's place in the piece."""
+    """wanted: (k, k2, runs: array of (h, c, d, a, b, p, crowd)) -> pieces to compare. g tells the pieces that can agree;
+    q and r are the piece's own hash, shift its place in the content, at the anchor's place in the piece."""
     names = [f.split()[0] for f in _PIECES.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (*[pa.int64()] * 6, pa.int32(), pa.int32(), pa.binary())
 
     def run(batches):
         for batch in slices(batches):
@@ -184,28 +192,31 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 for r in runs:
                     a, b, p = r["a"], r["b"], r["p"]
                     if not r["crowd"]:
-                        rows.append((r["h"], r["c"], 0, r["c"], 0, p - a, data[a:b]))
+                        rows.append((r["h"], r["c"], r["d"], 0, r["c"], r["d"], 0, p - a, data[a:b]))
                         continue
                     for g, first, end, before in pieces_of(data, a, b, p, length):
                         piece = data[first:end]
-                        rows.append((r["h"], r["c"], g, xxhash.xxh3_64_intdigest(piece) - (1 << 63), first - a, before, piece))
+                        rows.append((r["h"], r["c"], r["d"], g, *halves(piece), first - a, before, piece))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=names)
 
     return keyed.select("text", "k", "k2").join(wanted, ["k", "k2"]).select("text", "runs").mapInArrow(tidy(run), _PIECES)
 
 
+_PART = "h long, g long, q long, r long, lo int, hi int"
+
+
 def _compare(contents: DataFrame, length: int) -> DataFrame:
-    """(h, g, q, at, content), all different -> (h, g, q, lo, hi): the part of each that repeats in another of its group."""
+    """(h, g, q, r, at, content), all different -> (h, g, q, r, lo, hi): the part of each that repeats in another of its group."""
 
     def run(batches):
         held: list = []
 
         def judged(rows):
             if len(rows) > 1:
-                for (h, g, q, _, _), part in zip(rows, repeated_parts([(t, at) for *_, at, t in rows], length), strict=True):
+                for (h, g, q, r, _, _), part in zip(rows, repeated_parts([(t, at) for *_, at, t in rows], length), strict=True):
                     if part:
-                        yield h, g, q, *part
+                        yield h, g, q, r, *part
 
         for batch in batches:
             out = []
@@ -217,43 +228,72 @@ def _compare(contents: DataFrame, length: int) -> DataFrame:
             yield _parts(out)
         yield _parts(list(judged(held)))
 
-    return contents.repartition("h", "g").sortWithinPartitions("h", "g").select("h", "g", "q", "at", "content").mapInArrow(tidy(run), "h long, g long, q long, lo int, hi int")
+    return contents.repartition("h", "g").sortWithinPartitions("h", "g").select("h", "g", "q", "r", "at", "content").mapInArrow(tidy(run), _PART)
 
 
 def _parts(rows: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], names=["h", "g", "q", "lo", "hi"])
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(),) * 4 + (pa.int32(),) * 2, strict=True)], names=["h", "g", "q", "r", "lo", "hi"])
+
+
+def _by_window(contents: DataFrame, length: int) -> DataFrame:
+    """The same for groups too large to meet: windows at the same offset from the anchor are counted, wherever they are."""
+    names = ["h", "g", "q", "r", "o", "x", "y"]
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = []
+            for h, g, q, r, at, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(h, g, q, r, o, *halves(content[o : o + length], at - o)) for o in range(len(content) - length + 1)]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "o" else pa.int64()) for n, v in zip(names, columns, strict=True)], names=names)
+
+    each = Written(contents.select("h", "g", "q", "r", "at", "content").mapInArrow(tidy(run), "h long, g long, q long, r long, o int, x long, y long"), "windows")
+    again = Written(each.df.groupBy("h", "g", "x", "y").count().where("count > 1").drop("count"), "windows-again")
+    out = Written(each.df.join(again.df, ["h", "g", "x", "y"]).groupBy("h", "g", "q", "r").agg(F.min("o").alias("lo"), (F.max("o") + length).alias("hi")), "windows-parts")
+    each.drop()
+    again.drop()
+    return out.df
 
 
 def covered(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Written:
     """(k, k2, spans: array of (first, end)) of the documents that have repeated bytes; spans may overlap."""
     anchors = Written(_anchors(keyed, length, anchor), "anchors")
-    twice = anchors.df.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    twice = Written(twice.select("h", (F.col("c0") == F.col("c1")).alias("same")), "anchors-twice")
+    ends = (f("c").alias(f"c{i}") for i, f in enumerate((F.min, F.max)))
+    twice = anchors.df.groupBy("h").agg(F.count("*").alias("n"), *ends, F.min("d").alias("d0"), F.max("d").alias("d1")).where("n > 1")
+    twice = Written(twice.select("h", F.expr("c0 = c1 and d0 = d1").alias("same")), "anchors-twice")
     members = Written(anchors.df.join(twice.df, "h"), "anchors-members")
     anchors.drop()
     twice.drop()
     mixed = members.df.where("not same")
-    kinds = Written(mixed.groupBy("h", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("k", "k2", "a", "b", "p"))), "contents")
+    content, piece = ["h", "c", "d"], ["h", "g", "q", "r"]
+    kinds = Written(mixed.groupBy(*content).agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("k", "k2", "a", "b", "p"))), "contents")
     crowds = Written(kinds.df.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd")), "crowds")
     runs = kinds.df.join(sized(crowds.df, 16), "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    wanted = Written(runs.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "c", "a", "b", "p", "crowd")).alias("runs")), "wanted")
+    wanted = Written(runs.groupBy("k", "k2").agg(F.collect_list(F.struct("h", "c", "d", "a", "b", "p", "crowd")).alias("runs")), "wanted")
     near = Sieve(wanted.df, "k").marked(keyed, "k", "near").where("near").drop("near")
     pieces = Written(_fetch(near, wanted.df, length), "pieces")
     crowded = pieces.df.where("g <> 0")
-    once = Written(crowded.groupBy("h", "g", "q").agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("content").alias("content")), "pieces-once")
-    parts = Written(_compare(pieces.df.where("g = 0").select("h", "g", "q", "at", "content").union(once.df.drop("n")), length), "parts")
-    twins = once.df.where("n > 1").select("h", "g", "q", F.lit(0).alias("lo"), F.octet_length("content").alias("hi"))
-    known = twins.union(parts.df.where("g <> 0").join(once.df.where("n = 1").select("h", "g", "q"), ["h", "g", "q"]))
-    joint = crowded.select("h", "c", "g", "q", "shift").join(known, ["h", "g", "q"]).groupBy("h", "c").agg(F.min(F.col("shift") + F.col("lo")).alias("lo"), F.max(F.col("shift") + F.col("hi")).alias("hi"))
-    whole = kinds.df.where("n > 1").select("h", "c", F.lit(0).alias("lo"), (F.col("b") - F.col("a")).alias("hi"))
-    rest = parts.df.where("g = 0").select("h", F.col("q").alias("c"), "lo", "hi").union(joint).join(kinds.df.where("n = 1").select("h", "c"), ["h", "c"])
-    ruled = Written(whole.union(rest), "ruled")
+    once = Written(crowded.groupBy(*piece).agg(F.count("*").alias("n"), F.first("at").alias("at"), F.first("content").alias("content")), "pieces-once")
+    dense = Written(once.df.groupBy("h", "g").count().where(F.col("count") > CROWD).select("h", "g"), "dense")
+    few = sized(dense.df, 16)
+    small = pieces.df.where("g = 0").select(*piece, "at", "content").union(once.df.drop("n").join(few, ["h", "g"], "left_anti").select(*piece, "at", "content"))
+    found = _compare(small, length)
+    if dense.df.take(1):
+        found = found.union(_by_window(once.df.join(few, ["h", "g"]), length))
+    parts = Written(found, "parts")
+    twins = once.df.where("n > 1").select(*piece, F.lit(0).alias("lo"), F.octet_length("content").alias("hi"))
+    known = twins.union(parts.df.where("g <> 0").join(once.df.where("n = 1").select(*piece), piece).select(*piece, "lo", "hi"))
+    joint = crowded.select(*content, "g", "q", "r", "shift").join(known, piece).groupBy(*content).agg(F.min(F.col("shift") + F.col("lo")).alias("lo"), F.max(F.col("shift") + F.col("hi")).alias("hi"))
+    whole = kinds.df.where("n > 1").select(*content, F.lit(0).alias("lo"), (F.col("b") - F.col("a")).alias("hi"))
+    alone = parts.df.where("g = 0").select("h", F.col("q").alias("c"), F.col("r").alias("d"), "lo", "hi").union(joint)
+    ruled = Written(whole.union(alone.join(kinds.df.where("n = 1").select(*content), content).select(*content, "lo", "hi")), "ruled")
     spans = members.df.where("same").select("k", "k2", "a", "b").union(
-        mixed.join(ruled.df, ["h", "c"]).select("k", "k2", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
+        mixed.join(ruled.df, content).select("k", "k2", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
     )
-    out = Written(spans.groupBy("k", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
-    for t in (members, kinds, crowds, wanted, pieces, once, parts, ruled):
+    # Rows equal in id and text give each span again: sets are combined before the shuffle.
+    out = Written(spans.groupBy("k", "k2").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    for t in (members, kinds, crowds, wanted, pieces, once, dense, parts, ruled):
         t.drop()
     return out
 

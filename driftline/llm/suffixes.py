@@ -1,6 +1,7 @@
 """Deep-shallow suffix sorting of chosen positions, with longest common prefixes.
 
-Shallow: multikey quicksort on eight-byte words, all suffixes at once, down to SHALLOW bytes. Deep: the suffixes
+Shallow: multikey quicksort on eight-byte words (three-way partitions by a pivot, the equal part goes one word
+deeper) down to SHALLOW bytes. Deep: the suffixes
 that still agree are put into blind tries, which store only branching depths and bytes; a search runs blindly to
 a leaf, one comparison with that leaf finds the true depth of divergence, and the walk of the trie gives the
 order and the common prefixes of neighbours.
@@ -79,19 +80,30 @@ class BlindTrie:
         return order, lcp
 
 
+def multikey_quicksort(words: np.ndarray) -> list[np.ndarray]:
+    """words: one row of numbers a string -> row numbers in order, in groups of equal rows."""
+    depth_of_all = words.shape[1]
+    groups, todo = [], [(np.arange(len(words)), 0)]
+    while todo:
+        rows, depth = todo.pop()
+        if len(rows) <= 1 or depth == depth_of_all:
+            if len(rows):
+                groups.append(rows)
+            continue
+        word = words[rows, depth]
+        if (word == word[0]).all():
+            todo.append((rows, depth + 1))
+            continue
+        pivot = sorted((word[0], word[len(word) // 2], word[-1]))[1]
+        less, more = word < pivot, word > pivot
+        todo += [(rows[more], depth), (rows[~less & ~more], depth + 1), (rows[less], depth)]
+    return groups
+
+
 def deep_shallow(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp with the neighbour before) of byte strings."""
-    n = len(texts)
-    order = np.arange(n)
-    padded = np.frombuffer(b"".join(t[:SHALLOW].ljust(SHALLOW, b"\0") for t in texts), ">u8").reshape(n, SHALLOW // 8).astype(np.uint64)
-    groups = [order] if n else []
-    for k in range(SHALLOW // 8):  # refine the groups that still agree
-        deeper = []
-        for g in groups:
-            g = g[np.argsort(padded[g, k], kind="stable")]
-            cut = np.flatnonzero(np.diff(padded[g, k])) + 1
-            deeper += np.split(g, cut)
-        groups = deeper
+    padded = b"".join(t[:SHALLOW].ljust(SHALLOW, b"\0") for t in texts)
+    groups = multikey_quicksort(np.frombuffer(padded, ">u8").reshape(len(texts), SHALLOW // 8).astype(np.uint64))
     out: list[int] = []
     lcp: list[int] = []
     for g in groups:
