@@ -1,12 +1,12 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is an Arrow batch of documents. Its words become symbols of the benchmark's vocabulary; stretches
+A shard is a part of an Arrow batch of documents. Its words become symbols of the benchmark's vocabulary; stretches
 that cannot hold any window (a word outside the vocabulary, or two neighbours that are never neighbours in
 a window) are cut out beforehand, which loses no occurrence. The rest is indexed, all windows are searched
 backwards, their occurrences located, and the covered words merged into removal spans.
 
-Benchmarks are read in blocks of at most BLOCK_BYTES of text, each broadcast; further blocks are further passes
-whose spans are merged per document.
+Benchmarks are read in blocks of at most BLOCK_BYTES of text, one at a time: a block is broadcast, searched for, and let
+go. Of several blocks, each pass writes what it hits by text, and documents then meet what was found in theirs.
 
 Defined cases: null and wordless texts have no words and no hits; items without words or with a null id have
 no windows; an item under 13 words is one window; equal windows of several items count for each; repeated item ids
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import string
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import Sieve, Written, slices, tidy
 from .fmindex import FMIndex
 
-WINDOW, BLOCK_BYTES, SHARD_SYMBOLS = 13, 8 << 20, 2_000_000
+WINDOW, BLOCK_BYTES, SHARD_SYMBOLS, SHARD_ROWS = 13, 8 << 20, 2_000_000, 2048
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes: letters to lower case, what no word holds to a space. All bytes over 0x7F belong to words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -149,55 +150,105 @@ def _joined(lists: list[list[int]]) -> list[int]:
     return spans_of(np.unique(np.concatenate(words))) if words else []
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, keep_text: bool, edit: bool) -> DataFrame:
-    """`docs` with n_words, spans of hit words and items, for one block of the benchmark; those of the blocks before
-    are added. edit: contaminated rows go, other rows lose their hit words, and no column is added."""
+def _searched(texts: list[str | None], windows: Windows) -> tuple[list[int], list[list[int]], list[list[str]]]:
+    """(words, spans of hit words, items) of each text."""
+    counts, hits, shard = [], {}, Shard(windows)
+    for d, text in enumerate(texts):
+        words = words_of(text)
+        counts.append(len(words))
+        shard.add(d, words)
+        if shard.size > SHARD_SYMBOLS:
+            hits |= shard.hits()
+            shard = Shard(windows)
+    hits |= shard.hits()
+    return counts, [spans_of(hits[d][0]) if d in hits else [] for d in range(len(counts))], [sorted(hits[d][1]) if d in hits else [] for d in range(len(counts))]
+
+
+class Output:
+    """What becomes of a batch: the columns of `docs`, without the text and with what was found; or, with edit,
+    without contaminated rows and hit words."""
+
+    def __init__(self, docs: DataFrame, text_col: str, edit: bool):
+        self.text_col, self.edit = text_col, edit
+        self.kept = [f for f in docs.schema.fields if edit or f.name != text_col]
+        self.found = [] if edit else [T.StructField(f"__found_{f.name}", f.dataType) for f in FOUND]
+        self.schema = T.StructType([*self.kept, *self.found])
+
+    def batch(self, batch: pa.RecordBatch, texts: list, counts: list, spans: list, items: list) -> pa.RecordBatch:
+        columns = [batch.column(f.name) for f in self.kept]
+        if not self.edit:
+            columns += [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=self.schema.names)
+        hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        stay = [20 * h < n or not h for h, n in zip(hit, counts, strict=True)]
+        k = self.schema.names.index(self.text_col)
+        if any(h and ok for h, ok in zip(hit, stay, strict=True)):
+            columns[k] = pa.array([cut_words(t, s) if s and ok else t for t, s, ok in zip(texts, spans, stay, strict=True)], columns[k].type)
+        return pa.RecordBatch.from_arrays(columns, names=self.schema.names).filter(pa.array(stay, pa.bool_()))
+
+
+def _one_pass(docs: DataFrame, items: list[tuple[str, str]], text_col: str, edit: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES and one item
-    own = [f for f in docs.schema.fields if not f.name.startswith("__found_")]
-    at = [docs.columns.index(f.name) for f in own if keep_text or f.name != text_col]
-    kept = [docs.schema.fields[i] for i in at]
-    where, before = docs.columns.index(text_col), [docs.columns.index(f"__found_{n}") for n in ("spans", "items")] if len(own) < len(docs.columns) else None
-    found = [T.StructField(f"__found_{f.name}", f.dataType) for f in FOUND]
+    out = Output(docs, text_col, edit)
 
     def run(batches):
         windows = Windows(shared.value)
-        for batch in batches:
-            counts, hits, shard = [], {}, Shard(windows)
-            texts = batch.column(where).to_pylist()
-            for d, text in enumerate(texts):
-                words = words_of(text)
-                counts.append(len(words))
-                shard.add(d, words)
-                if shard.size > SHARD_SYMBOLS:
-                    hits |= shard.hits()
-                    shard = Shard(windows)
-            hits |= shard.hits()
-            spans = [spans_of(hits[d][0]) if d in hits else [] for d in range(len(counts))]
-            names = [sorted(hits[d][1]) if d in hits else [] for d in range(len(counts))]
-            if before:
-                spans = [_joined([x, y]) for x, y in zip(spans, batch.column(before[0]).to_pylist(), strict=True)]
-                names = [sorted({*x, *y}) for x, y in zip(names, batch.column(before[1]).to_pylist(), strict=True)]
-            columns = [batch.column(i) for i in at]
-            if not edit:
-                more = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, *more], names=[f.name for f in (*kept, *found)])
-                continue
-            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            stay = [20 * h < n or not h for h, n in zip(hit, counts, strict=True)]
-            k = [f.name for f in kept].index(text_col)
-            if any(h and ok for h, ok in zip(hit, stay, strict=True)):
-                columns[k] = pa.array([cut_words(t, s) if s and ok else t for t, s, ok in zip(texts, spans, stay, strict=True)], columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept]).filter(pa.array(stay, pa.bool_()))
-
-    return docs.mapInArrow(tidy(run), T.StructType(kept if edit else [*kept, *found]))
+        for batch in slices(batches, SHARD_ROWS):
+            texts = batch.column(text_col).to_pylist()
+            yield out.batch(batch, texts, *_searched(texts, windows))
+
+    return docs.mapInArrow(tidy(run), out.schema)
+
+
+def _text_key(text_col: str) -> list:
+    return [F.xxhash64(text_col).alias("__t"), F.hash(text_col).alias("__u")]
+
+
+def _block_hits(docs: DataFrame, items: list[tuple[str, str]], text_col: str) -> Written:
+    """(text's key, spans, items) of the texts that one block hits."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches):
+        windows = Windows(shared.value)
+        for batch in slices(batches, SHARD_ROWS):
+            _, spans, names = _searched(batch.column(2).to_pylist(), windows)
+            hit = pa.array([bool(s) for s in spans], pa.bool_())
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=["__t", "__u", "spans", "items"])
+            yield rows.filter(hit)
+
+    rows = docs.select(*_text_key(text_col), text_col).mapInArrow(tidy(run), "__t long, __u int, spans array<int>, items array<string>")
+    found = Written(rows.groupBy("__t", "__u").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "block-hits")
+    shared.destroy()
+    return found
 
 
 def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", edit: bool = False) -> DataFrame:
     """`docs` without texts and with __found_n_words, __found_spans, __found_items; or, with edit, cleaned."""
-    blocks = list(_blocks(benchmark, item_col, "text"))
-    for items in blocks[:-1]:
-        docs = _pass(docs, items, text_col, True, False)
-    return _pass(docs, blocks[-1], text_col, edit, edit)
+    blocks = _blocks(benchmark, item_col, "text")
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _one_pass(docs, first, text_col, edit)
+    hits = [_block_hits(docs, items, text_col) for items in chain([first, second], blocks)]
+    every = hits[0].df
+    for h in hits[1:]:
+        every = every.union(h.df)
+    merged = Written(every.groupBy("__t", "__u").agg(F.collect_list("spans").alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items")), "hits")
+    for h in hits:
+        h.drop()
+    own = docs.columns
+    marked = Sieve(merged.df, "__t").marked(docs.select("*", *_text_key(text_col)), "__t", "__some")
+    joined = marked.where("__some").join(merged.df, ["__t", "__u"], "left").select(*own, "__spans", "__items")
+    kinds = dict(joined.dtypes)
+    rest = marked.where("not __some").select(*own, F.lit(None).cast(kinds["__spans"]).alias("__spans"), F.lit(None).cast(kinds["__items"]).alias("__items"))
+    out = Output(docs, text_col, edit)
+
+    def run(batches):
+        for batch in slices(batches, SHARD_ROWS):
+            texts = batch.column(text_col).to_pylist()
+            spans = [_joined(s) if s else [] for s in batch.column("__spans").to_pylist()]
+            yield out.batch(batch, texts, [len(words_of(t)) for t in texts], spans, [x or [] for x in batch.column("__items").to_pylist()])
+
+    return joined.union(rest).mapInArrow(tidy(run), out.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
