@@ -1,12 +1,14 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds (email, ip, card, phone) always stay. Further kinds (iban, ssn, national phone) stay if
-pattern, checksum (mod-97) and context words together reach KEEP_AT. All of it is Spark SQL; positions are
+pattern, checksum (mod-97) and context words together reach KEEP_AT. An account number that runs on into other
+capitals ends at the last blank where its checksum holds. All of it is Spark SQL; positions are
 code points, end exclusive. Possessive quantifiers and look-behinds keep matching linear in the text.
 
 Defined cases: null and empty texts have no spans; repeated rows and null ids each give their own row; spans
 of different kinds may overlap; equal starts order by kind as listed, then end; an empty table gives an
-empty result; very long texts are read whole; other columns, whatever their names, are kept or ignored.
+empty result; very long texts are read whole; other columns, whatever their names, are kept or ignored, but for
+one named like the output of `with_spans`, which is replaced.
 """
 
 from __future__ import annotations
@@ -91,11 +93,22 @@ def confirmed(kind: str, hit: Column) -> Column:
         return let(digits(hit), lambda d: F.length(d).between(12, 19) & luhn(F.substring(d, 1, 19)))
     if kind == "phone":
         return F.length(digits(hit)).between(9, 15)
-    if kind == "iban":
-        return mod97(F.regexp_replace(hit, " ", "")) == 1
     return F.lit(True)
 
 
+def confirmed_part(kind: str, hit: Column) -> Column:
+    """The match if it is confirmed, else null; of an account number the longest confirmed part that ends at a blank."""
+    if kind != "iban":
+        return F.when(confirmed(kind, hit), hit)
+
+    def longest(tokens: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, F.lit(1), i), " "))
+        plain = lambda x: F.regexp_replace(x, " ", "")
+        return F.try_element_at(F.filter(parts, lambda x: F.when(F.length(plain(x)).between(15, 34), mod97(plain(x)) == 1).otherwise(False)), F.lit(-1))
+
+    return let(F.split(hit, " "), longest)
+
+
 SPAN = "array<struct<start:int,kind:int,end:int,score:double>>"
 
 
@@ -110,7 +123,8 @@ def spans_of(kind: str, text: Column) -> Column:
             def one(piece: Column, i: Column) -> Column:
                 start = F.element_at(at, i + 1)
                 near = F.concat_ws(" ", F.substring(F.element_at(p, i), F.greatest(F.lit(1), F.length(F.element_at(p, i)) - CONTEXT_CHARS + 1), F.lit(CONTEXT_CHARS)), F.substring(F.element_at(p, i + 2), F.lit(1), F.lit(CONTEXT_CHARS)))
-                return F.when(confirmed(kind, piece), F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(piece)).alias("end"), F.round(F.lit(score) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0), 2).alias("score")))
+                scored = F.round(F.lit(score) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_BONUS).otherwise(0.0), 2)
+                return let(confirmed_part(kind, piece), lambda x: F.when(x.isNotNull(), F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(x)).alias("end"), scored.alias("score"))))
 
             found = F.filter(F.transform(p, lambda x, i: F.when(i % 2 == 1, one(x, i))), lambda s: s.isNotNull())
             return found if kind in BASE else F.filter(found, lambda s: s["score"] >= KEEP_AT)
@@ -142,19 +156,45 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return found.select(F.col("id").alias(id_col), *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
+CHARS = 1024
+
+
+def before_max(values: Column) -> Column:
+    """Largest of the earlier elements (0 at first), for each element; in blocks, so that long arrays stay cheap."""
+    top = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+
+    def with_blocks(tops: Column, n: Column) -> Column:
+        heads = F.transform(tops, lambda _, b: top(F.slice(tops, F.lit(1), b)))
+        own = lambda i: top(F.slice(n, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+        return let(heads, lambda h: F.transform(n, lambda _, i: F.greatest(F.element_at(h, F.floor(i / BLOCK).cast("int") + 1), own(i))))
+
+    tops = lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int")), lambda b: top(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
+    return let(values, lambda n: let(tops(n), lambda t: with_blocks(t, n)))
+
+
+def between(parts: Column, first: Column, end: Column) -> Column:
+    """Characters first to end of a text cut in parts of CHARS: only the parts around are read."""
+    part = lambda at: F.floor(at / CHARS).cast("int")
+    some = F.slice(parts, part(first) + 1, F.greatest(F.lit(0), part(end) - part(first) + 1))
+    return F.when(first >= end, "").otherwise(F.substring(F.array_join(some, ""), first % CHARS + 1, end - first))
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with every span replaced by [KIND]; overlapping spans give the first one's mark."""
     tags = F.lit([f"[{k.upper()}]" for k in PATTERNS])
 
-    def rebuilt(s: Column) -> Column:
-        text = F.col(text_col)
+    def rebuilt(s: Column, parts: Column) -> Column:
+        def with_done(done: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                at = F.element_at(done, i + 1)
+                return F.when(x["start"] >= at, F.concat(between(parts, at, x["start"]), F.element_at(tags, x["kind"] + 1))).otherwise("")
 
-        def part(x: Column, i: Column) -> Column:
-            done = F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda y: y["end"])))
-            return F.when(x["start"] >= done, F.concat(F.substring(text, done + 1, x["start"] - done), F.element_at(tags, x["kind"] + 1))).otherwise("")
+            last = F.array_max(F.transform(s, lambda y: y["end"]))
+            return F.concat(F.array_join(F.transform(s, one), ""), between(parts, last, F.length(text_col)))
 
-        last = F.array_max(F.transform(s, lambda y: y["end"]))
-        return F.concat(F.array_join(F.transform(s, part), ""), F.substring(text, last + 1, F.length(text)))
+        return let(before_max(F.transform(s, lambda y: y["end"])), with_done)
 
     found = with_spans(docs, text_col, "__pii_all")
-    return found.withColumn(text_col, F.when(F.size("__pii_all") > 0, let(F.col("__pii_all"), rebuilt)).otherwise(F.col(text_col))).drop("__pii_all")
+    cut = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
+    new = let(F.col("__pii_all"), lambda s: let(cut, lambda parts: rebuilt(s, parts)))
+    return found.withColumn(text_col, F.when(F.size("__pii_all") > 0, new).otherwise(F.col(text_col))).drop("__pii_all")
