@@ -25,8 +25,8 @@ BUCKETS, GRAM = 4096, 4
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 #: The labelled table: names seen in unwanted and in wanted addresses, set into the same address shapes.
-UNWANTED = "casino-win cheap-pills free-bets spam-farm ads-track casino-royal pills-shop best-bets spam-links ads-click win-casino cheap-meds free-casino bets-online link-farm track-ads poker-win viagra-shop xxx-cams porn-hub-x loan-fast payday-loans adult-chat click-bait-farm buy-followers replica-watches lottery-win slots-free free-pills cheap-bets".split()
-WANTED = "therin ththan tiontion thering harbour-news weather city-library museum openmaps gardening railway-times cookbook physics-notes thther therou thernd stories parkrun mathforum chess-club village-school orchard riverside theatre ththed ththly therti council historians birdwatch knitting".split()
+UNWANTED = "casino-royal royalcasino pills-shop best-pills best-bets bets-online spam-links spammers ads-click adserver win-casino winner-prize cheap-meds cheap-watches free-casino free-prizes link-farm content-farm track-ads tracker poker-win viagra-shop xxx-cams loan-fast payday-loans adult-chat click-bait buy-followers replica-bags lottery-win slots-free".split()
+WANTED = "harbour-news weather city-library museum openmaps gardening railway-times cookbook physics-notes brother another stories parkrun mathforum chess-club village-school orchard riverside theatre northern council historians birdwatch knitting leathercraft motherhood together feathers nation-atlas station".split()
 SHAPES = ("https://www.{}.example.com/en/{}.html", "http://{}.example.org/fr/{}?page=2&ref=x", "https://blog.{}.example.net/de/{}#top", "http://m.{}.example.com/es/{}/")
 
 
