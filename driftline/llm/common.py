@@ -51,6 +51,20 @@ def tidy(run):
     return whole
 
 
+_scopes: list[list[Written]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables written inside go at its end, but for those told to `keep`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for t in _scopes.pop():
+            t.drop()
+
+
 class Written:
     """A DataFrame written as Parquet in the shared folder: lineage ends here and survives lost executors."""
 
@@ -60,6 +74,8 @@ class Written:
         df.write.parquet(self.path)
         self.schema = df.schema
         atexit.register(_remove, self.spark, self.path)
+        if _scopes:
+            _scopes[-1].append(self)
 
     @property
     def df(self) -> DataFrame:
@@ -68,6 +84,12 @@ class Written:
     def drop(self) -> None:
         _remove(self.spark, self.path)
 
+    def keep(self) -> Written:
+        """Stays when the innermost `scratch` ends."""
+        if _scopes and self in _scopes[-1]:
+            _scopes[-1].remove(self)
+        return self
+
 
 #: What a row takes in a broadcast table besides its values: header, key and pointers of the hash map (measured: 48 to 56).
 ROW_OVERHEAD = 56
