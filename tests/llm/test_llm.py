@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm import decontaminate, fmindex, graph, mixing, nearcopies, oracles, pii, quality, queries, rules, simhash, substrings, suffixes, tokens, toxicity, urls
+from driftline.llm import decontaminate, fmindex, graph, hashing, mixing, nearcopies, oracles, pii, quality, queries, rules, simhash, substrings, suffixes, tokens, toxicity, urls
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -286,6 +286,48 @@ def test_repeats(spark, big, crowd, monkeypatch):
     assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute.repeated([t for _, t in rows], 40), strict=True)), key=str)
 
 
+def test_template_with_a_running_number(spark, monkeypatch):
+    """Every text holds the same 380 bytes beside bytes of its own: one anchor, one crowd, split down to windows."""
+    monkeypatch.setattr(substrings, "CROWD", 64)
+    r = random.Random(10)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    core = word(380)
+    rows = [(i, f"{word(30)}{i % 700:06d}{core}{i % 900:06d}{word(10)}") for i in range(5000)]
+    rows += [(6000 + i, f"{word(5)}{'same tail of it'}{core}{'and the same after that'}{word(9)}") for i in range(3)]
+    got = pairs(substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept"))
+    assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute.repeated([t for _, t in rows], 400), strict=True)), key=str)
+    assert any(x[2] for x in got)
+
+
+def test_groups_to_sort_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CROWD", 8)
+    seen = []
+    real = substrings._compare
+    monkeypatch.setattr(substrings, "_compare", lambda contents, length: seen.append(contents.groupBy("h", "g").count().agg(F.max("count")).first()[0]) or real(contents, length))
+    r = random.Random(13)
+    core = "".join(r.choice("abcdefgh") for _ in range(36))
+    rows = [(i, f"{r.random()}{core}{r.random()}") for i in range(300)]
+    substrings.remove(spark.createDataFrame(rows, "doc_id long, text string"), length=40, anchor=20).count()
+    assert seen and seen[0] <= 8
+
+
+def test_repeated_rows_give_their_spans_once(spark):
+    text = "".join(random.Random(3).choice("abc ") for _ in range(900))
+    df = spark.createDataFrame([(None, text)] * 400, "doc_id long, text string")
+    found = substrings.covered(substrings._keyed(df, "doc_id", "text")).df.collect()
+    assert len(found) == 1 and len(found[0].spans) == len({tuple(x) for x in found[0].spans})
+    assert {tuple(x)[1:4] for x in substrings.remove(df).collect()} == {(900, 900, 1)}
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        words = r.integers(0, 3, (r.integers(0, 60), 3)).astype(np.uint64)
+        groups = suffixes.multikey_quicksort(words)
+        got = [tuple(words[i]) for g in groups for i in g]
+        assert got == sorted(map(tuple, words)) and len(groups) == len(set(got))
+
+
 def test_many_contents_of_one_anchor():
     r = random.Random(9)
     core = bytes(r.choice(b"abc") for _ in range(20))
@@ -309,7 +351,7 @@ def test_repeats_in_segments(monkeypatch):
     monkeypatch.setattr(substrings, "SEGMENT", 64)
     data = bytes(random.Random(1).choice(b"abcd") for _ in range(1000))
     covered = set()
-    for a, b, p, _, _ in substrings.runs_of(data, substrings.Powers(), 40, 20):
+    for a, b, p, *_ in substrings.runs_of(data, substrings.Powers(), 40, 20):
         assert a <= p and p + 20 <= b and not covered & set(range(a, b - 39))
         covered |= set(range(a, b - 39))
     assert covered == set(range(961))
@@ -339,16 +381,148 @@ def test_rules(spark, texts):
     assert sum(passed) >= 0.95 * len(passed)
 
 
-def test_models_odd(odd, labels):
-    for fit, use in ((toxicity.fit, lambda m: toxicity.score(odd.drop("score"), m)), (quality.fit, lambda m: quality.score(odd.drop("score"), m)), (rules.fit, lambda m: rules.judge(odd, m))):
-        for docs, labs in ((odd, labels), (odd.limit(0), labels), (odd, labels.limit(0))):
-            rows = use(fit(docs, labs)).collect()
+def test_models_odd(odd, labels, tmp_path):
+    """odd has columns of its own named score and size: results are written and read back."""
+    for n, (fit, use) in enumerate(((toxicity.fit, lambda m: toxicity.score(odd, m)), (quality.fit, lambda m: quality.score(odd, m)), (rules.fit, lambda m: rules.judge(odd, m)))):
+        for k, (docs, labs) in enumerate(((odd, labels), (odd.limit(0), labels), (odd, labels.limit(0)))):
+            use(fit(docs, labs)).write.parquet(f"{tmp_path}/{n}-{k}")
+            rows = odd.sparkSession.read.parquet(f"{tmp_path}/{n}-{k}").collect()
             assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     got = {(r.doc_id, *tuple(r)[1:7]) for r in rules.judge(odd, rules.fit(odd, labels)).collect()}
     assert got == {(r.doc_id, *brute.rules(r.text)) for r in odd.collect()}
     assert rules.judge(odd.limit(0), rules.fit(odd, labels)).count() == 0
 
 
+def _plain_hash(data, mix=True):
+    h = 0
+    for k, b in enumerate(data):
+        h = (h + (b + 1) * pow(hashing.STEP, k, 1 << 64)) % (1 << 64)
+    h = h * hashing.MIX % (1 << 64)
+    return (h ^ (h >> 29)) * hashing.MIX % (1 << 64)
+
+
+def _plain_features(word):
+    """Buckets of a word in plain Python."""
+    raw = b"^" + word.encode("utf-8", "replace") + b"$"
+    out = [_plain_hash(raw) >> (64 - hashing.BITS)]
+    for n in hashing.GRAMS:
+        for i in range(len(raw) - n + 1):
+            h = n
+            for b in raw[i : i + n]:
+                h = (h * hashing.STEP + b) % (1 << 64)
+            out.append((h * hashing.MIX % (1 << 64)) >> (64 - hashing.BITS))
+    return out
+
+
+def test_toxicity_against_plain_python(spark, odd):
+    """The same model, scored by loops over words."""
+    import math
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    place = {b: i for i, b in enumerate(model["buckets"].tolist())}
+    for row in toxicity.score(docs, model).collect():
+        words, seen = (row.text or "").lower().split(), {}
+        for w in words:
+            for k in {place[b] for b in _plain_features(w) if b in place}:
+                seen[k] = seen.get(k, 0) + 1
+        raw = model["b"] + sum(model["w"][k] * round(min(n, toxicity.MOST) * toxicity.UNIT / math.sqrt(len(words))) for k, n in seen.items())
+        assert abs(row.score - 1 / (1 + math.exp(-max(-35, min(35, model["a"] * raw + model["c"]))))) < 1e-9
+
+
+def test_unlabelled_moments_cover_all_rows(spark):
+    rows = [(i, " ".join(random.Random(i).choice(["idiot", "a", "bb", "clown"]) for _ in range(1 + i % 7))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    buckets = np.unique(hashing.word_features(["idiot", "clown"])[0])
+    x = np.zeros((len(rows), len(buckets) + 1))
+    x[:, -1] = 1
+    place = {b: i for i, b in enumerate(buckets.tolist())}
+    for i, (_, t) in enumerate(rows):
+        words = t.split()
+        for w in words:
+            for k in {place[b] for b in _plain_features(w) if b in place}:
+                x[i, k] += 1
+        x[i, :-1] = np.rint(np.minimum(x[i, :-1], toxicity.MOST) * toxicity.UNIT / np.sqrt(len(words)))
+    assert (toxicity.moments(df, buckets) == x.T @ x).all()
+
+
+def test_negative_risk_stays_non_negative():
+    """With a prior that is far too high the plain estimate would fall below zero; the corrected risk may not."""
+    r = np.random.default_rng(1)
+    pos, unl = np.append(r.random((40, 6)) + 1, np.ones((40, 1)), 1), np.append(r.random((400, 6)), np.ones((400, 1)), 1)
+    w = toxicity.train_nnpu(pos, unl.T @ unl, 0.9, np.ones(6))
+    risk = lambda x: float((0.25 * (1 + x @ w) ** 2).mean())
+    assert risk(unl) - 0.9 * risk(pos) > -0.02
+
+
+def test_quality_against_plain_python(spark, odd):
+    """The same model, scored passage by passage: gates, weights, weighted mean."""
+    import math
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    m = quality.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    p = m["p"]
+    for row in quality.score(docs, m).collect():
+        words = (row.text or "").split()
+        bag = []
+        for at in range(0, max(1, len(words)), quality.PASSAGE):
+            part = words[at : at + quality.PASSAGE]
+            x = np.zeros(quality.WIDTH + 3)
+            if part:
+                x[: quality.WIDTH] = np.mean([quality.describe([w])[0][0] for w in part], axis=0)
+                before = words[at - 1 : at] + part[:-1]
+                same = sum(a == b for a, b in zip(part[len(part) - len(before) :], before, strict=True))
+                x[quality.WIDTH :] = len(set(part)) / len(part), same / len(part), len(part) / quality.PASSAGE
+            h = np.tanh((x - m["mean"]) / m["std"] @ p["W"] + p["bw"])
+            bag.append((h, float((np.tanh(h @ p["V"]) * (1 / (1 + np.exp(-(h @ p["U"]))))) @ p["w"])))
+        top = max(e for _, e in bag)
+        weight = [math.exp(e - top) for _, e in bag]
+        z = sum(a * h for a, (h, _) in zip(weight, bag, strict=True)) / sum(weight)
+        assert abs(row.score - 1 / (1 + math.exp(-max(-35, min(35, m["a"] * float(z @ p["c"] + p["b"][0]) + m["c"]))))) < 1e-3
+
+
+def test_rules_verdict_against_plain_python(spark, odd):
+    import math
+
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(40).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    m = rules.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    texts = {}
+    for x in docs.collect():
+        texts.setdefault(x.doc_id, []).append(x.text)
+    for row in rules.judge(docs, m).collect():
+        scores = []
+        for text in texts[row.doc_id]:
+            words = brute.WORD.findall(text or "")
+            b = [k for w in words for k in _plain_features(w)]
+            h = [_plain_hash(b"^" + w.encode() + b"$") for w in words]
+            b += [hashing.SAME if x == y else ((x * hashing.PAIR + y) * hashing.MIX % (1 << 64)) >> (64 - hashing.BITS) for x, y in zip(h, h[1:], strict=False)]
+            scores.append(1 / (1 + math.exp(-(m["a"] * (sum(float(m["w"][k]) for k in b) / len(words) + m["b"]) + m["c"]))) if words else 0.0)
+        assert min(abs(row.score - s) for s in scores) < 1e-9 and row.kept == (not row.base_failed and row.score >= 0.5)
+
+
+def test_words_count_whole(spark):
+    """What tells lies past byte 256 of an unspaced text, and in the last passages of a long one."""
+    r = random.Random(4)
+    plain = lambda n: "".join(r.choice("acegikmo") for _ in range(n))
+    def text(bad, n):
+        return plain(n) + ("zqxjvw" * 4 if bad else "") + plain(40)
+    rows = [(i, text(i % 3 == 0, 300 + i % 50)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labs = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(0, 600) if i % 2], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.fit(docs, labs)).collect()}
+    assert np.mean([(got[i] >= 0.3) == (i % 3 == 0) for i in range(0, 600, 2)]) > 0.97
+    words = lambda bad, n: " ".join([plain(5) for _ in range(n)] + ["##$$ !!@@ %%%%"] * (40 if bad else 0))
+    rows = [(i, words(i % 3 == 0, 5000)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in quality.score(docs, quality.fit(docs, labs)).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 3 != 0) for i in range(0, 90, 2)]) > 0.9
+    got = {x.doc_id: x.score for x in rules.judge(docs, rules.fit(docs, labs)).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 3 != 0) for i in range(0, 90, 2)]) > 0.9
+
+
 # --- op5 ---
 
 
@@ -415,6 +589,29 @@ def test_pii(spark, docs, odd):
     assert pii.digest(odd.limit(0)).count() == 0
 
 
+def test_account_numbers_that_run_on(spark):
+    rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 AND MORE"), (2, "IBAN DE88 3704 0044 0532 0130 00 AND"), (3, "account GB82WEST12345698765432 X")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.spans for r in pii.digest(df).orderBy("doc_id").collect()] == ["iban:5:32", "", "iban:8:30"]
+
+
+def test_redaction_of_long_texts(spark):
+    """Against plain Python: spans across the parts a text is cut in, hundreds of them, code points over 16 bits."""
+    r = random.Random(5)
+    word = lambda: r.choice(["x", "\U0001f600é", "漢字 ", "a.b@c.de", "10.0.0.1", "+1 555 123 4567", "4111 1111 1111 1111", "y" * 400, "\n"])
+    rows = [(i, " ".join(word() for _ in range(r.choice([3, 40, 900])))) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "own") for i, t in rows], "doc_id long, text string, spans string")
+    found = {x.doc_id: x.spans for x in pii.with_spans(df).collect()}
+    names = list(pii.PATTERNS)
+    for x in pii.redacted(df).collect():
+        text, out, done = rows[x.doc_id][1], [], 0
+        for s in found[x.doc_id]:
+            if s.start >= done:
+                out += [text[done : s.start], f"[{names[s.kind].upper()}]"]
+            done = max(done, s.end)
+        assert x.text == "".join([*out, text[done:]]) and x.spans == "own"
+
+
 def test_pii_method(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00."), (2, "IBAN DE88 3704 0044 0532 0130 00."), (3, "call (555) 123-4567"), (4, "part 555 123-4567"), (5, "mail a@b.co, x"), (6, None), (7, "ssn 123-45-6789 +1 555 123 4567 end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
