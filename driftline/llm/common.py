@@ -38,15 +38,20 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def tidied() -> None:
+    """Give memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """`run` for mapInArrow, whose worker gives its memory back when a task is done: workers stay for later tasks."""
 
     def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        tidied()
 
     return whole
 
@@ -68,10 +73,11 @@ def scratch():
 class Written:
     """A DataFrame written as Parquet in the shared folder: lineage ends here and survives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, files: int | None = None):
+        """files: the most that a table of few rows is written to."""
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/driftline-{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.coalesce(files) if files else df).write.parquet(self.path)
         self.schema = df.schema
         atexit.register(_remove, self.spark, self.path)
         if _scopes:
@@ -98,7 +104,11 @@ ROW_OVERHEAD = 56
 def sized(small: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a written table of fixed-width rows (`row_bytes` of values) for broadcast if its counted size allows; else
     leave the join to shuffle (AQE splits skew)."""
-    return F.broadcast(small) if small.count() * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES else small
+    return F.broadcast(small) if fits(small.count(), row_bytes) else small
+
+
+def fits(rows: int, row_bytes: int) -> bool:
+    return rows * (row_bytes + ROW_OVERHEAD) <= BROADCAST_BYTES
 
 
 def fold(doc_id, modulus: int):

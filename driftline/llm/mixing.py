@@ -24,9 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Written, sized
+from .common import WORD, Written, fits, sized
 
-WEIGHTS, SHARE, CAP, ROUNDS, STEPS = (3.0, 1.0, 2.0), 1.5, 2.0, 4, 60
+WEIGHTS, SHARE, CAP, ROUNDS, STEPS = (3.0, 1.0, 2.0), 1.5, 2.0, 3, 60
+#: Files of tables with a row a source; relative distance from the target at which a multiplier is found.
+FILES, NEAR = 8, 1e-8
 ADDED = ("size", "source_size", "target", "taken", "copies")
 
 
@@ -50,7 +52,7 @@ def ranked(sources: DataFrame) -> Written:
         total += n
     own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")) - 1
     offsets = sources.sparkSession.createDataFrame(before, "part int, before long")
-    out = Written(ranged.df.withColumn("rank", own).join(F.broadcast(offsets), "part").withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before"), "mix-ranked")
+    out = Written(ranged.df.withColumn("rank", own).join(F.broadcast(offsets), "part").withColumn("rank", F.col("rank") + F.col("before")).drop("part", "before"), "mix-ranked", FILES)
     ranged.drop()
     return out
 
@@ -85,24 +87,26 @@ def solve_dual(cells: DataFrame, sources: DataFrame, cap: float = CAP) -> Writte
     top = F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))
     start = F.when(~top, F.log(F.col("target") / F.col("source_size")))
     names = sources.columns
-    state = Written(sources.withColumns({"lam": start, "low": F.lit(-math.inf), "high": F.lit(math.inf), "off": F.when(~top, F.lit(1.0)).otherwise(0.0)}), "mix-dual")
+    state = Written(sources.withColumns({"lam": start, "low": F.lit(-math.inf), "high": F.lit(math.inf), "off": F.when(~top, F.lit(1.0)).otherwise(0.0)}), "mix-dual", FILES)
+    small = fits(state.df.count(), 40)
     for _ in range(STEPS):
-        open_ = sized(state.df.where(F.col("off") > 1e-10).select("s", "lam", "mean"), 40)
+        open_ = state.df.where(F.col("off") > NEAR).select("s", "lam", "mean")
+        open_ = F.broadcast(open_) if small else open_
         rate, size = rate_of(F.col("size"), F.col("lam"), F.col("mean"), cap), F.col("size")
         tokens = F.col("n") * size * rate
         sums = cells.join(open_, "s").groupBy("s").agg(F.sum(tokens).alias("got"), F.sum(F.when(rate < cap, tokens * size / F.col("mean")).otherwise(0.0)).alias("curve"))
-        now = state.df.join(sums, "s", "left")
+        now = state.df.join(F.broadcast(sums.coalesce(FILES)) if small else sums, "s", "left")
         gap = F.col("target") - F.col("got")
         low, high = F.when(gap > 0, F.col("lam")).otherwise(F.col("low")), F.when(gap < 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") + F.when(F.col("curve") > 0, gap / F.col("curve")).otherwise(F.lit(math.inf))
         bound = F.when(high == math.inf, F.col("lam") + 1 + F.abs("lam")).when(low == -math.inf, F.col("lam") - 1 - F.abs("lam")).otherwise((low + high) / 2)
         step = F.when((newton > low) & (newton < high) & (F.abs(newton - F.col("lam")) <= 1 + F.abs("lam")), newton).otherwise(bound)
         off = F.when(F.col("got").isNull(), 0.0).otherwise(F.abs(gap) / F.greatest(F.lit(1.0), F.col("target")))
-        moved = F.when(off > 1e-10, step).otherwise(F.col("lam"))
-        nxt = Written(now.select(*names, moved.alias("lam"), F.when(F.col("got").isNull(), F.col("low")).otherwise(low).alias("low"), F.when(F.col("got").isNull(), F.col("high")).otherwise(high).alias("high"), off.alias("off")), "mix-dual")
+        moved = F.when(off > NEAR, step).otherwise(F.col("lam"))
+        nxt = Written(now.select(*names, moved.alias("lam"), F.when(F.col("got").isNull(), F.col("low")).otherwise(low).alias("low"), F.when(F.col("got").isNull(), F.col("high")).otherwise(high).alias("high"), off.alias("off")), "mix-dual", FILES)
         state.drop()
         state = nxt
-        if not state.df.where(F.col("off") > 1e-10).take(1):
+        if not state.df.where(F.col("off") > NEAR).take(1):
             break
     return state
 
@@ -116,26 +120,25 @@ class Mix:
         cells = Written(self.units.df.groupBy("s", "source", "size").agg(F.count("*").alias("n")), "mix-cells")
         sizes = cells.df.groupBy("s", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
         order = ranked(sizes)
-        aimed = Written(with_targets(order.df, weights, share, cap).withColumn("mean", F.col("source_size") / F.greatest(F.lit(1), F.col("docs"))).select("s", "source_size", "target", "mean"), "mix-targets")
+        aimed = Written(with_targets(order.df, weights, share, cap).withColumn("mean", F.col("source_size") / F.greatest(F.lit(1), F.col("docs"))).select("s", "source_size", "target", "mean"), "mix-targets", FILES)
+        self.few = fits(aimed.df.count(), 64)
         worded = cells.df.where("size > 0").select("s", "size", "n")
         dual = solve_dual(worded, aimed.df.where("source_size > 0"), cap)
         rate = rate_of(F.col("size"), F.col("lam"), F.col("mean"), cap)
-        base = worded.join(sized(dual.df.select("s", "lam", "mean"), 40), "s").groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.floor(rate + 1e-9)).alias("whole"))
+        base = worded.join(self._small(dual.df.select("s", "lam", "mean")), "s").groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.floor(rate + 1e-9)).alias("whole"))
         known = aimed.df.join(dual.df.select("s", "lam"), "s", "left").join(base, "s", "left")
-        self.table = Written(known.select("s", "source_size", "target", "mean", "lam", F.greatest(F.lit(0.0), F.col("target") - F.coalesce("whole", F.lit(0))).alias("need")), "mix-sources")
-        self.sources = sized(self.table.df, 64)
+        self.table = Written(known.select("s", "source_size", "target", "mean", "lam", F.greatest(F.lit(0.0), F.col("target") - F.coalesce("whole", F.lit(0))).alias("need")), "mix-sources", FILES)
         for t in (cells, order, aimed, dual):
             t.drop()
         self.bins = 1 << max(4, -(-self.units.df.count().bit_length() // 2))  # about as many bins as documents in one
-        self.rounds: list[tuple[DataFrame, DataFrame]] = []  # per source the edge and the largest size; the picks at the edge
+        self.picks = Written(self.units.df.select("s", "i", F.lit(0).alias("mask")).limit(0), "mix-picks", 1)
+        self.picked = F.broadcast(self.picks.df)
         for k in range(ROUNDS):
             self._round(k)
 
-    def _rated(self, df: DataFrame) -> DataFrame:
-        """`df` (i, s, size, ...) with source_size, target, base and fraction of its rate, and what its source still needs."""
-        rate = F.when(F.col("size") > 0, rate_of(F.col("size"), F.col("lam"), F.col("mean"), self.cap)).otherwise(0.0)
-        df = df.join(self.sources, "s").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long"))
-        return df.withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).drop("lam", "mean")
+    def _small(self, df: DataFrame) -> DataFrame:
+        """A table with a row a source, for a join."""
+        return F.broadcast(df) if self.few else df
 
     @staticmethod
     def _place(k: int) -> Column:
@@ -149,43 +152,50 @@ class Mix:
         return (F.col("size") > 0) & (F.col("base") + F.col("more") + 1 <= self.cap) if k else F.col("part") > 1e-9
 
     def _chosen(self, df: DataFrame, k: int) -> DataFrame:
-        """Rated rows with `more`: the copies that the first k rounds give besides."""
-        df = df.withColumn("more", F.lit(0))
-        for j, (edges, picks) in enumerate(self.rounds[:k]):
-            df = df.withColumn("z", self._place(j)).join(edges, "s", "left").join(picks, ["s", "z", "i"], "left")
-            takes = self._may(j) & (F.col("size") <= F.col("limit")) & ((self._bin(F.col("z")) < F.col("edge")) | F.col("picked").isNotNull())
-            df = df.withColumn("more", F.col("more") + F.coalesce(takes, F.lit(False)).cast("int")).drop("edge", "limit", "z", "picked")
+        """`df` (i, s, size, ...) with its source's columns, base and fraction (`part`) of its rate and `more`: the copies
+        that the first k rounds give besides."""
+        rate = F.when(F.col("size") > 0, rate_of(F.col("size"), F.col("lam"), F.col("mean"), self.cap)).otherwise(0.0)
+        df = df.join(self._small(self.table.df), "s").withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long"))
+        df = df.withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base"))).join(self.picked, ["s", "i"], "left").withColumn("more", F.lit(0))
+        for j in range(k):
+            at_edge = F.coalesce(F.col("mask").bitwiseAND(F.lit(1 << j)) > 0, F.lit(False))
+            takes = self._may(j) & (F.col("size") <= F.col(f"limit{j}")) & ((self._bin(self._place(j)) < F.col(f"edge{j}")) | at_edge)
+            df = df.withColumn("more", F.col("more") + F.coalesce(takes, F.lit(False)).cast("int"))
         return df
 
     def _bin(self, z: Column) -> Column:
         return F.shiftright(z, 52 - int(math.log2(self.bins)))
 
     def _round(self, k: int) -> None:
-        """Find each source's edge: bins below it are chosen whole, documents in it as long as they fit."""
-        units = self._chosen(self._rated(self.units.df), k)
+        """Find each source's edge: bins below it are chosen whole, documents in it as long as they fit. The table of
+        sources gets columns edge and limit (the largest size); picks at the edge get a bit."""
+        units = self._chosen(self.units.df, k)
         if k:
-            got = units.groupBy("s").agg(F.sum(F.col("size") * F.col("more")).alias("got"))
-            left = self.table.df.join(got, "s").select("s", (F.col("need") - F.col("got")).alias("rest"), (F.col("need") - F.col("got")).alias("limit"))
+            got = units.groupBy("s").agg(F.sum(F.col("size") * F.col("more")).alias("got")).coalesce(FILES)
+            left = self.table.df.join(self._small(got), "s").select("s", (F.col("need") - F.col("got")).alias("rest"), (F.col("need") - F.col("got")).alias("most"))
         else:
-            left = self.table.df.select("s", F.col("need").alias("rest"), F.lit(float(1 << 62)).alias("limit"))
-        left = Written(left, "mix-left")
-        fits = units.where(self._may(k)).withColumn("z", self._place(k)).join(sized(left.df, 40), "s").where("size <= limit").select("i", "s", "size", "rest", "z", self._bin(F.col("z")).alias("at"))
-        fits = Written(fits, "mix-fits")
-        bins = fits.df.groupBy("s", "at").agg(F.sum("size").alias("tokens"), F.max("rest").alias("rest"))
+            left = self.table.df.select("s", F.col("need").alias("rest"), F.lit(float(1 << 62)).alias("most"))
+        left = Written(left, "mix-left", FILES)
+        fit = units.where(self._may(k)).withColumn("z", self._place(k)).join(self._small(left.df), "s").where("size <= most")
+        fit = Written(fit.select("i", "s", "size", "rest", "z", self._bin(F.col("z")).alias("at")), "mix-fits")
+        bins = fit.df.groupBy("s", "at").agg(F.sum("size").alias("tokens"), F.max("rest").alias("rest"))
         upto = bins.withColumn("upto", F.sum("tokens").over(Window.partitionBy("s").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-        over = upto.where("upto > rest").groupBy("s").agg(F.min(F.struct("at", (F.col("upto") - F.col("tokens")).alias("below"))).alias("e"))
-        edges = left.df.join(over, "s", "left").select("s", F.coalesce("e.at", F.lit(self.bins).cast("long")).alias("edge"), (F.col("rest") - F.coalesce("e.below", F.lit(0))).alias("rest"), "limit")
-        edges = Written(edges, "mix-edges")
-        inside = fits.df.drop("rest").join(sized(edges.df, 48), "s").where("at = edge").groupBy("s", "z", "i", "rest").agg(F.sum("size").alias("tokens"))
+        over = upto.where("upto > rest").groupBy("s").agg(F.min(F.struct("at", (F.col("upto") - F.col("tokens")).alias("below"))).alias("e")).coalesce(FILES)
+        edges = left.df.join(self._small(over), "s", "left").select("s", F.coalesce("e.at", F.lit(self.bins).cast("long")).alias("edge"), (F.col("rest") - F.coalesce("e.below", F.lit(0))).alias("rest"), "most")
+        edges = Written(edges, "mix-edges", FILES)
+        inside = fit.df.drop("rest").join(self._small(edges.df), "s").where("at = edge").groupBy("s", "z", "i", "rest").agg(F.sum("size").alias("tokens"))
         run = inside.withColumn("upto", F.sum("tokens").over(Window.partitionBy("s").orderBy("z", "i").rowsBetween(Window.unboundedPreceding, 0)))
-        picks = Written(run.where("upto <= rest").select("s", "z", "i", F.lit(True).alias("picked")), "mix-picks")
-        fits.drop()
-        left.drop()
-        self.rounds.append((sized(edges.df.select("s", "edge", "limit"), 40), sized(picks.df, 48)))
+        picks = self.picks.df.union(run.where("upto <= rest").select("s", "i", F.lit(1 << k)))
+        picks = Written(picks.groupBy("s", "i").agg(F.bit_or("mask").cast("int").alias("mask")), "mix-picks", 4 * FILES)
+        table = self.table.df.join(self._small(edges.df.select("s", F.col("edge").alias(f"edge{k}"), F.col("most").alias(f"limit{k}"))), "s")
+        table = Written(table, "mix-sources", FILES)
+        for t in (fit, left, edges, self.table, self.picks):
+            t.drop()
+        self.table, self.picks, self.picked = table, picks, sized(picks.df, 32)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """`df` (i, s, size, ...) with source_size, target, copies and taken."""
-        out = self._chosen(self._rated(df), len(self.rounds))
+        out = self._chosen(df, ROUNDS)
         copies = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)).cast("long")
         return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import Written, labelled_sample, slices, tidy
+from .common import Written, labelled_sample, slices, tidied, tidy
 
 PASSAGE, HASHED, HIDDEN, GATE = 64, 12, 16, 8
 #: Characters whose shares describe a word.
@@ -164,6 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, labelled: int = 5000, p
         x, start, y = gathered(taken.where(_held()))
     sample.drop()
     a, c = H.platt(_forward(p, (x - mean) / std, start)[0], y)
+    del x
+    tidied()
     return {"p": p, "mean": mean, "std": std, "a": a, "c": c, "rate": rate}
 
 

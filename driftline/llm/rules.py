@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import Written, labelled_sample, slices, tidy
+from .common import Written, labelled_sample, slices, tidied, tidy
 
 #: Fixed limits.
 MIN_WORDS, MAX_REPEATED_PERCENT, KEEP_AT = 50, 50, 0.5
@@ -105,6 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, labelled: int = 4000) -
         rows, y, _ = gathered(sample.df.where(_held()))
     a, c = H.platt(rows.dot(w) + b, y)
     sample.drop()
+    del rows
+    tidied()
     return {"w": w.astype(np.float32), "b": b, "a": a, "c": c}
 
 

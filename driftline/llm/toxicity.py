@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing as H
-from .common import Written, labelled_sample, slices, tidy
+from .common import Written, labelled_sample, slices, tidied, tidy
 
 SELECTED, FOLDS, LEAST_Z = 512, 3, 3.0
 MOST, UNIT, GAIN = 4, 64, 10.0
@@ -203,6 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, positives: int = 6000,
         raw[fold_l == f] = xl[fold_l == f] @ train_nnpu(learn, unlabelled, prior, scale)
     w = train_nnpu(xp, unlabelled, prior, scale)
     a, c = H.platt(raw, y)
+    del xp, xl, unlabelled, pos, neg
+    tidied()
     return {"buckets": buckets, "w": w[:-1], "b": float(w[-1]), "a": a, "c": c, "prior": prior}
 
 
