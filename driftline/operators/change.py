@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions import scalars as S
 from driftline.model import BATCH_EVENTS, INTERNAL_TABLES
@@ -77,25 +78,29 @@ def transitions_of_pairs(rows: DataFrame, watched: list[str]) -> DataFrame:
     return rows.withColumn("class", F.when(F.col("operation") == "UPDATE", F.when(F.coalesce(changed, F.lit(False)), "transition").otherwise("data")))
 
 
-def deduplicated(rows: DataFrame, window_s: int = 120) -> DataFrame:
-    """A message id counts once in a window after its last appearance that counted: copies in between don't renew it.
-
-    Rows stream through in the order of the ids, with one time held."""
-    slim = rows.withColumn("__at", F.unix_micros(F.col("arrived").cast("timestamp")))
+def first_in_window(rows: DataFrame, key: list[str], at: str, window_s: int, out: str) -> DataFrame:
+    """`rows` with a boolean: the first row of each window of its key. A window counts from the last row that was
+    first; rows in it don't renew it. Rows stream through in the order of key, time and seq, with one time held."""
+    slim = rows.withColumn("__at", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("__key", F.to_json(F.struct(*key)))
 
     def run(batches):
         last, counted = None, None
         for batch in batches:
             keep = []
-            for name, at in zip(batch.column("msg_id").to_pylist(), batch.column("__at").to_pylist(), strict=True):
+            for name, now in zip(batch.column("__key").to_pylist(), batch.column("__at").to_pylist(), strict=True):
                 new = counted is None or name != last
-                keep.append(new or at is None or counted[0] is None or at - counted[0] > window_s * 1_000_000)
+                keep.append(new or now is None or counted[0] is None or now - counted[0] > window_s * 1_000_000)
                 if keep[-1]:
-                    last, counted = name, (at,)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                    last, counted = name, (now,)
+            yield batch.append_column(out, pa.array(keep, pa.bool_()))
+
+    ordered = slim.repartition("__key").sortWithinPartitions("__key", "__at", "seq")
+    return ordered.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField(out, T.BooleanType())])).drop("__at", "__key")
 
-    ordered = slim.repartition("msg_id").sortWithinPartitions("msg_id", "__at", "seq")
-    return ordered.mapInArrow(run, slim.schema).drop("__at")
+
+def deduplicated(rows: DataFrame, window_s: int = 120) -> DataFrame:
+    """A message id counts once in a window after its last appearance that counted: copies in between don't renew it."""
+    return first_in_window(rows, ["msg_id"], "arrived", window_s, "__first").where("__first").drop("__first")
 
 
 def batches(rows: DataFrame, size: int = BATCH_EVENTS) -> DataFrame:
@@ -135,7 +140,6 @@ def streams_for(principals: DataFrame) -> DataFrame:
 
 
 def debounced(requests: DataFrame, window_s: int = 60) -> DataFrame:
-    """Of requests per (tenant, table) the first of each run passes; a run ends after `window_s` without a request."""
-    w = Window.partitionBy("tenant", "table").orderBy("ts", "seq")
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(w).cast("timestamp").cast("double")
-    return requests.withColumn("accepted", F.coalesce(gap > window_s, F.lit(True)))
+    """Of requests per (tenant, table) one passes, and the next one more than `window_s` after it; requests that are
+    turned away in between don't extend the window."""
+    return first_in_window(requests, ["tenant", "table"], "ts", window_s, "accepted")

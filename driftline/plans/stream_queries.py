@@ -93,12 +93,16 @@ def relation_lookup(spark, d):
     return C.with_relation(rows.withColumn("relation_id", F.when(F.col("relation_id") == 101, 999).otherwise(F.col("relation_id"))), rel).select("seq", "table")
 
 
-@query(W + """, copies AS (SELECT seq, printf('%x', lsn) AS msg_id, ts AS arrived FROM changes UNION ALL SELECT seq + 100000000, printf('%x', lsn), ts + INTERVAL 30 SECOND FROM changes WHERE seq % 10 = 0 UNION ALL SELECT seq + 200000000, printf('%x', lsn), ts + INTERVAL 600 SECOND FROM changes WHERE seq % 25 = 0)
- SELECT seq, msg_id FROM (SELECT *, epoch_us(arrived) - epoch_us(lag(arrived) OVER (PARTITION BY msg_id ORDER BY arrived, seq)) AS gap FROM copies) WHERE gap IS NULL OR gap > 120000000""")
+_WINDOWS = """firsts AS (SELECT {key}, min(moment) AS moment FROM timed GROUP BY {key} UNION ALL SELECT {named}, min(t.moment) FROM firsts f JOIN timed t ON {on} AND t.moment > f.moment + INTERVAL {s} SECOND GROUP BY {named})"""
+
+
+@query("WITH RECURSIVE " + CHANGES + """, timed AS (SELECT seq, printf('%x', lsn) AS msg_id, ts AS moment FROM changes UNION ALL SELECT seq + 100000000, printf('%x', lsn), ts + INTERVAL 30 SECOND FROM changes WHERE seq % 10 = 0 UNION ALL SELECT seq + 200000000, printf('%x', lsn), ts + INTERVAL 100 SECOND FROM changes WHERE seq % 10 = 0 UNION ALL SELECT seq + 300000000, printf('%x', lsn), ts + INTERVAL 200 SECOND FROM changes WHERE seq % 10 = 0), """
+ + _WINDOWS.format(key="msg_id", named="f.msg_id", on="t.msg_id = f.msg_id", s=120) + """ SELECT min(seq) AS seq, msg_id FROM timed JOIN firsts USING (msg_id, moment) GROUP BY msg_id, moment""")
 def dedupe_msg_id(spark, d):
+    """Copies at 0, 30, 100 and 200 s: the first and the last count."""
     c = changes(spark, d).select("seq", F.lower(F.hex("lsn")).alias("msg_id"), F.col("ts").alias("arrived"))
-    late = lambda n, by, s: c.where(F.col("seq") % by == 0).select((F.col("seq") + n).alias("seq"), "msg_id", (F.col("arrived") + F.make_dt_interval(secs=F.lit(s))).alias("arrived"))
-    return C.deduplicated(c.union(late(100000000, 10, 30)).union(late(200000000, 25, 600))).select("seq", "msg_id")
+    late = lambda n, s: c.where(F.col("seq") % 10 == 0).select((F.col("seq") + n).alias("seq"), "msg_id", (F.col("arrived") + F.make_dt_interval(secs=F.lit(s))).alias("arrived"))
+    return C.deduplicated(c.union(late(100000000, 30)).union(late(200000000, 100)).union(late(300000000, 200))).select("seq", "msg_id")
 
 
 @query(W + """SELECT seq, xid FROM changes WHERE xid % 7 <> 0""")
@@ -138,7 +142,8 @@ def stream_choice(spark, d):
     return C.streams_for(c).select("principal", "stream")
 
 
-@query(W + """SELECT seq, tenant, "table", coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY tenant, "table" ORDER BY ts, seq)) > 3600000000, true) AS accepted FROM changes""")
+@query("WITH RECURSIVE " + CHANGES + """, timed AS (SELECT seq, tenant, "table", ts AS moment FROM changes), """ + _WINDOWS.format(key='tenant, "table"', named='f.tenant, f."table"', on='t.tenant = f.tenant AND t."table" = f."table"', s=3600)
+ + """, passed AS (SELECT min(seq) AS seq FROM timed JOIN firsts USING (tenant, "table", moment) GROUP BY tenant, "table", moment) SELECT seq, tenant, "table", seq IN (SELECT seq FROM passed) AS accepted FROM changes""")
 def request_debounce(spark, d):
     return C.debounced(changes(spark, d), 3600).select("seq", "tenant", "table", "accepted")
 

@@ -1,5 +1,6 @@
 """Change operators on made-up rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import change
@@ -11,3 +12,28 @@ def test_copies_do_not_renew_the_window(spark):
     got = change.deduplicated(df.repartition(3))
     assert got.columns == df.columns
     assert sorted(r.seq for r in got.collect()) == [0, 2, 4, 6, 10, 12, 13]
+
+
+def test_rejected_requests_do_not_extend_the_window(spark):
+    rows = [("t", "a", i, 40 * i) for i in range(5)] + [("t", "b", 10, 0), ("t", "b", 11, 60), ("t", "b", 12, 61), ("u", "a", 13, 5)]
+    df = spark.createDataFrame(rows, "tenant string, table string, seq long, at long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    got = change.debounced(df.repartition(3))
+    assert got.columns == [*df.columns, "accepted"]
+    assert sorted(r.seq for r in got.where("accepted").collect()) == [0, 2, 4, 10, 12, 13]
+
+
+def test_unscoped_publications_are_refused(spark):
+    from driftline.operators import guards
+
+    public = spark.createDataFrame([("open",)], "table string")
+    fine = spark.createDataFrame([("open", None, False), ("scoped", "a = 1", False), ("secured", None, True)], "table string, row_filter string, rls boolean")
+    assert guards.publication_guard(fine, public).count() == 3
+    with pytest.raises(guards.PreflightError, match="bare"):
+        guards.publication_guard(fine.union(spark.createDataFrame([("bare", None, False)], fine.schema)), public)
+
+
+def test_operator_faults_are_dead_lettered(spark):
+    from driftline.operators import lww
+
+    df = spark.createDataFrame([("", "NoPrimaryKey", 1, "users", 10), ("", "Timeout", 1, "users", 10)], "sqlstate string, error string, delivered int, table string, bytes long")
+    assert [tuple(r)[:2] for r in lww.dead_letters(df).collect()] == [("mutation_error.users", "NoPrimaryKey")]
