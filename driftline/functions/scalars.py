@@ -82,9 +82,18 @@ def jsonb_text(s: Column) -> Column:
 
 #: Source types that are not TEXT in SQLite.
 SQLITE_TYPES = {
-    "smallint": "INTEGER", "int2": "INTEGER", "integer": "INTEGER", "int4": "INTEGER", "bigint": "INTEGER", "int8": "INTEGER",
+    "integer": "INTEGER", "int": "INTEGER", "int4": "INTEGER", "bigint": "INTEGER", "int8": "INTEGER", "smallint": "INTEGER", "int2": "INTEGER",
+    "serial": "INTEGER", "serial4": "INTEGER", "bigserial": "INTEGER", "serial8": "INTEGER", "smallserial": "INTEGER", "serial2": "INTEGER",
     "boolean": "INTEGER", "bool": "INTEGER", "real": "REAL", "float4": "REAL", "double precision": "REAL", "float8": "REAL",
+    "numeric": "TEXT", "decimal": "TEXT",
 }
+#: Spark's own names of types that the source calls otherwise.
+SPARK_TYPES = {"tinyint": "smallint", "float": "real", "double": "double precision", "string": "text", "binary": "bytea", "timestamp_ntz": "timestamp without time zone", "timestamp": "timestamp with time zone"}
+
+
+def source_type(spark_type: str) -> str:
+    """The source's name of a Spark type."""
+    return SPARK_TYPES.get(spark_type, spark_type.replace("decimal(", "numeric("))
 
 
 def sqlite_type(type_text: Column) -> Column:
@@ -134,17 +143,29 @@ def clamp_version(version: Column, now: Column, slack_s: int = 5) -> Column:
 
 #: SQLSTATE classes that no retry mends.
 PERMANENT_CLASSES = ("42", "23", "22", "3F", "0A")
-#: Named errors that no retry mends, and those that an operator has to mend.
-PERMANENT_ERRORS = ("UnknownColumn", "MissingKey", "RowTooLargeToReplicate", "InvalidPayload", "InvalidSubject", "ForbiddenTable", "UnsupportedValue", "PrimaryKeyReassigned")
-OPERATOR_ERRORS = ("NoPrimaryKey", "NoVersionColumn", "DatabaseAllocatedKey", "PermissionDenied")
+#: Named errors that no retry mends.
+PERMANENT_ERRORS = (
+    "InvalidPayloadFormat", "MissingTable", "InvalidTableFormat", "MissingOperation", "InvalidOperationFormat", "MissingHLC", "InvalidHLCFormat",
+    "MissingPrimaryKey", "InvalidPrimaryKeyFormat", "MissingData", "InvalidDataFormat", "UnsupportedPayloadType", "MalformedSubject", "UnknownOperation",
+    "ForbiddenTable", "UnknownColumn", "RowTooLargeToReplicate", "MissingVersion", "NoVersionColumn", "NoTombstoneColumn", "NoPrimaryKey", "DbAllocatedKey",
+)
+#: Those of them that an operator has to mend.
+OPERATOR_ERRORS = ("NoVersionColumn", "NoTombstoneColumn", "NoPrimaryKey", "DbAllocatedKey")
+#: This engine's own permanent error: an update that would move its row to another key.
+OWN_ERRORS = ("PrimaryKeyReassigned",)
 
 
 def sqlstate_permanent(state: Column) -> Column:
     return F.coalesce(F.substring(state, 1, 2).isin(*PERMANENT_CLASSES), F.lit(False))
 
 
+def error_permanent(name: Column) -> Column:
+    """No retry mends it; operator faults are permanent, too."""
+    return F.coalesce(name.isin(*PERMANENT_ERRORS, *OWN_ERRORS), F.lit(False))
+
+
 def error_class(name: Column) -> Column:
-    return F.when(name.isin(*PERMANENT_ERRORS), "permanent").when(name.isin(*OPERATOR_ERRORS), "operator").otherwise("transient")
+    return F.when(name.isin(*OPERATOR_ERRORS), "operator").when(error_permanent(name), "permanent").otherwise("transient")
 
 
 def token_valid(s: Column) -> Column:
@@ -184,14 +205,20 @@ def error_text(s: Column) -> Column:
     return F.translate(F.element_at(F.split(s, r"\r?\n"), 1), '"\\\t', "'' ")
 
 
-def version_verdict(type_text: Column, nullable: Column, name: Column) -> Column:
-    """usable, usable_naive, usable_coarse, creation, wrong_type or absent; + for a nullable one."""
-    kind = (
-        F.when(type_text.isNull(), "absent").when(name.rlike("^(created|inserted)"), "creation")
-        .when(type_text == "timestamp with time zone", "usable").when(type_text.startswith("timestamp"), "usable_naive")
-        .when(type_text.isin("integer", "bigint"), "usable_coarse").otherwise("wrong_type")
-    )
-    return F.concat(kind, F.when(kind.startswith("usable") & nullable, "+nullable").otherwise(""))
+#: Prefixes of creation stamps, types that order versions, and the precision under which ties are common.
+CREATION_PREFIXES, VERSION_TYPES, LEAST_PRECISION = ("created", "inserted"), ("timestamp", "timestamptz", "int8", "int4"), 6
+
+
+def version_verdict(name: Column, type_name: Column, precision: Column, not_null: Column) -> Column:
+    """absent, creation_column, wrong_type or usable, with +naive, +coarse and +nullable as they apply. type_name is the
+    source's internal one (null: no such column); precision: of a timestamp, -1 if none is declared."""
+    stamp = type_name.isin("timestamp", "timestamptz")
+    flags = {"+naive": type_name == "timestamp", "+coarse": stamp & (precision >= 0) & (precision < LEAST_PRECISION), "+nullable": ~not_null}
+    usable = F.concat(F.lit("usable"), *(F.when(c, k).otherwise("") for k, c in flags.items()))
+    creation = F.lit(False)
+    for p in CREATION_PREFIXES:
+        creation = creation | name.startswith(p)
+    return F.when(type_name.isNull(), "absent").when(creation, "creation_column").when(~type_name.isin(*VERSION_TYPES), "wrong_type").otherwise(usable)
 
 
 def type_verdict(oid_known: Column, typtype: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
+from driftline.model import INTERNAL_TABLES
 
 # --- schemas -----------------------------------------------------------------------------------------------------
 
@@ -92,32 +93,92 @@ def filled(writes: DataFrame, grants: DataFrame) -> DataFrame:
     return joined.withColumn("error", F.when(F.col("tenant").isNull(), "no_tenant").when(~S.token_valid(F.col("tenant")), "bad_tenant"))
 
 
-def publication_verdict(tables: DataFrame) -> DataFrame:
-    """tables: published, has_filter, has_tenant_column, tenant_in_identity -> verdict."""
-    verdict = (
-        F.when(~F.col("published"), "not_published").when(~F.col("has_tenant_column"), "public")
-        .when(~F.col("tenant_in_identity"), "tenant_not_in_replica_identity").when(F.col("has_filter"), "scoped").otherwise("unscoped")
-    )
-    return tables.withColumn("verdict", verdict)
-
+#: Verdicts of the publication audit.
+AUDIT = {
+    "internal": "internal — expected",
+    "pass_through": "PASS-THROUGH — every row reaches every subscriber of this publication",
+    "cdc_unscoped": "CDC UNSCOPED — RLS bounds the snapshot, pgoutput ignores it",
+    "writes_unscoped": "reads scoped, WRITES UNSCOPED — no policy bounds what a principal may write",
+    "scoped": "scoped",
+}
 
-def guard_audit(tables: DataFrame) -> DataFrame:
-    """tables: writable, has_version_guard, has_tombstone, has_delete_guard -> verdict."""
-    verdict = F.when(~F.col("writable"), "read_only").when(~F.col("has_version_guard"), "no_version_guard").when(F.col("has_tombstone") & ~F.col("has_delete_guard"), "no_delete_guard").otherwise("guarded")
-    return tables.withColumn("verdict", verdict)
 
-
-def plan_of(steps: DataFrame) -> DataFrame:
-    """Dry run of enabling a table: each wanted step against what is there."""
-    return steps.withColumn("status", F.when(F.col("present"), "ok").when(F.col("blocked_by").isNotNull(), "blocked").otherwise("todo"))
+def publication_audit(published: DataFrame) -> DataFrame:
+    """(publication, table, row_filter, rls) -> with verdict: is anything published without being scoped?"""
+    filtered, rls = F.col("row_filter").isNotNull(), F.col("rls")
+    verdict = (
+        F.when(F.col("table").endswith("ddl_events"), AUDIT["internal"]).when(~filtered & ~rls, AUDIT["pass_through"])
+        .when(~filtered, AUDIT["cdc_unscoped"]).when(~rls, AUDIT["writes_unscoped"]).otherwise(AUDIT["scoped"])
+    )
+    return published.withColumns({"row_filter": F.coalesce("row_filter", F.lit("(none)")), "verdict": verdict})
+
+
+def unscoped(added: DataFrame, public_tables: DataFrame) -> DataFrame:
+    """Of the tables that a publication change adds, those it must refuse: no row filter, no row security, neither internal
+    nor recorded as public. Only tables of this change are judged."""
+    internal = F.col("table").endswith("ddl_events") | F.col("table").endswith("principal_tenants")
+    open_ = added.where(~internal & F.col("row_filter").isNull() & ~F.col("rls"))
+    return open_.join(public_tables.select("table"), "table", "left_anti")
+
+
+def publication_guard(added: DataFrame, public_tables: DataFrame) -> DataFrame:
+    """`added`, or an error that names a table which would be published unscoped."""
+    first = unscoped(added, public_tables).select("table").take(1)
+    if first:
+        raise PreflightError(f"refusing to publish {first[0][0]} unscoped: no row filter and no row security")
+    return added
+
+
+def guard_audit(tables: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Tables (table) and their triggers (table, name, definition) -> table, version_guard, delete_guard, detail: the
+    definitions of guards in the order of their names. Internal tables are left out."""
+    guards = triggers.where(F.col("name").isin(*GUARDS)).groupBy("table").agg(F.array_sort(F.collect_set(F.struct("name", "definition"))).alias("own"))
+    has = lambda name: F.coalesce(F.exists("own", lambda g: g["name"] == name), F.lit(False))
+    joined = tables.where(~F.col("table").isin(*INTERNAL_TABLES)).join(guards, "table", "left")
+    return joined.select("table", has(GUARDS[0]).alias("version_guard"), has(GUARDS[1]).alias("delete_guard"), F.coalesce(F.array_join(F.transform("own", lambda g: g["definition"]), " | "), F.lit("")).alias("detail"))
+
+
+#: Names of the triggers that guard versions and deletes.
+GUARDS = ("bump_version", "soft_delete")
+
+
+def plan_of(requests: DataFrame) -> DataFrame:
+    """Steps of enabling tables -> (table, ordinal, step, status).
+
+    requests: table, tenant_col, tenant_col_known, writable, write_half (is it installed), version_col, tombstone_col,
+    public_reason, rls, row_filter, is_public, published, columns (array), dry_run. What can't go ahead is one ERROR row;
+    else writes, guards and row security come before the publication, which refuses what isn't scoped, and what lies
+    outside the database is MANUAL."""
+    c = F.col
+    tenant, verb = c("tenant_col").isNotNull(), F.when(c("dry_run"), "would").otherwise("done")
+    scoped = c("rls") | c("row_filter").isNotNull() | c("is_public") | c("public_reason").isNotNull() | (c("writable") & tenant)
+    error = (c("writable") & ~c("write_half")) | (tenant & ~c("tenant_col_known")) | ~scoped
+    steps = [
+        ("grants", verb, c("writable")),
+        ("guards", F.when(c("version_col").isNull(), "skipped").otherwise(verb), c("writable")),
+        ("rls", verb, tenant),
+        ("public", verb, c("public_reason").isNotNull()),
+        ("publication", F.when(c("published"), "already").otherwise(verb), F.lit(True)),
+        ("publication", F.lit("NOTE"), c("columns").isNotNull() & tenant),
+        ("T3 bridge env", F.lit("MANUAL"), tenant),
+        ("T3 bridge env", F.lit("MANUAL"), c("writable") & c("version_col").isNotNull()),
+        ("T4 nats conf", F.lit("MANUAL"), F.lit(True)),
+        ("summary", F.lit("DRY RUN"), c("dry_run")),
+    ]
+    row = lambda step, status, when: F.when(when, F.struct(F.lit(step).alias("step"), status.alias("status")))
+    every = F.filter(F.array(*(row(*s) for s in steps)), lambda s: s.isNotNull())
+    failed = F.array(F.struct(F.lit("preflight").alias("step"), F.lit("ERROR").alias("status")))
+    return requests.select("table", F.posexplode(F.when(error, failed).otherwise(every)).alias("ordinal", "s")).select("table", "ordinal", "s.step", "s.status")
 
 
 # --- preflight and metrics ---------------------------------------------------------------------------------------
 
 
 def findings(tables: DataFrame) -> DataFrame:
-    """tables: has_pk, identity (d, f, n, i), writable, has_rules."""
-    return tables.withColumns({"refused_no_pk": ~F.col("has_pk"), "writes_rejected": F.col("writable") & ~F.col("has_pk"), "transitions_inert": F.col("has_rules") & (F.col("identity") != "f")})
+    """tables: pk_columns (their number), identity (d, f, n, i), has_rules. Without a key the source itself refuses
+    updates, unless the identity is the whole row or an index."""
+    no_key, identity = F.col("pk_columns") == 0, F.col("identity")
+    return tables.withColumns({"refused_no_pk": no_key, "writes_rejected": no_key & identity.isin("d", "n"), "transitions_inert": F.col("has_rules") & (identity != "f")})
 
 
 def preflight_summary(found: DataFrame) -> DataFrame:

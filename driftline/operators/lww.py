@@ -94,14 +94,15 @@ def checked(writes: DataFrame, spec: TableSpec, buffer_bytes: int = 1 << 14) ->
     whole = F.forall(keys, lambda k: F.element_at(F.col("key"), k).isNotNull())
     error = (
         F.when(F.col("table").isin(*INTERNAL_TABLES), "ForbiddenTable").when(F.col("bytes") >= buffer_bytes, "RowTooLargeToReplicate")
-        .when(~whole, "MissingKey").when(unknown | envelope, "UnknownColumn").when(reassigned, "PrimaryKeyReassigned")
+        .when(~whole, "MissingPrimaryKey").when(unknown | envelope, "UnknownColumn").when(reassigned, "PrimaryKeyReassigned")
     )
     return writes.withColumn("error", error)
 
 
 def retried(failures: DataFrame) -> DataFrame:
-    """Permanent errors are rejected and dead-lettered; others come again until their last delivery."""
-    permanent = S.sqlstate_permanent(F.col("sqlstate")) | (S.error_class(F.col("error")) == "permanent")
+    """Permanent errors, operator faults among them, are rejected and dead-lettered at once; others come again until
+    their last delivery."""
+    permanent = S.sqlstate_permanent(F.col("sqlstate")) | S.error_permanent(F.col("error"))
     return failures.withColumn("action", F.when(permanent, "reject").when(F.col("delivered") >= MAX_DELIVER, "fail").otherwise("retry"))
 
 

@@ -9,6 +9,7 @@ from driftline.operators import guards as G
 from driftline.operators import snapshot as P
 from driftline.plans.base import CHANGES, changes, values
 from driftline.plans.registry import query
+from driftline.plans.write_queries import _rows
 from driftline.sources import tables as T
 
 W = f"WITH {CHANGES} "
@@ -186,52 +187,89 @@ def sqlstate_class(spark, d):
     return T.scan(spark, d, "nation").select("n_nationkey", state.alias("state"), S.sqlstate_permanent(state).alias("permanent"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'usable+nullable' WHEN 1 THEN 'usable_naive' WHEN 2 THEN 'usable_coarse' WHEN 3 THEN 'wrong_type' ELSE 'absent' END AS verdict FROM nation")
-def version_verdict(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ("timestamp with time zone", "timestamp without time zone", "bigint", "text")), F.lit(None)), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    return T.scan(spark, d, "nation").select("n_nationkey", S.version_verdict(kind, F.col("n_nationkey") % 5 == 0, F.lit("updated_at")).alias("verdict"))
+#: Cases with their expected outcomes written out: name, type, precision, not null, verdict.
+_VERSIONS = [
+    ("updated_at", "timestamptz", -1, True, "usable"), ("updated_at", "timestamp", -1, True, "usable+naive"), ("updated_at", "timestamp", 0, True, "usable+naive+coarse"), ("updated_at", "timestamptz", 3, False, "usable+coarse+nullable"), ("updated_at", "timestamptz", 6, True, "usable"),
+    ("created_at", "timestamptz", -1, True, "creation_column"), ("inserted_at", "timestamp", -1, True, "creation_column"), ("updated_at", None, 0, False, "absent"), ("created_at", None, 0, False, "absent"), ("updated_at", "text", -1, True, "wrong_type"), ("version", "int8", -1, True, "usable"), ("version", "int4", -1, False, "usable+nullable"), ("version", "numeric", -1, True, "wrong_type"),
+]
 
 
-_TABS = "SELECT n_nationkey, n_nationkey % 4 > 0 AS has_pk, CASE WHEN n_nationkey % 3 = 0 THEN 'f' ELSE 'd' END AS identity, n_nationkey % 2 = 0 AS writable, n_nationkey % 5 = 0 AS has_rules FROM nation"
+@query(f"SELECT * FROM {_rows(_VERSIONS, 'name, type, precision, not_null, verdict')}")
+def version_verdict(spark, d):
+    rows = values(spark, [r[:4] for r in _VERSIONS], "name string, type string, precision int, not_null boolean")
+    return rows.withColumn("verdict", S.version_verdict(F.col("name"), F.col("type"), F.col("precision"), F.col("not_null")))
 
 
-def _tabs(spark, d):
-    k = F.col("n_nationkey")
-    return T.scan(spark, d, "nation").select(k, (k % 4 > 0).alias("has_pk"), F.when(k % 3 == 0, "f").otherwise("d").alias("identity"), (k % 2 == 0).alias("writable"), (k % 5 == 0).alias("has_rules"))
+#: Key columns, identity, rules -> refused, writes rejected, transitions inert.
+_FINDINGS = [
+    (1, "d", False, False, False, False), (0, "d", False, True, True, False), (0, "f", False, True, False, False), (0, "n", False, True, True, False), (0, "i", False, True, False, False), (2, "d", False, False, False, False),
+    (1, "d", True, False, False, True), (1, "i", True, False, False, True), (1, "f", True, False, False, False), (0, "d", True, True, True, True), (1, "n", False, False, False, False), (0, "f", True, True, False, False),
+]
+_FOUND = f"SELECT * FROM {_rows(_FINDINGS, 'pk_columns, identity, has_rules, refused_no_pk, writes_rejected, transitions_inert')}"
 
 
-_FOUND = f"SELECT *, NOT has_pk AS refused_no_pk, writable AND NOT has_pk AS writes_rejected, has_rules AND identity <> 'f' AS transitions_inert FROM ({_TABS})"
+def _tabs(spark):
+    return values(spark, [r[:3] for r in _FINDINGS], "pk_columns int, identity string, has_rules boolean")
 
 
 @query(_FOUND)
 def table_findings(spark, d):
-    return G.findings(_tabs(spark, d))
+    return G.findings(_tabs(spark))
 
 
-@query(f"SELECT count(*) AS checked, count(*) FILTER (refused_no_pk OR writes_rejected OR transitions_inert) AS with_findings, count(*) FILTER (refused_no_pk) AS refused FROM ({_FOUND})")
+@query("SELECT 12::BIGINT AS checked, 8::BIGINT AS with_findings, 6::BIGINT AS refused")
 def preflight_summary(spark, d):
-    return G.preflight_summary(G.findings(_tabs(spark, d)))
+    return G.preflight_summary(G.findings(_tabs(spark)))
+
 
+_AUDITED = [("p", "ddl_events", None, False, "(none)", "internal — expected"), ("p", "users", None, False, "(none)", "PASS-THROUGH — every row reaches every subscriber of this publication"), ("p", "carts", None, True, "(none)", "CDC UNSCOPED — RLS bounds the snapshot, pgoutput ignores it"), ("q", "users", "tenant = 1", False, "tenant = 1", "reads scoped, WRITES UNSCOPED — no policy bounds what a principal may write"), ("q", "orders", "tenant = 1", True, "tenant = 1", "scoped")]
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 = 0 THEN 'not_published' WHEN n_nationkey % 2 = 0 THEN 'public' WHEN n_nationkey % 3 = 0 THEN 'tenant_not_in_replica_identity' WHEN n_nationkey % 5 = 0 THEN 'scoped' ELSE 'unscoped' END AS verdict FROM nation")
+
+@query(f"SELECT publication, \"table\", shown AS row_filter, rls, verdict FROM {_rows(_AUDITED, 'publication, \"table\", f, rls, shown, verdict')}")
 def audit_publications(spark, d):
-    k = F.col("n_nationkey")
-    return G.publication_verdict(T.scan(spark, d, "nation").select(k, (k % 7 != 0).alias("published"), (k % 2 != 0).alias("has_tenant_column"), (k % 3 != 0).alias("tenant_in_identity"), (k % 5 == 0).alias("has_filter"))).select("n_nationkey", "verdict")
+    return G.publication_audit(values(spark, [r[:4] for r in _AUDITED], "publication string, table string, row_filter string, rls boolean"))
+
 
+@query("SELECT * FROM (VALUES ('carts'), ('nation')) AS v(\"table\")")
+def unscoped_publications(spark, d):
+    added = [("users", None, True), ("carts", None, False), ("orders", "x > 1", False), ("region", None, False), ("nation", None, False), ("my_ddl_events", None, False), ("principal_tenants", None, False)]
+    return G.unscoped(values(spark, added, "table string, row_filter string, rls boolean"), values(spark, [("region",), ("users",)], "table string")).select("table")
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'read_only' WHEN n_nationkey % 3 = 0 THEN 'no_version_guard' WHEN n_nationkey % 5 = 0 THEN 'no_delete_guard' ELSE 'guarded' END AS verdict FROM nation")
+
+@query("SELECT * FROM (VALUES ('users', true, true, 'CREATE a | CREATE b'), ('carts', true, false, 'CREATE a'), ('orders', false, false, ''), ('nation', false, false, '')) AS v(\"table\", version_guard, delete_guard, detail)")
 def audit_write_guards(spark, d):
-    k = F.col("n_nationkey")
-    return G.guard_audit(T.scan(spark, d, "nation").select(k, (k % 2 != 0).alias("writable"), (k % 3 != 0).alias("has_version_guard"), F.lit(True).alias("has_tombstone"), (k % 5 != 0).alias("has_delete_guard"))).select("n_nationkey", "verdict")
+    tables = values(spark, [("users",), ("carts",), ("orders",), ("nation",), ("ddl_events",)], "table string")
+    triggers = [("users", "soft_delete", "CREATE b"), ("users", "bump_version", "CREATE a"), ("carts", "bump_version", "CREATE a"), ("orders", "other", "CREATE c"), ("ddl_events", "bump_version", "CREATE a")]
+    return G.guard_audit(tables, values(spark, triggers, "table string, name string, definition string"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' WHEN n_nationkey % 3 = 0 THEN 'blocked' ELSE 'todo' END AS status FROM nation")
-def enable_plan(spark, d):
-    k = F.col("n_nationkey")
-    return G.plan_of(T.scan(spark, d, "nation").select(k, (k % 2 == 0).alias("present"), F.when(k % 3 == 0, "no key").alias("blocked_by"))).select("n_nationkey", "status")
+_PLANS = {
+    "no_write_half": [("preflight", "ERROR")],
+    "no_column": [("preflight", "ERROR")],
+    "unscoped": [("preflight", "ERROR")],
+    "public": [("public", "would"), ("publication", "would"), ("T4 nats conf", "MANUAL"), ("summary", "DRY RUN")],
+    "whole": [("grants", "done"), ("guards", "done"), ("rls", "done"), ("publication", "done"), ("publication", "NOTE"), ("T3 bridge env", "MANUAL"), ("T3 bridge env", "MANUAL"), ("T4 nats conf", "MANUAL")],
+    "unguarded": [("grants", "would"), ("guards", "skipped"), ("rls", "would"), ("publication", "already"), ("T3 bridge env", "MANUAL"), ("T4 nats conf", "MANUAL"), ("summary", "DRY RUN")],
+    "reads": [("rls", "done"), ("publication", "done"), ("T3 bridge env", "MANUAL"), ("T4 nats conf", "MANUAL")],
+}
 
 
-@query("SELECT r_name, list_aggregate(list_sort(list(n_name)), 'string_agg', ',') AS tables, bool_or(n_nationkey > 20) AS any_late FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(f"SELECT \"table\", ordinal, step, status FROM {_rows([(t, i, *s) for t, steps in _PLANS.items() for i, s in enumerate(steps)], '\"table\", ordinal, step, status')}")
+def enable_plan(spark, d):
+    kinds = "table string, tenant_col string, tenant_col_known boolean, writable boolean, write_half boolean, version_col string, tombstone_col string, public_reason string, rls boolean, row_filter string, is_public boolean, published boolean, columns array<string>, dry_run boolean"
+    asked = [
+        ("no_write_half", "t", True, True, False, "v", None, None, False, None, False, False, None, True),
+        ("no_column", "t", False, True, True, "v", None, None, False, None, False, False, None, True),
+        ("unscoped", None, False, False, True, None, None, None, False, None, False, False, None, True),
+        ("public", None, False, False, True, None, None, "open data", False, None, False, False, None, True),
+        ("whole", "t", True, True, True, "v", "d", None, False, None, False, False, ["id", "t"], False),
+        ("unguarded", "t", True, True, True, None, None, None, False, None, False, True, None, True),
+        ("reads", "t", True, False, False, None, None, None, True, None, False, False, None, False),
+    ]
+    return G.plan_of(values(spark, asked, kinds))
+
+
+@query("SELECT r_name, list_aggregate(list_sort(list(n_name)), 'string_agg', ',') AS tables, bool_or(n_nationkey > 20) AS any_late FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def publication_tables(spark, d):
     j = T.scan(spark, d, "region").join(T.scan(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return j.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("tables"), F.bool_or(F.col("n_nationkey") > 20).alias("any_late"))
@@ -253,15 +291,17 @@ def max_columns(spark, d):
     return G.max_columns(T.scan(spark, d, "nation").select(F.col("n_regionkey").alias("table")))
 
 
-@query("SELECT * FROM (VALUES ('n_nationkey', 'int', 'TEXT'), ('n_name', 'string', 'TEXT'), ('n_regionkey', 'int', 'TEXT')) AS v(name, type, sqlite)")
+@query("SELECT * FROM (VALUES ('n_nationkey', 'int', 'INTEGER'), ('n_name', 'text', 'TEXT'), ('n_regionkey', 'int', 'INTEGER')) AS v(name, type, sqlite)")
 def layout_scan(spark, d):
     return T.layout(T.scan(spark, d, "nation"), ("n_nationkey",)).select("name", "type", F.col("sqlite_type").alias("sqlite"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'INTEGER' WHEN 1 THEN 'REAL' WHEN 2 THEN 'INTEGER' ELSE 'TEXT' END AS sqlite FROM nation")
+_TYPES = [(t, "INTEGER") for t in "integer int int4 bigint int8 smallint int2 serial serial4 bigserial serial8 smallserial serial2 boolean bool".split()] + [(t, "REAL") for t in ("real", "float4", "double precision", "float8")] + [(t, "TEXT") for t in ("numeric", "decimal", "timestamp with time zone", "jsonb", "ARRAY", "uuid", "some_custom_enum")]
+
+
+@query(f"SELECT * FROM {_rows(_TYPES, 'type, sqlite')}")
 def schema_sqlite_map(spark, d):
-    kind = F.element_at(F.array(*map(F.lit, ("bigint", "double precision", "boolean", "numeric(20,8)", "uuid"))), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    return T.scan(spark, d, "nation").select("n_nationkey", S.sqlite_type(kind).alias("sqlite"))
+    return values(spark, [(t,) for t, _ in _TYPES], "type string").withColumn("sqlite", S.sqlite_type(F.col("type")))
 
 
 @query("SELECT page_id, CASE WHEN length(url) > 50 THEN url[1:47] || '...' ELSE url END AS shown, translate(split_part('x' || url || chr(10) || 'y', chr(10), 1), '\"', '''') AS error FROM pages")

@@ -76,7 +76,7 @@ def version_bump(spark, d):
     return L.bumped(rows, "was", "version", F.lit(NOW).cast("timestamp_ntz")).select("seq", "version")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'ForbiddenTable' WHEN o_orderkey % 7 = 0 THEN 'RowTooLargeToReplicate' WHEN o_orderkey % 5 = 0 THEN 'MissingKey' WHEN o_orderkey % 3 = 0 THEN 'UnknownColumn' WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'O' THEN 'PrimaryKeyReassigned' END AS error FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'ForbiddenTable' WHEN o_orderkey % 7 = 0 THEN 'RowTooLargeToReplicate' WHEN o_orderkey % 5 = 0 THEN 'MissingPrimaryKey' WHEN o_orderkey % 3 = 0 THEN 'UnknownColumn' WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'O' THEN 'PrimaryKeyReassigned' END AS error FROM orders""")
 def write_guards(spark, d):
     k = F.col("o_orderkey")
     o = T.scan(spark, d, "orders").select(
@@ -87,11 +87,24 @@ def write_guards(spark, d):
     return L.checked(o, TableSpec("orders", ("id",), ("id", "status"))).select("o_orderkey", "error")
 
 
-@query("""SELECT o_orderkey, CASE WHEN state[1:2] IN ('42', '23', '22', '3F', '0A') THEN 'reject' WHEN delivered >= 15 THEN 'fail' ELSE 'retry' END AS action FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '23505' WHEN 1 THEN '57014' WHEN 2 THEN '08006' ELSE '' END AS state, o_orderkey % 20 AS delivered FROM orders)""")
+#: Failures and what is to be done with them on the 3rd and on the 15th delivery: the expected outcomes are written out.
+_FAILURES = [
+    ("42501", "", "reject", "reject"), ("23502", "", "reject", "reject"), ("23503", "", "reject", "reject"), ("23505", "", "reject", "reject"), ("22P02", "", "reject", "reject"), ("42703", "", "reject", "reject"), ("42P01", "", "reject", "reject"), ("0A000", "", "reject", "reject"), ("3F000", "", "reject", "reject"),
+    ("57P01", "", "retry", "fail"), ("08006", "", "retry", "fail"), ("08000", "", "retry", "fail"), ("40001", "", "retry", "fail"), ("40P01", "", "retry", "fail"), ("53300", "", "retry", "fail"), ("55P03", "", "retry", "fail"), ("XX000", "", "retry", "fail"), ("99999", "", "retry", "fail"), ("", "", "retry", "fail"), ("4", "", "retry", "fail"),
+    ("", "MutationFailed", "retry", "fail"), ("", "MalformedSubject", "reject", "reject"), ("", "UnknownOperation", "reject", "reject"), ("", "MissingVersion", "reject", "reject"), ("", "InvalidPayloadFormat", "reject", "reject"), ("", "MissingPrimaryKey", "reject", "reject"),
+    ("", "NoPrimaryKey", "reject", "reject"), ("", "NoVersionColumn", "reject", "reject"), ("", "NoTombstoneColumn", "reject", "reject"), ("", "DbAllocatedKey", "reject", "reject"),
+]
+
+
+def _rows(rows, names):
+    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({names})"
+
+
+@query(f"SELECT sqlstate, error, n::BIGINT AS delivered, CASE n WHEN 3 THEN early ELSE late END AS action FROM {_rows(_FAILURES, 'sqlstate, error, early, late')}, (VALUES (3), (15)) AS d(n)")
 def retry_classification(spark, d):
-    k = F.col("o_orderkey")
-    state = F.when(k % 4 == 0, "23505").when(k % 4 == 1, "57014").when(k % 4 == 2, "08006").otherwise("")
-    return L.retried(T.scan(spark, d, "orders").select(k, state.alias("sqlstate"), F.lit("Timeout").alias("error"), (k % 20).alias("delivered"))).select("o_orderkey", "action")
+    rows = values(spark, [(s, e, n) for s, e, _, _ in _FAILURES for n in (3, 15)], "sqlstate string, error string, delivered long")
+    return L.retried(rows).select("sqlstate", "error", "delivered", "action")
 
 
 @query(W + """, box AS (SELECT pk AS msg_id, seq, ts, CASE WHEN event_type IN ('error', 'purchase') THEN 'drop' ELSE 'put' END AS action FROM changes)
@@ -183,7 +196,9 @@ def write_outcome(spark, d):
     return T.scan(spark, d, "orders").select(k, L.outcome((k % 3 == 0).cast("int"), k % 3 != 1, F.lit(None).cast("timestamp")).alias("outcome"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'permanent' WHEN 1 THEN 'operator' ELSE 'transient' END AS class FROM orders")
+_CLASSES = [("MissingHLC", "permanent"), ("InvalidHLCFormat", "permanent"), ("UnsupportedPayloadType", "permanent"), ("ForbiddenTable", "permanent"), ("RowTooLargeToReplicate", "permanent"), ("UnknownColumn", "permanent"), ("MissingData", "permanent"), ("NoPrimaryKey", "operator"), ("NoVersionColumn", "operator"), ("NoTombstoneColumn", "operator"), ("DbAllocatedKey", "operator"), ("MutationFailed", "transient"), ("Timeout", "transient"), (None, "transient")]
+
+
+@query(f"SELECT * FROM {_rows(_CLASSES, 'error, class')}")
 def error_classes(spark, d):
-    name = F.element_at(F.array(*map(F.lit, ("UnknownColumn", "NoPrimaryKey", "Timeout"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return T.scan(spark, d, "orders").select("o_orderkey", S.error_class(name).alias("class"))
+    return values(spark, [(e,) for e, _ in _CLASSES], "error string").select("error", S.error_class(F.col("error")).alias("class"))

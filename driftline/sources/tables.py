@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.config import keyset_predicate
-from driftline.functions.scalars import sqlite_type
+from driftline.functions.scalars import source_type, sqlite_type
+from driftline.sources.scratch import written
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,8 +36,8 @@ def unbatched(messages: DataFrame, body: str, element: str) -> DataFrame:
 
 
 def layout(df: DataFrame, pk: tuple[str, ...] = ()) -> DataFrame:
-    """(ordinal, name, type, sqlite_type, required, pk_ordinal) of a table."""
-    rows = [(i + 1, f.name, f.dataType.simpleString(), not f.nullable, pk.index(f.name) + 1 if f.name in pk else None) for i, f in enumerate(df.schema.fields)]
+    """(ordinal, name, type, sqlite_type, required, pk_ordinal) of a table; type is the source's name."""
+    rows = [(i + 1, f.name, source_type(f.dataType.simpleString()), not f.nullable, pk.index(f.name) + 1 if f.name in pk else None) for i, f in enumerate(df.schema.fields)]
     out = df.sparkSession.createDataFrame(rows, "ordinal int, name string, type string, required boolean, pk_ordinal int")
     return out.withColumn("sqlite_type", sqlite_type(F.col("type")))
 
@@ -94,8 +95,8 @@ def ordered_prefix_sum(df: DataFrame, keys: list[str], size: Column, out: str) -
     Only a total per partition reaches the driver side of the plan."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.withColumn("__size", size.cast("long")).repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
-    # The range bounds are sampled: the partition number is written down once and read twice.
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else ranged.persist()
+    # The range bounds are sampled: the partition number is written down once, where a lost executor can't lose it.
+    ranged = written(ranged, "ranged")
     totals = ranged.groupBy("__part").agg(F.sum("__size").alias("t"))
     before = totals.select("__part", (F.sum("t").over(Window.orderBy("__part")) - F.col("t")).alias("__before"))
     local = F.sum("__size").over(Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
