@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions import scalars as S
-from driftline.model import BATCH_EVENTS, INTERNAL_TABLES
+from driftline.model import BATCH_BYTES, BATCH_EVENTS, BATCH_MS, INTERNAL_TABLES
+from driftline.sources.tables import ordered_prefix_sum
 
 
 def normalised(rows: DataFrame, ordinal: Column | None = None) -> DataFrame:
@@ -116,10 +117,35 @@ def batch_bodies(rows: DataFrame, body: str, size: int = BATCH_EVENTS) -> DataFr
     return grouped.agg(F.transform(F.array_sort(F.collect_list(F.struct("lsn", "seq", body))), lambda x: x[body]).alias("events"))
 
 
+def triggered(rows: DataFrame, size: str, at: str, events: int = BATCH_EVENTS, size_limit: int = BATCH_BYTES, wait_ms: int = BATCH_MS) -> DataFrame:
+    """`rows` (xid, seq, ...) with `batch`, its number in the transaction. A commit ends a batch, so none crosses
+    transactions; within one a batch is full at `events` rows, at `size_limit` bytes (looked at before a row is added, so the
+    last row may go over) or `wait_ms` after its first row. Null sizes count 0, a null time ends nothing.
+
+    A transaction's rows stream through one task in log order with three numbers held, however many they are."""
+    slim = rows.withColumns({"__size": F.coalesce(F.col(size), F.lit(0)).cast("long"), "__at": F.unix_millis(F.col(at).cast("timestamp"))})
+
+    def run(batches):
+        xid, batch, count, used, since = None, None, 0, 0, None
+        for part in batches:
+            out = []
+            for x, n, now in zip(*(part.column(c).to_pylist() for c in ("xid", "__size", "__at")), strict=True):
+                late = since is not None and now is not None and now - since >= wait_ms
+                if batch is None or x != xid:
+                    xid, batch, count, used, since = x, 0, 0, 0, now
+                elif count >= events or used >= size_limit or late:
+                    batch, count, used, since = batch + 1, 0, 0, now
+                count, used = count + 1, used + n
+                out.append(batch)
+            yield part.append_column("batch", pa.array(out, pa.int64()))
+
+    ordered = slim.repartition("xid").sortWithinPartitions("xid", "seq")
+    return ordered.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("batch", T.LongType())])).drop("__size", "__at")
+
+
 def schema_runs(rows: DataFrame) -> DataFrame:
     """Schema messages split the run: `run` grows at each, so that schemas precede the rows that follow them."""
-    w = Window.partitionBy("table").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("run", F.sum(F.col("is_schema").cast("int")).over(w))
+    return ordered_prefix_sum(rows, ["seq"], F.col("is_schema").cast("int"), "run", by=("table",))
 
 
 def gaps(seen: DataFrame, streams: DataFrame) -> DataFrame:

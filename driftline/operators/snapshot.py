@@ -5,6 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from driftline.sources.tables import ordered_prefix_sum
 
 
 def widths(rows: DataFrame, size: Column, budget: int) -> DataFrame:
@@ -18,27 +21,31 @@ def even_chunks(rows: DataFrame, running: str, budget: int) -> DataFrame:
     return rows.withColumn("chunk", F.floor((F.col(running) - 1) / budget))
 
 
-def packed_chunks(rows: DataFrame, keys: list[str], size: str, budget: int) -> DataFrame:
-    """Greedy chunks in key order: each is within the budget, or one row. Packed in each range partition, row by row
-    and with no list held; chunks also end at partition edges. Adds chunk (range partition * 2**32 + number)."""
-    at, fields = rows.columns.index(size), rows.schema
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+def packed_chunks(rows: DataFrame, keys: list[str], size: str, budget: int, segment: int = 1024) -> DataFrame:
+    """Greedy chunks in key order: each is within the budget, or one row. Adds chunk (segment * 2**32 + number).
+
+    A segment is a stretch of `segment` budgets of the running total; chunks are packed in each, row by row with no list
+    held, and also end where a segment does. So the result depends on the rows alone, not on how they are dealt. Keys are
+    unique; null sizes count 0."""
+    n = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    running = ordered_prefix_sum(rows, keys, n, "__running").withColumn("__n", n)
+    parted = running.withColumn("__segment", F.expr(f"(__running - __n) div {budget * segment}")).drop("__running")
 
     def run(batches):
-        chunk, used = 0, 0
+        open_, chunk, used = None, 0, 0
         for batch in batches:
             out = []
-            for n in batch.column(at).to_pylist():
-                if used and used + n > budget:
+            for part, more in zip(batch.column("__segment").to_pylist(), batch.column("__n").to_pylist(), strict=True):
+                if part != open_:
+                    open_, chunk, used = part, 0, 0
+                elif used and used + more > budget:
                     chunk, used = chunk + 1, 0
-                used += n
-                out.append(chunk)
+                used += more
+                out.append((part << 32) + chunk)
             yield batch.append_column("chunk", pa.array(out, pa.int64()))
 
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    packed = ranged.mapInArrow(run, f"{own}, chunk long")
-    return packed.withColumn("chunk", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("chunk"))
+    ordered = parted.repartition("__segment").sortWithinPartitions("__segment", *keys)
+    return ordered.mapInArrow(run, T.StructType([*parted.schema.fields, T.StructField("chunk", T.LongType())])).drop("__segment", "__n")
 
 
 def final_flags(pages: DataFrame, all_keys: DataFrame, key: str) -> DataFrame:

@@ -117,6 +117,16 @@ def batch_by_subject(spark, d):
     return C.batches(C.normalised(changes(spark, d).where("seq > 0")), 500)
 
 
+@query("WITH RECURSIVE " + CHANGES + """, r AS (SELECT seq, xid, octet_length(encode(event_type)) AS size, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY xid ORDER BY seq) AS n FROM changes),
+ f AS (SELECT xid, seq, n, 0::BIGINT AS batch, 1 AS c, size AS b, ms AS since FROM r WHERE n = 1 UNION ALL
+  SELECT r.xid, r.seq, r.n, CASE WHEN c >= 4 OR b >= 18 OR r.ms - since >= 900000 THEN batch + 1 ELSE batch END, CASE WHEN c >= 4 OR b >= 18 OR r.ms - since >= 900000 THEN 1 ELSE c + 1 END,
+   CASE WHEN c >= 4 OR b >= 18 OR r.ms - since >= 900000 THEN size ELSE b + size END, CASE WHEN c >= 4 OR b >= 18 OR r.ms - since >= 900000 THEN r.ms ELSE since END FROM f JOIN r ON r.xid = f.xid AND r.n = f.n + 1)
+ SELECT xid, seq, batch FROM f""")
+def batch_triggers(spark, d):
+    rows = changes(spark, d).select("xid", "seq", "ts", F.octet_length("event_type").alias("size"))
+    return C.triggered(rows, "size", "ts", events=4, size_limit=18, wait_ms=900_000).select("xid", "seq", "batch")
+
+
 @query(W + """SELECT seq, octet_length(encode(event_type)) + octet_length(encode("table")) + octet_length(encode(operation)) + octet_length(encode('cdc.' || "table")) + 256 AS bytes FROM changes""")
 def event_wire_size(spark, d):
     c = changes(spark, d)

@@ -43,9 +43,14 @@ def snapshot_chunks(spark, d):
     return P.even_chunks(_running(spark, d), "running", 20000).select("conv_id", "turn", "chunk")
 
 
-@query()
+@query("WITH RECURSIVE" + _RUN.removeprefix("WITH") + """, g AS (SELECT conv_id, turn, size, (running - size) // 80000 AS segment FROM r),
+ o AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY conv_id, turn) AS n FROM g),
+ f AS (SELECT segment, n, conv_id, turn, size, 0::BIGINT AS k, size AS used FROM o WHERE n = 1 UNION ALL
+  SELECT o.segment, o.n, o.conv_id, o.turn, o.size, CASE WHEN used > 0 AND used + o.size > 20000 THEN k + 1 ELSE k END, CASE WHEN used > 0 AND used + o.size > 20000 THEN o.size ELSE used + o.size END
+  FROM f JOIN o ON o.segment = f.segment AND o.n = f.n + 1)
+ SELECT conv_id, turn, size, segment::BIGINT * 4294967296 + k AS chunk FROM f""")
 def packed_chunks(spark, d):
-    return P.packed_chunks(_turns(spark, d).select("conv_id", "turn", "size"), ["conv_id", "turn"], "size", 20000)
+    return P.packed_chunks(_turns(spark, d).select("conv_id", "turn", "size"), ["conv_id", "turn"], "size", 20000, segment=4)
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100")

@@ -89,15 +89,37 @@ def replay_chunks(chunks: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("chunk", "n", F.map_from_arrays(F.array(*map(F.lit, columns)), F.col("row")).alias("data"))
 
 
-def ordered_prefix_sum(df: DataFrame, keys: list[str], size: Column, out: str) -> DataFrame:
-    """Running total in key order without a one-task window: range partitions, one total each, local windows.
-
-    Only a total per partition reaches the driver side of the plan."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.withColumn("__size", size.cast("long")).repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
-    # The range bounds are sampled: the partition number is written down once, where a lost executor can't lose it.
-    ranged = written(ranged, "ranged")
-    totals = ranged.groupBy("__part").agg(F.sum("__size").alias("t"))
-    before = totals.select("__part", (F.sum("t").over(Window.orderBy("__part")) - F.col("t")).alias("__before"))
-    local = F.sum("__size").over(Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(F.broadcast(before), "__part").withColumn(out, local + F.col("__before")).drop("__size", "__before", "__part")
+def _ranged(df: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """`df` in range partitions of `order`, numbered in __part. The bounds are sampled: the numbers are written down once,
+    where a lost executor can't lose them."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), tag)
+
+
+def ordered_prefix_sum(df: DataFrame, keys: list[str], size: Column, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Running total in key order, of each group of `by` if given, without a window over a whole table or group: range
+    partitions, local windows, and what a group brings into a partition that it continues in. A partition continues
+    one group at most, so the table of these has at most a row per partition and is broadcast."""
+    ranged = _ranged(df.withColumn("__size", size.cast("long")), [*by, *keys], "ranged")
+    totals = ranged.groupBy("__part", *by).agg(F.sum("__size").alias("__t"))
+    earlier = Window.partitionBy(*by).orderBy("__part")
+    brought = totals.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__by_{c}") for c in by), F.sum("__t").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.lag("__part").over(earlier).alias("__prior"))
+    brought = brought.where("__prior is not null").drop("__prior")
+    on = F.col("__part") == F.col("__p")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    local = F.sum("__size").over(Window.partitionBy("__part", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    total = local + F.coalesce("__before", F.lit(0).cast("long"))
+    return ranged.join(F.broadcast(brought), on, "left").withColumn(out, total).drop("__size", "__before", "__part", "__p", *(f"__by_{c}" for c in by))
+
+
+def last_known(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+    """The last value that is not null, of the row itself or of one before it in `order`: range partitions, local
+    windows, and what each partition starts with (a row a partition, broadcast)."""
+    ranged = _ranged(df.withColumn(out, value), order, "carried")
+    ends = ranged.where(F.col(out).isNotNull()).groupBy("__part").agg(F.max_by(out, F.struct(*order)).alias("__end"))
+    parts = df.sparkSession.range(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))).select(F.col("id").cast("int").alias("__part"))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.join(ends, "__part", "left").select("__part", F.last("__end", ignorenulls=True).over(upto).alias("__start"))
+    local = F.last(out, ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(starts), "__part").withColumn(out, F.coalesce(local, F.col("__start"))).drop("__part", "__start")
