@@ -15,10 +15,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/.driftline-scratch"
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str, only: str | None = None) -> list[str]:
+    """Names in a folder, of `only` if given; none if there is no such folder."""
+    at, fs = _place(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return [n for n in names if only is None or n == only]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _place(spark, path)
+    fs.delete(at, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone at exit
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove(spark, path)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -7,9 +7,13 @@ from __future__ import annotations
 
 import struct
 from datetime import UTC, date, datetime, timedelta
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from driftline.sources.tables import last_known
 
 #: Type numbers.
 OIDS = {
@@ -232,10 +236,43 @@ def parse_log(frames: DataFrame, payload: str = "payload") -> DataFrame:
     return frames.mapInArrow(run, f"{own}, kind_of string, xid long, commit_lsn long, relation_id long, namespace string, name string, replica_identity string, columns {_SQL_COLUMN}, old_tuple {_SQL_TUPLE}, new_tuple {_SQL_TUPLE}, relation_ids array<bigint>")
 
 
-def decode_rows(changes: DataFrame, relations: DataFrame) -> DataFrame:
+def with_transactions(messages: DataFrame, order: list[str]) -> DataFrame:
+    """Parsed messages with the xid and commit_lsn of the transaction that they stand in, carried from its BEGIN over its
+    rows up to its COMMIT; both are null before the first BEGIN. `order` is the order of arrival, without ties: the stream
+    sends one transaction after the other, so the last BEGIN is the row's own. One that is cut off by a reconnection is
+    sent again under the same xid; its first rows go by their message ids."""
+    begin = F.when(F.col("kind_of") == "begin", F.struct("xid", "commit_lsn"))
+    carried = last_known(messages, order, begin, "__tx")
+    return carried.withColumns({"xid": F.col("__tx.xid"), "commit_lsn": F.col("__tx.commit_lsn")}).drop("__tx")
+
+
+def committed_rows(messages: DataFrame) -> DataFrame:
+    """Row messages of transactions whose COMMIT arrived; `messages` as with_transactions gives them."""
+    done = messages.where("kind_of = 'commit'").select("xid", "commit_lsn").distinct()
+    return messages.where("kind_of in ('insert', 'update', 'delete', 'truncate')").join(done, ["xid", "commit_lsn"], "left_semi")
+
+
+def relation_versions(messages: DataFrame, at: str) -> DataFrame:
+    """(relation_id, name, columns, since, until): what each relation message says holds from it to the next one of its
+    relation (until is null for the last). There is a row per change of a table and connection, not per row changed."""
+    known = messages.where("kind_of = 'relation'").select("relation_id", "name", "columns", F.col(at).alias("since"))
+    return known.withColumn("until", F.lead("since").over(Window.partitionBy("relation_id").orderBy("since")))
+
+
+def decode_rows(changes: DataFrame, relations: DataFrame, at: str | None = None) -> DataFrame:
     """Row messages joined to their relation (an unknown relation drops the row) -> data, old, unchanged, refused.
-    `relations` is the catalog's table dimension (relation_id, name, columns): Spark broadcasts it while it is small."""
-    joined = changes.where("kind_of in ('insert', 'update', 'delete')").drop("namespace", "name", "replica_identity", "columns", "relation_ids").join(relations.select("relation_id", "name", "columns"), "relation_id")
+
+    `relations` is the catalog's table dimension (relation_id, name, columns): Spark broadcasts it while it is small. With
+    `at`, the rows' position, it has since and until too (relation_versions), and a row meets the version that held when
+    it was written. A value that can't be decoded, or a field count other than the relation's, refuses the row: `refused`
+    says why, and its table is to be suspended; other rows go on."""
+    rows = changes.where("kind_of in ('insert', 'update', 'delete')").drop("namespace", "name", "replica_identity", "columns", "relation_ids")
+    if at is None:
+        joined = rows.join(relations.select("relation_id", "name", "columns"), "relation_id")
+    else:
+        r = relations.select(F.col("relation_id").alias("__id"), "name", "columns", F.col("since").alias("__since"), F.col("until").alias("__until"))
+        held = (F.col("relation_id") == F.col("__id")) & (F.col(at) >= F.col("__since")) & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))
+        joined = rows.join(r, held).drop("__id", "__since", "__until")
     fields = joined.schema
     new, old, cols = (joined.columns.index(c) for c in ("new_tuple", "old_tuple", "columns"))
 
@@ -249,7 +286,7 @@ def decode_rows(changes: DataFrame, relations: DataFrame) -> DataFrame:
                 try:
                     (data, kept), (before, _) = tuple_maps(c, plain(n)), tuple_maps(c, plain(o))
                     out.append((list(data.items()), list(before.items()), kept, None))
-                except Refused as e:
+                except ValueError as e:  # Refused among them
                     out.append((None, None, None, str(e)))
             columns = list(zip(*out, strict=True)) or [()] * 4
             m = pa.map_(pa.string(), pa.string())
@@ -262,14 +299,13 @@ def decode_rows(changes: DataFrame, relations: DataFrame) -> DataFrame:
 COPY_SIGNATURE = b"PGCOPY\n\xff\r\n\0"
 
 
-def parse_copy(data: bytes, oids: list[int]) -> list[list[str | None]]:
-    """Rows of a binary copy as text; a field count other than the layout's is fatal."""
+def copy_rows(data: bytes, oids: list[int]):
+    """Rows of a binary copy as text, one at a time; a field count other than the layout's is fatal."""
     r = Reader(data)
     if r.take(len(COPY_SIGNATURE)) != COPY_SIGNATURE:
         raise ValueError("no binary copy")
     r.take(4)
     r.take(r.num("i"))
-    rows = []
     while (count := r.num("h")) != -1:
         if count != len(oids):
             raise ValueError("field count differs from the layout's")
@@ -277,17 +313,22 @@ def parse_copy(data: bytes, oids: list[int]) -> list[list[str | None]]:
         for oid in oids:
             n = r.num("i")
             row.append(None if n < 0 else value_text(oid, r.take(n)))
-        rows.append(row)
-    return rows
+        yield row
+
+
+def parse_copy(data: bytes, oids: list[int]) -> list[list[str | None]]:
+    return list(copy_rows(data, oids))
 
 
-def read_copies(files: DataFrame, names: list[str], oids: list[int], content: str = "content") -> DataFrame:
-    """Binary copies (spark.read.format("binaryFile")) -> rows of text columns."""
+def read_copies(files: DataFrame, names: list[str], oids: list[int], content: str = "content", block: int = 4096) -> DataFrame:
+    """Binary copies (spark.read.format("binaryFile")) -> rows of text columns, `block` at a time. A file is one value
+    (2 GB at most), so writers end a copy's file after some hundred MB; files are read in parallel."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = parse_copy(data, oids)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=names)
+                rows = copy_rows(data, oids)
+                while part := list(islice(rows, block)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.string()) for i in range(len(names))], names=names)
 
     return files.select(content).mapInArrow(run, ", ".join(f"`{n}` string" for n in names))

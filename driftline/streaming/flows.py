@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftline.operators.replica import latest_rows
+from driftline.sources.scratch import names_in, remove
 
 
 def deduplicated(events: DataFrame, ts: str = "ts", window: str = "2 minutes") -> DataFrame:
@@ -46,24 +46,42 @@ def committed(events: DataFrame, row_schema: str, timeout_ms: int = 600_000) ->
     return events.groupBy("xid").applyInPandasWithState(step, row_schema, "held array<string>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def held_until_known(events: DataFrame, out_schema: str) -> DataFrame:
-    """Per table: an event with a column that no schema has yet waits for a schema that has it; schemas (kind schema,
-    body: comma-joined columns) are applied before the rows of their batch. events: table, kind, lsn, columns, body."""
+def held_until_known(events: DataFrame, shards: int = 16) -> DataFrame:
+    """The schema race of replica.raced, as a stream: (table, lsn, columns, body) of the events that may be applied, with
+    the columns to apply. Per table the schema with the greatest lsn counts. An event with a column that it lacks is
+    stripped of it if the event is older than the schema, and waits for the next schema if not, however long: an event
+    is never dropped. Schemas are applied before the rows of their batch.
+
+    events: table, kind (schema or row), lsn, columns, body; a schema's body is its columns, comma-joined. A table's rows
+    are dealt over `shards` states by lsn, and its schemas go to each, so no table is one task. Order among shards is not
+    kept: readers fold by lsn."""
+    shard = F.when(F.col("kind") == "schema", F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.pmod(F.xxhash64("lsn"), F.lit(shards)).cast("int")))
+    dealt = events.select("*", F.explode(shard).alias("__shard"))
 
     def step(key, frames, state: GroupState):
-        known, held = (set(state.get[0]), [json.loads(x) for x in state.get[1]]) if state.exists else (set(), [])
+        known, at, held = (set(state.get[0]), state.get[1], [json.loads(x) for x in state.get[2]]) if state.exists else (set(), None, [])
         for pdf in frames:
-            for body in pdf.loc[pdf["kind"] == "schema", "body"]:
-                known |= set(body.split(","))
+            docs = pdf[pdf["kind"] == "schema"]
+            for n, body in zip(docs["lsn"], docs["body"], strict=True):
+                if at is None or n >= at:
+                    known, at = set(filter(None, body.split(","))), int(n)
             rows = pdf[pdf["kind"] == "row"]
             held += [[int(n), c, b] for n, c, b in zip(rows["lsn"], rows["columns"], rows["body"], strict=True)]
         held.sort(key=lambda x: x[0])
-        ready = [h for h in held if set(filter(None, h[1].split(","))) <= known]
-        state.update((sorted(known), [json.dumps(h) for h in held if h not in ready]))
+        ready, waiting = [], []
+        for n, names, body in held:
+            columns = [c for c in (names or "").split(",") if c]
+            kept = [c for c in columns if c in known]
+            if at is not None and (len(kept) == len(columns) or n < at):
+                ready.append((n, ",".join(kept), body))
+            else:
+                waiting.append(json.dumps([n, names, body]))
+        state.update((sorted(known), at, waiting))
         if ready:
-            yield pd.DataFrame({"table": [key[0]] * len(ready), "lsn": [h[0] for h in ready], "body": [h[2] for h in ready]})
+            lsns, names, bodies = zip(*ready, strict=True)
+            yield pd.DataFrame({"table": [key[0]] * len(ready), "lsn": lsns, "columns": names, "body": bodies})
 
-    return events.groupBy("table").applyInPandasWithState(step, out_schema, "known array<string>, held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy("table", "__shard").applyInPandasWithState(step, "table string, lsn long, columns string, body string", "known array<string>, at long, held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def answered(writes: DataFrame, verdicts: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -75,41 +93,67 @@ def answered(writes: DataFrame, verdicts: DataFrame, late: str = "10 seconds") -
 
 
 class ReplicaSink:
-    """foreachBatch sink: current rows as versions of a Parquet table; a pointer file names the live one.
+    """foreachBatch sink: current rows of a replica as a base table and the changes since, all Parquet.
+
+    A batch writes its own last rows per key and then a pointer, which names the tables that make up the replica; every
+    `compact` batches they become a new base, so the replica is rewritten once in so many batches. A batch that comes
+    again after a failure finds its number and is skipped, so the fold is applied once. Tables that neither the newest
+    pointer nor the one before names are removed; readers of the one before are not cut off."""
+
+    def __init__(self, path: str, key: list[str], order: list[str], compact: int = 16):
+        self.path, self.key, self.order, self.compact = path.rstrip("/"), key, order, compact
 
-    A batch writes a new version and then the pointer. A batch that comes again after a failure finds its number in
-    the pointer's and is skipped, so the fold is applied once."""
+    def _pointers(self, spark: SparkSession) -> list[int]:
+        return sorted(int(n) for n in names_in(spark, f"{self.path}/pointer") if names_in(spark, f"{self.path}/pointer/{n}", "_SUCCESS"))
 
-    def __init__(self, path: str, key: list[str], order: list[str]):
-        self.path, self.key, self.order = path.rstrip("/"), key, order
+    def _tables(self, spark: SparkSession, batch: int) -> list[str]:
+        return spark.read.schema("tables array<string>").json(f"{self.path}/pointer/{batch:020d}").first()[0]
 
     def pointer(self, spark: SparkSession) -> dict | None:
-        try:
-            rows = spark.read.schema("batch long, version string").json(f"{self.path}/pointer").collect()
-        except AnalysisException:
-            return None
-        return max((r.asDict() for r in rows), key=lambda r: r["batch"], default=None)
+        known = self._pointers(spark)
+        return {"batch": known[-1], "tables": self._tables(spark, known[-1])} if known else None
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        """Deletes stay as rows: a late older write must not bring a deleted row back."""
+        rest = [c for c in rows.columns if c not in self.key]
+        top = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("last"))
+        return top.select(*self.key, "last.*").select(*rows.columns)
+
+    def _read(self, spark: SparkSession, tables: list[str]) -> DataFrame:
+        parts = [spark.read.parquet(f"{self.path}/tables/{t}") for t in tables]
+        return self._folded(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
     def current(self, spark: SparkSession) -> DataFrame | None:
         at = self.pointer(spark)
-        return spark.read.parquet(f"{self.path}/{at['version']}") if at else None
+        return self._read(spark, at["tables"]) if at else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         at = self.pointer(spark)
         if at and at["batch"] >= batch_id:
             return
-        rows = batch if not at else spark.read.parquet(f"{self.path}/{at['version']}").unionByName(batch)
-        # Deletes stay as rows: a late older write must not bring a deleted row back.
-        rest = [c for c in rows.columns if c not in self.key]
-        top = rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("last"))
-        version = f"v-{batch_id}-{uuid.uuid4().hex[:8]}"
-        top.select(*self.key, "last.*").select(*batch.columns).write.parquet(f"{self.path}/{version}")
-        spark.createDataFrame([(batch_id, version)], "batch long, version string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+        name = f"t-{batch_id}-{uuid.uuid4().hex[:8]}"
+        self._folded(batch).write.parquet(f"{self.path}/tables/{name}")
+        tables = [*(at["tables"] if at else []), name]
+        if len(tables) > self.compact:
+            base = f"base-{batch_id}-{uuid.uuid4().hex[:8]}"
+            self._read(spark, tables).write.parquet(f"{self.path}/tables/{base}")
+            tables = [base]
+        spark.createDataFrame([(tables,)], "tables array<string>").coalesce(1).write.mode("overwrite").json(f"{self.path}/pointer/{batch_id:020d}")
+        self._tidy(spark)
+
+    def _tidy(self, spark: SparkSession) -> None:
+        known = self._pointers(spark)
+        for old in known[:-2]:
+            remove(spark, f"{self.path}/pointer/{old:020d}")
+        named = {t for b in known[-2:] for t in self._tables(spark, b)}
+        for t in names_in(spark, f"{self.path}/tables"):
+            if t not in named:
+                remove(spark, f"{self.path}/tables/{t}")
 
     def live(self, spark: SparkSession) -> DataFrame | None:
         now = self.current(spark)
-        return None if now is None else latest_rows(now, self.key, self.order)
+        return None if now is None else now.where("operation <> 'DELETE'")
 
 
 def schemas_first(sink_schemas, sink_rows):

@@ -26,8 +26,15 @@ def test_transactions_leave_whole_and_in_order(spark, tmp_path):
 
 def test_events_wait_for_their_schema(spark, tmp_path):
     schema = "table string, kind string, lsn long, columns string, body string"
-    df = source(spark, tmp_path, [[("t", "schema", 1, "", "id"), ("t", "row", 2, "id", "x"), ("t", "row", 3, "id,n", "y")], [("t", "schema", 4, "", "id,n")]], schema)
-    assert sorted(run(spark, flows.held_until_known(df, "table string, lsn long, body string"), tmp_path)) == [("t", 2, "x"), ("t", 3, "y")]
+    df = source(spark, tmp_path, [[("t", "schema", 1, "", "id"), ("t", "row", 2, "id", "x"), ("t", "row", 5, "id,n", "y"), ("u", "row", 6, "", "z")], [("t", "schema", 4, "", "id,n")]], schema)
+    assert sorted(run(spark, flows.held_until_known(df, 3), tmp_path)) == [("t", 2, "id", "x"), ("t", 5, "id,n", "y")]
+
+
+def test_dropped_columns_are_stripped_from_older_events(spark, tmp_path):
+    schema = "table string, kind string, lsn long, columns string, body string"
+    late = [("t", "row", 3, "id,gone", "old"), ("t", "row", 9, "id,new", "wait"), ("t", "schema", 2, "", "id,gone")]
+    df = source(spark, tmp_path, [[("t", "schema", 5, "", "id,n")], late, [("t", "row", 4, "gone", "none"), ("t", "schema", 10, "", "id,new")]], schema)
+    assert sorted(run(spark, flows.held_until_known(df, 2), tmp_path)) == [("t", 3, "id", "old"), ("t", 4, "", "none"), ("t", 9, "id,new", "wait")]
 
 
 def test_duplicates_in_the_window_go(spark, tmp_path):
@@ -49,6 +56,42 @@ def test_replica_sink_applies_each_batch_once(spark, tmp_path):
     assert sink.live(spark).count() == 1  # older than the delete
 
 
+def test_replica_sink_compacts_and_tidies(spark, tmp_path):
+    from driftline.sources.scratch import names_in
+
+    sink, out = flows.ReplicaSink(str(tmp_path / "out"), ["pk"], ["seq"], compact=3), str(tmp_path / "out")
+    for i in range(9):
+        sink(spark.createDataFrame([(k, 10 * i + k, "DELETE" if (i, k) == (7, 1) else "UPDATE", f"{i}-{k}") for k in {i % 4, 1}], "pk long, seq long, operation string, v string"), i)
+        assert len(names_in(spark, f"{out}/pointer")) <= 2 and len(sink.pointer(spark)["tables"]) <= 3
+    assert len(names_in(spark, f"{out}/tables")) <= 6
+    assert sorted(tuple(r)[::3] for r in sink.live(spark).collect()) == [(0, "8-0"), (1, "8-1"), (2, "6-2"), (3, "7-3")]
+
+
+def test_answers_and_time_outs(spark, tmp_path):
+    at = lambda s: F.timestamp_seconds(F.col(s))
+    writes = source(spark, tmp_path / "w", [[("a", 1000), ("b", 1001)], [("c", 1100)]], "msg_id string, s long").select("msg_id", at("s").alias("written"))
+    verdicts = source(spark, tmp_path / "v", [[("a", "ok", 1003)], [("z", "ok", 1100)]], "msg_id string, status string, s long").select("msg_id", "status", at("s").alias("judged"))
+    got = run(spark, flows.answered(writes, verdicts), tmp_path)
+    assert sorted((m, s) for m, _, s in got) == [("a", "ok"), ("b", "timed_out")]
+
+
+def test_schemas_are_written_before_rows(spark):
+    seen = []
+    write = flows.schemas_first(lambda df, n: seen.append(("schemas", n, df.count())), lambda df, n: seen.append(("rows", n, df.count())))
+    write(spark.createDataFrame([(True,), (False,), (False,)], "is_schema boolean"), 7)
+    assert seen == [("schemas", 7, 1), ("rows", 7, 2)]
+
+
+def test_backfill_and_progress(spark, tmp_path):
+    static = spark.createDataFrame([(1, "a")], "id long, v string")
+    live = spark.createDataFrame([(2,)], "id long")
+    assert sorted(tuple(r) for r in flows.backfilled(static, live).collect()) == [(1, "a"), (2, None)]
+    df = source(spark, tmp_path, [[(1,), (2,)], [(3,)]], "id long")
+    q = df.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert flows.progress(q)["batch"] == 1 and flows.progress(q)["rows"] == 1
+
+
 @pytest.mark.parametrize("mode", ["append"])
 def test_rates(spark, tmp_path, mode):
     df = source(spark, tmp_path, [[("t", "2024-01-01 00:00:00"), ("t", "2024-01-01 00:00:30")], [("t", "2024-01-01 00:10:00")]], "table string, at string")

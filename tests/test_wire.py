@@ -86,6 +86,38 @@ def test_log(spark):
         wire.tuple_maps([{"name": "a", "oid": 23}], [])
 
 
+def altered():
+    cols = b"".join(struct.pack(">B", k) + text(n) + struct.pack(">Ii", o, -1) for k, n, o in ((1, "id", 23), (0, "name", 25), (0, "age", 23)))
+    return b"R" + struct.pack(">I", 7) + text("public") + text("users") + b"d" + struct.pack(">h", 3) + cols
+
+
+def test_log_to_transactions(spark):
+    """Frames -> messages -> transactions -> rows by the relation of their time."""
+    insert = lambda *cells: b"I" + struct.pack(">I", 7) + b"N" + row(*cells)
+    begin = lambda xid: b"B" + struct.pack(">QqI", 100 * xid, 0, xid)
+    commit = lambda xid: b"C\0" + struct.pack(">QQq", 100 * xid, 100 * xid + 1, 0)
+    stream = [begin(1), relation(), *(insert(b"t%d" % i, b"tx") for i in range(40)), commit(1), begin(2), altered(), insert(b"t90", b"ty", b"t7"), insert(b"t91", b"ty"), commit(2), begin(3), insert(b"t99", b"tz", b"n")]
+    frames = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(stream)], "n long, payload binary").repartition(5)
+    log = wire.with_transactions(wire.parse_log(frames), ["n"])
+    assert {(r.n, r.xid, r.commit_lsn) for r in log.collect()} == {(i, x, 100 * x) for i in range(len(stream)) for x in [1 if i < 43 else 2 if i < 48 else 3]}
+    rows = wire.decode_rows(wire.committed_rows(log), wire.relation_versions(log, "n"), "n").orderBy("n").collect()
+    assert [(r.xid, r.data and r.data["id"], r.refused is None) for r in rows] == [*((1, str(i), True) for i in range(40)), (2, "90", True), (2, None, False)]
+    assert rows[40].data == {"id": "90", "name": "y", "age": "7"} and "field count" in rows[41].refused
+
+
+def test_messages_before_the_first_begin_have_no_transaction(spark):
+    frames = spark.createDataFrame([(0, bytearray(relation()))], "n long, payload binary")
+    assert [tuple(r) for r in wire.with_transactions(wire.parse_log(frames), ["n"]).select("xid", "commit_lsn").collect()] == [(None, None)]
+    assert wire.with_transactions(wire.parse_log(frames.limit(0)), ["n"]).count() == 0
+
+
+def test_copies_are_read_in_blocks(spark):
+    body = b"".join(struct.pack(">hi", 1, 4) + struct.pack(">i", i) for i in range(1000))
+    data = wire.COPY_SIGNATURE + struct.pack(">ii", 0, 0) + body + struct.pack(">h", -1)
+    got = wire.read_copies(spark.createDataFrame([(bytearray(data),)], "content binary"), ["a"], [23], block=64)
+    assert [r.a for r in got.collect()] == [str(i) for i in range(1000)]
+
+
 def test_copy(spark, tmp_path):
     field = lambda b: struct.pack(">i", -1) if b is None else struct.pack(">i", len(b)) + b
     data = wire.COPY_SIGNATURE + struct.pack(">ii", 0, 0) + b"".join(struct.pack(">h", 2) + field(struct.pack(">i", i)) + field(None if i else b"x") for i in range(2)) + struct.pack(">h", -1)
