@@ -123,6 +123,9 @@ def tombstone_tenants(spark, d):
     return changes(spark, d).where("operation = 'DELETE'").select("tenant").distinct()
 
 
-@query()
+@query(W + """, p AS (SELECT seq, CASE WHEN seq < 128 THEN lpad(to_hex(seq), 2, '0') ELSE 'd3' || lpad(to_hex(seq), 16, '0') END AS a,
+  to_hex(160 + octet_length(encode("table"))) || hex(encode("table")) AS b, to_hex(160 + octet_length(encode(operation))) || hex(encode(operation)) AS c,
+  CASE WHEN value IS NULL THEN 'c0' ELSE 'cb' || hex(value::BIT::BLOB) END AS v FROM changes)
+ SELECT seq, lower('84a3' || hex('seq'::BLOB) || a || 'a5' || hex('table'::BLOB) || b || 'a9' || hex('operation'::BLOB) || c || 'a5' || hex('value'::BLOB) || v) AS body FROM p""")
 def packed_events(spark, d):
-    return K.encoded(changes(spark, d), "seq", ["seq", "table", "operation", "value"])
+    return K.encoded(changes(spark, d), "seq", ["seq", "table", "operation", "value"]).select("seq", F.lower(F.hex("body")).alias("body"))

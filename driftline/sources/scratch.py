@@ -27,6 +27,11 @@ def names_in(spark: SparkSession, path: str, only: str | None = None) -> list[st
     return [n for n in names if only is None or n == only]
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _place(spark, path)
+    fs.mkdirs(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at, fs = _place(spark, path)
     fs.delete(at, True)

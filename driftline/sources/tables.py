@@ -14,9 +14,11 @@ def scan(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def log_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
-    """Append-only log as a stream; admission control is the back-pressure, the checkpoint is the acknowledged position."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def log_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16, from_lsn: int | None = None) -> DataFrame:
+    """Append-only log as a stream; admission control is the back-pressure, the checkpoint is the acknowledged position.
+    `from_lsn` is where a stream without a checkpoint starts: the predicate reaches the scan."""
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return log if from_lsn is None else log.where(F.col("lsn") >= from_lsn)
 
 
 def resume(log: DataFrame, last_seq: int | None) -> DataFrame:
@@ -76,13 +78,6 @@ def write_log(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (df.write.mode("append").partitionBy(*by) if by else df.write.mode("append")).parquet(path)
 
 
-def write_snapshot(chunks: DataFrame, descriptor: DataFrame, path: str) -> None:
-    """Chunks first, descriptor last: a reader that finds a descriptor finds all chunks. An aborted run's
-    chunks are replaced by the next one."""
-    chunks.write.mode("overwrite").partitionBy("chunk").parquet(f"{path}/chunks")
-    descriptor.write.mode("overwrite").parquet(f"{path}/descriptor")
-
-
 def replay_chunks(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """(chunk, rows: array of arrays) -> one map per row, in chunk order."""
     rows = chunks.select("chunk", F.posexplode("rows").alias("n", "row"))

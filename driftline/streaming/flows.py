@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from driftline.sources.scratch import names_in, remove
+from driftline.model import MAX_DELIVER
+from driftline.sources.scratch import make_folder, names_in, remove, written
 
 
 def deduplicated(events: DataFrame, ts: str = "ts", window: str = "2 minutes") -> DataFrame:
@@ -156,6 +157,64 @@ class ReplicaSink:
         return None if now is None else now.where("operation <> 'DELETE'")
 
 
+class RequestQueue:
+    """foreachBatch function: requests are handled one at a time, in the order of `seq`, and acknowledged on receipt.
+
+    A mark under `path` is the acknowledgement, written before `handle(row)` is called: a batch that comes again skips what
+    it had taken. A request that fails is not repeated; `failed(row, error)` reports it and the next one follows. The
+    source bounds a batch (maxFilesPerTrigger), and rows come to the driver one by one."""
+
+    def __init__(self, path: str, handle, failed=None):
+        self.path, self.handle, self.failed = path.rstrip("/"), handle, failed
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        taken = set(names_in(spark, f"{self.path}/{batch_id:020d}"))
+        for row in batch.orderBy("seq").toLocalIterator():
+            if str(row["seq"]) in taken:
+                continue
+            make_folder(spark, f"{self.path}/{batch_id:020d}/{row['seq']}")
+            try:
+                self.handle(row)
+            except Exception as e:
+                if self.failed is None:
+                    raise
+                self.failed(row, e)
+        for old in names_in(spark, self.path):
+            if old.isdigit() and int(old) < batch_id:
+                remove(spark, f"{self.path}/{old}")
+
+
+class MutationQueue:
+    """foreachBatch function: writes are applied, and come again until they are, `most` times at most.
+
+    `apply(df)` returns df (seq, delivered, ...) with `acked` and `permanent`. What is neither waits under `path` and joins
+    the next batch with `delivered` one up; what is permanent, or was delivered `most` times, goes to `dead(df)` at once.
+    The waiting rows of a batch are a table named by its number, so a batch that comes again finds what it had before;
+    `apply` and `dead` are to be idempotent by message id."""
+
+    def __init__(self, path: str, apply, dead, most: int = MAX_DELIVER):
+        self.path, self.apply, self.dead, self.most = path.rstrip("/"), apply, dead, most
+
+    def waiting(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """What waits, as of the last batch before `before`."""
+        done = [int(n) for n in names_in(spark, self.path) if n.isdigit() and names_in(spark, f"{self.path}/{n}", "_SUCCESS")]
+        known = [n for n in done if before is None or n < before]
+        return spark.read.parquet(f"{self.path}/{max(known):020d}") if known else None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = self.waiting(spark, batch_id)
+        new = batch.withColumn("delivered", F.lit(1))
+        rows = new if held is None else new.unionByName(held.withColumn("delivered", F.col("delivered") + 1))
+        judged = written(self.apply(rows), "judged")
+        over = F.col("permanent") | (F.col("delivered") >= self.most)
+        self.dead(judged.where(~F.col("acked") & over).select(*rows.columns))
+        judged.where(~F.col("acked") & ~over).select(*rows.columns).write.mode("overwrite").parquet(f"{self.path}/{batch_id:020d}")
+        for old in sorted(int(n) for n in names_in(spark, self.path) if n.isdigit())[:-2]:
+            remove(spark, f"{self.path}/{old:020d}")
+
+
 def schemas_first(sink_schemas, sink_rows):
     """foreachBatch function: schema messages of a batch are written before its rows."""
 

@@ -99,3 +99,19 @@ def test_specifications_are_loaded_once_an_epoch():
     loads = []
     registry = SpecRegistry(lambda: loads.append(1) or [TableSpec("t", ("id",), ("id", "v"), epoch=len(loads))])
     assert registry.get(1)["t"].epoch == registry.get(1)["t"].epoch == 1 and registry.get(2)["t"].epoch == 2 and len(loads) == 2
+
+
+def test_snapshots_are_whole_or_gone(spark, tmp_path):
+    from driftline.sources import snapshots
+    from driftline.sources.scratch import names_in
+
+    path, rows = str(tmp_path), spark.range(10).withColumn("chunk", F.floor(F.col("id") / 4))
+    snapshots.produce(rows, path, "t/1", "users", "s-1", 77, ("id",))
+    bad = rows.withColumn("id", F.when(F.col("id") == 9, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("long"))
+    with pytest.raises(Exception, match="broken"):
+        snapshots.produce(bad, path, "t/1", "users", "s-2", 78, ("id",), ("users", "carts"))
+    read = lambda kind: [r.asDict() for r in spark.read.parquet(f"{path}/{kind}").collect()]
+    assert read("descriptors") == [{"lsn": 77, "row_count": 10, "batch_count": 3, "tenant": "t/1", "table": "users", "snapshot_id": "s-1"}]
+    assert len(read("starts")) == 2 and len(read("chunks")) == 10 and read("schemas")[0]["pk_ordinal"] == 1
+    assert [(e["snapshot_id"], e["error_type"], e["available_tables"]) for e in read("errors")] == [("s-2", "generation_failed", ["users", "carts"])]
+    assert names_in(spark, f"{path}/chunks/tenant=t%2F1/table=users") == ["snapshot_id=s-1"]

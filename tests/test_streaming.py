@@ -37,6 +37,14 @@ def test_dropped_columns_are_stripped_from_older_events(spark, tmp_path):
     assert sorted(run(spark, flows.held_until_known(df, 2), tmp_path)) == [("t", 3, "id", "old"), ("t", 4, "", "none"), ("t", 9, "id,new", "wait")]
 
 
+def test_a_log_starts_at_a_position(spark, tmp_path):
+    from driftline.sources import tables
+
+    spark.createDataFrame([(n, f"v{n}") for n in range(5)], "lsn long, v string").write.parquet(str(tmp_path / "log"))
+    got = run(spark, tables.log_stream(spark, str(tmp_path / "log"), "lsn long, v string", from_lsn=3), tmp_path)
+    assert sorted(got) == [(3, "v3"), (4, "v4")]
+
+
 def test_duplicates_in_the_window_go(spark, tmp_path):
     df = source(spark, tmp_path, [[("m1", "2024-01-01 00:00:00"), ("m1", "2024-01-01 00:00:30"), ("m2", "2024-01-01 00:00:40")]], "msg_id string, at string")
     got = run(spark, flows.deduplicated(df.select("msg_id", F.col("at").cast("timestamp").alias("ts"))), tmp_path)
@@ -75,6 +83,36 @@ def test_answers_and_time_outs(spark, tmp_path):
     assert sorted((m, s) for m, _, s in got) == [("a", "ok"), ("b", "timed_out")]
 
 
+def test_requests_are_taken_one_by_one_and_once(spark, tmp_path):
+    seen, failures = [], []
+
+    def handle(row):
+        seen.append(row.seq)
+        if row.seq == 2:
+            raise ValueError("no")
+
+    queue = flows.RequestQueue(str(tmp_path / "acks"), handle, lambda row, e: failures.append((row.seq, str(e))))
+    batch = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "seq long, table string")
+    for n in (0, 0, 1):
+        queue(batch if n == 0 else batch.where("seq = 3"), n)
+    assert seen == [1, 2, 3, 3] and failures == [(2, "no")]
+
+
+def test_writes_come_again_until_they_are_dead(spark, tmp_path):
+    seen, dead = [], []
+
+    def apply(df):
+        seen.append(sorted((r.seq, r.delivered) for r in df.collect()))
+        return df.withColumns({"acked": (F.col("seq") == 1) | ((F.col("seq") == 2) & (F.col("delivered") == 2)), "permanent": F.col("seq") == 4})
+
+    queue = flows.MutationQueue(str(tmp_path / "waiting"), apply, lambda df: dead.extend((r.seq, r.delivered) for r in df.collect()), most=3)
+    rows = spark.createDataFrame([(1,), (2,), (3,), (4,)], "seq long")
+    for n in (0, 1, 1, 2, 3):
+        queue(rows.where("true" if n == 0 else "false"), n)
+    assert seen == [[(1, 1), (2, 1), (3, 1), (4, 1)], [(2, 2), (3, 2)], [(2, 2), (3, 2)], [(3, 3)], []]
+    assert dead == [(4, 1), (3, 3)] and queue.waiting(spark).count() == 0
+
+
 def test_schemas_are_written_before_rows(spark):
     seen = []
     write = flows.schemas_first(lambda df, n: seen.append(("schemas", n, df.count())), lambda df, n: seen.append(("rows", n, df.count())))
