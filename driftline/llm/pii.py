@@ -30,15 +30,15 @@ PATTERNS = {
 }
 BASE = ("email", "ip", "card", "phone")
 KEEP_AT, CONTEXT_BONUS, CONTEXT_CHARS = 0.6, 0.35, 40
-#: Words near a span that speak for its kind.
+#: Words near a span that speak for its kind. Their edges are spelt out, because \b means other things to other JVMs.
 CONTEXT = {
-    "email": r"(?i)\b(?:e-?mail|contact|write)\b",
-    "ip": r"(?i)\b(?:ip|host|server|address)\b",
-    "card": r"(?i)\b(?:card|visa|credit|payment)\b",
-    "phone": r"(?i)\b(?:tel|phone|call|mobile|fax)\b",
-    "iban": r"(?i)\b(?:iban|bank|account)\b",
-    "ssn": r"(?i)\b(?:ssn|social|security)\b",
-    "national_phone": r"(?i)\b(?:tel|phone|call|mobile|fax)\b",
+    "email": r"(?i)(?<![\p{L}\p{N}_])(?:e-?mail|contact|write)(?![\p{L}\p{N}_])",
+    "ip": r"(?i)(?<![\p{L}\p{N}_])(?:ip|host|server|address)(?![\p{L}\p{N}_])",
+    "card": r"(?i)(?<![\p{L}\p{N}_])(?:card|visa|credit|payment)(?![\p{L}\p{N}_])",
+    "phone": r"(?i)(?<![\p{L}\p{N}_])(?:tel|phone|call|mobile|fax)(?![\p{L}\p{N}_])",
+    "iban": r"(?i)(?<![\p{L}\p{N}_])(?:iban|bank|account)(?![\p{L}\p{N}_])",
+    "ssn": r"(?i)(?<![\p{L}\p{N}_])(?:ssn|social|security)(?![\p{L}\p{N}_])",
+    "national_phone": r"(?i)(?<![\p{L}\p{N}_])(?:tel|phone|call|mobile|fax)(?![\p{L}\p{N}_])",
 }
 #: A character that every span of the kind needs: texts without it skip the pattern.
 NEEDS = {"email": "@", "phone": "+"}
