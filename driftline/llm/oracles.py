@@ -6,6 +6,66 @@ number, so that repeated and null ids keep their own rows.
 
 from . import urls
 
+#: The five primes of XXH64.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+LOW = 2**64 - 1
+
+
+def _low(x: str) -> str:
+    return f"(({x}) & {LOW}::UHUGEINT)::UBIGINT"
+
+
+def _times(x: str, by: int) -> str:
+    return _low(f"({x})::UHUGEINT * {by}::UHUGEINT")
+
+
+def _plus(x: str, y) -> str:
+    return _low(f"({x})::UHUGEINT + ({y})::UHUGEINT")
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"({_times(x, 2**bits)} | (({x}) >> {64 - bits}))"
+
+
+def xxh64_steps(source: str, seed: int) -> str:
+    """CTEs that end in hashed(s, h): XXH64 of the strings s of `source`, a step each."""
+    number = lambda first, n: "+".join(f"('0x' || substr(x, 2 * ({first} + {k}) + 1, 2))::UBIGINT * {256**k}::UBIGINT" for k in range(n))
+    starts = [(seed + P1 + P2) & LOW, (seed + P2) & LOW, seed, (seed - P1) & LOW]
+    column = lambda j: f"list_transform(list_filter(range(0, n // 32 * 4), lambda k: k % 4 = {j}), lambda k: mixed[k + 1])"
+    lane = ", ".join(f"list_reduce(list_prepend({v}::UBIGINT, {column(j)}), lambda a, y: {_times(_turned(_plus('a', 'y'), 31), P1)}) AS v{j}" for j, v in enumerate(starts))
+    folded = "h0"
+    layers = []
+    for j in range(4):
+        layers.append(f"f{j} AS (SELECT * EXCLUDE ({folded}), {_plus(_times(f'xor({folded}, ' + _times(_turned(_times(f'v{j}', P2), 31), P1) + ')', P1), P4)} AS {folded} FROM {f'f{j - 1}' if j else 'began'})")
+    sums = _low(" + ".join(f"({_turned(f'v{j}', b)})::UHUGEINT" for j, b in enumerate((1, 7, 12, 18))))
+    return f"""texts AS (SELECT DISTINCT s, hex(encode(s)) AS x, strlen(s) AS n FROM {source}),
+lanes AS (SELECT s, x, n, list_transform(list_transform(range(0, n // 8), lambda k: {number("8 * k", 8)}), lambda y: {_times("y", P2)}) AS mixed FROM texts),
+striped AS (SELECT *, {lane} FROM lanes),
+began AS (SELECT *, {sums} AS h0 FROM striped),
+{", ".join(layers)},
+eights AS (SELECT s, x, n, list_reduce(list_prepend({_plus(f"CASE WHEN n >= 32 THEN h0 ELSE {(seed + P5) & LOW}::UBIGINT END", "n")},
+    list_transform(mixed[n // 32 * 4 + 1:], lambda y: {_times(_turned("y", 31), P1)})), lambda a, y: {_plus(_times(_turned("xor(a, y)", 27), P1), P4)}) AS h FROM f3),
+four AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN xor(h, {_times(number("n // 8 * 8", 4), P1)}) ELSE h END AS h FROM eights),
+fours AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {_plus(_times(_turned("h", 23), P2), P3)} ELSE h END AS h FROM four),
+ones AS (SELECT s, list_reduce(list_prepend(h, list_transform(range(n // 4 * 4, n), lambda k: {_times(number("k", 1), P5)})), lambda a, y: {_times(_turned("xor(a, y)", 11), P1)}) AS h FROM fours),
+spread AS (SELECT s, {_times("xor(h, h >> 33)", P2)} AS h FROM ones),
+spread2 AS (SELECT s, {_times("xor(h, h >> 29)", P3)} AS h FROM spread),
+hashed AS MATERIALIZED (SELECT s, xor(h, h >> 32) AS h FROM spread2)"""
+
+
+#: Fingerprints are compared each with each: this is brute force, for small tables.
+SIMHASH = rf"""WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (SELECT r, array_to_string(list_slice(w, i, i + 2), ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM docs WHERE len(w) > 0)),
+{xxh64_steps("shingles", 42)},
+bits AS (SELECT r, b, 2 * sum((h >> b::UBIGINT) & 1) > count(*) AS one FROM shingles JOIN hashed USING (s), range(64) AS t(b) GROUP BY r, b),
+prints AS (SELECT r, sum(CASE WHEN one THEN 1::HUGEINT << b::HUGEINT ELSE 0::HUGEINT END)::UBIGINT AS f FROM bits GROUP BY r),
+named AS MATERIALIZED (SELECT doc_id, coalesce(f, 0::UBIGINT) AS f FROM docs LEFT JOIN prints USING (r)),
+links AS MATERIALIZED (SELECT x.f AS a, y.f AS b FROM (SELECT DISTINCT f FROM named) x, (SELECT DISTINCT f FROM named) y WHERE x.f <> y.f AND bit_count(xor(x.f, y.f)) <= 2),
+reach AS (SELECT DISTINCT f, f AS g FROM named UNION SELECT reach.f, links.b FROM reach JOIN links ON links.a = reach.g),
+least AS (SELECT reach.f, min(doc_id) AS component_id FROM reach JOIN named ON named.f = reach.g GROUP BY reach.f)
+SELECT doc_id, lpad(lower(hex(f)), 16, '0') AS fingerprint, component_id FROM named JOIN least USING (f)"""
+
 #: Windows are equal if their MD5 sums are.
 SUFFIX_DEDUP = """WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
 windows AS MATERIALIZED (SELECT r, p, md5(array_slice(b, p, p + 399)) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS p FROM docs)),
@@ -82,6 +142,7 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM docs LEFT JOIN spans USING (r)"""
 
 ORACLES: dict[str, str] = {
+    "op2_simhash": SIMHASH,
     "op3_suffix_dedup": SUFFIX_DEDUP,
     "op5_decontaminate": DECONTAMINATE,
     "op6_pii": PII,

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from driftline.llm import decontaminate, oracles, pii, queries, substrings
+from driftline.llm import decontaminate, oracles, pii, queries, simhash, substrings
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,12 +28,22 @@ def made(spark, texts):
     return spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op5_decontaminate", "op6_pii"])
+@pytest.mark.parametrize("name", ["op2_simhash", "op3_suffix_dedup", "op5_decontaminate", "op6_pii"])
 def test_table(spark, name):
     c = duck(documents=spark.read.parquet(f"{DATA}/documents.parquet"), benchmark=spark.read.parquet(f"{DATA}/benchmark.parquet"))
     same(getattr(queries, name)(spark, DATA), c, name)
 
 
+def test_fingerprints(spark):
+    r = random.Random(5)
+    base = [r.choice(["A", "é", "\U0001f600", "word", "x" * 30, "y" * 90]) + str(k) for k in range(120)]
+    texts = [None, "", " \n", "One", "one two"]
+    for k in range(60):
+        texts.append("\t".join(w if r.random() > 0.004 * (k % 3) else "other" for w in base[: 40 + k % 4]))
+    docs = made(spark, texts)
+    same(simhash.near_duplicates(docs), duck(documents=docs), "op2_simhash")
+
+
 def test_removal(spark):
     r = random.Random(1)
     parts = ["".join(r.choice("abé \U0001f600") for _ in range(n)) for n in (150, 260, 399, 700)]
