@@ -79,6 +79,11 @@ def transitions_of_pairs(rows: DataFrame, watched: list[str]) -> DataFrame:
     return rows.withColumn("class", F.when(F.col("operation") == "UPDATE", F.when(F.coalesce(changed, F.lit(False)), "transition").otherwise("data")))
 
 
+def plain(column: pa.Array) -> list:
+    """The column as Python values; whole numbers without nulls take the short way."""
+    return column.to_numpy().tolist() if pa.types.is_integer(column.type) and not column.null_count else column.to_pylist()
+
+
 def first_in_window(rows: DataFrame, key: list[str], at: str, window_s: int, out: str) -> DataFrame:
     """`rows` with a boolean: the first row of each window of its key. A window counts from the last row that was
     first; rows in it don't renew it. Rows stream through in the order of key, time and seq, with one time held."""
@@ -88,7 +93,7 @@ def first_in_window(rows: DataFrame, key: list[str], at: str, window_s: int, out
         last, counted = None, None
         for batch in batches:
             keep = []
-            for name, now in zip(batch.column("__key").to_pylist(), batch.column("__at").to_pylist(), strict=True):
+            for name, now in zip(plain(batch.column("__key")), plain(batch.column("__at")), strict=True):
                 new = counted is None or name != last
                 keep.append(new or now is None or counted[0] is None or now - counted[0] > window_s * 1_000_000)
                 if keep[-1]:
@@ -129,7 +134,7 @@ def triggered(rows: DataFrame, size: str, at: str, events: int = BATCH_EVENTS, s
         xid, batch, count, used, since = None, None, 0, 0, None
         for part in batches:
             out = []
-            for x, n, now in zip(*(part.column(c).to_pylist() for c in ("xid", "__size", "__at")), strict=True):
+            for x, n, now in zip(*(plain(part.column(c)) for c in ("xid", "__size", "__at")), strict=True):
                 late = since is not None and now is not None and now - since >= wait_ms
                 if batch is None or x != xid:
                     xid, batch, count, used, since = x, 0, 0, 0, now
