@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
 from driftline.model import INTERNAL_TABLES
+from driftline.sources.tables import ordered_prefix_sum
 
 # --- schemas -----------------------------------------------------------------------------------------------------
 
@@ -34,11 +35,16 @@ def columns_json(layout: DataFrame) -> DataFrame:
 
 
 def suspended(events: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Events inside [suspend_lsn, resume_lsn) of their table are lost. Intervals are few: they are gathered per table
-    into one array, so the join is by table and adds no rows."""
-    spans = intervals.groupBy("table").agg(F.collect_list(F.struct("suspend_lsn", "resume_lsn")).alias("spans"))
-    inside = lambda s: (F.col("lsn") >= s["suspend_lsn"]) & (s["resume_lsn"].isNull() | (F.col("lsn") < s["resume_lsn"]))
-    return events.join(spans, "table", "left").where(~F.coalesce(F.exists("spans", inside), F.lit(False))).drop("spans")
+    """Events inside [suspend_lsn, resume_lsn) of their table are lost. Intervals may be many and may overlap: their ends
+    are sorted in among the events, before those at the same position, and an event is kept where as many have closed
+    as have opened. No event is compared with an interval; those without table or position are in none."""
+    ends = F.array(F.struct(F.col("suspend_lsn").alias("lsn"), F.lit(1).alias("__step")), F.struct(F.col("resume_lsn").alias("lsn"), F.lit(-1).alias("__step")))
+    marks = intervals.where("resume_lsn is null or suspend_lsn < resume_lsn").select("table", F.inline(ends))
+    placed = F.col("table").isNotNull() & F.col("lsn").isNotNull()
+    rows = events.where(placed).withColumn("__step", F.lit(0)).unionByName(marks.where(placed), allowMissingColumns=True)
+    rows = rows.withColumn("__event", F.col("__step") == 0)
+    counted = ordered_prefix_sum(rows, ["lsn", "__event"], F.col("__step"), "__open", by=("table",))
+    return counted.where("__event and __open = 0").select(*events.columns).union(events.where(~placed))
 
 
 def suspensions(ddl: DataFrame) -> DataFrame:

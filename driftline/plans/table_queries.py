@@ -143,7 +143,7 @@ def schema_diff(spark, d):
 def suspension_intervals(spark, d):
     c = changes(spark, d)
     ddl = c.where("seq % 50 = 0").select("table", "lsn", (F.col("seq") % 200 < 150).alias("ok"))
-    return G.suspended(c, G.suspensions(ddl)).select("seq", "table")
+    return G.suspended(c.select("seq", "table", "lsn"), G.suspensions(ddl)).select("seq", "table")
 
 
 @query("SELECT p_partkey, CASE WHEN dot = 0 THEN t || '.' || repeat('0', 8) ELSE t || repeat('0', greatest(0, 8 - (length(t) - dot))) END AS padded FROM (SELECT p_partkey, t, instr(t, '.') AS dot FROM (SELECT p_partkey, p_retailprice::DECIMAL(18, 2)::VARCHAR AS t FROM part))")
